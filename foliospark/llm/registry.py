@@ -1,6 +1,9 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
+from foliospark.llm.chat_format import OP1_SQL, op1_chat_format
 from foliospark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from foliospark.llm.secrets import op2_secret_scan
+from foliospark.llm.url_filter import op7_url_filter
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+QUERIES = {"op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_exact_dedup": OP5_SQL}
