@@ -107,7 +107,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     split = segmented_labels(urls.select(F.explode("labels").alias("label")).distinct(), counts, total)
     host_tokens = urls.select("url_key", "n", F.col("fit.verdict").alias("verdict"), F.explode("labels").alias("label")).join(split, "label").select("url_key", "n", "verdict", F.explode("words").alias("word"))
     tokens = host_tokens.select("url_key", "n", "verdict", F.concat(F.lit("host:"), "word").alias("token"), F.col("word").isin(*SEED_WORDS).alias("seed"))
-    tokens = written(tokens.unionByName(urls.select("url_key", "n", F.col("fit.verdict").alias("verdict"), F.concat(F.lit("path:"), F.explode("path_tokens")).alias("token"), F.lit(False).alias("seed"))))
+    tokens = written(tokens.unionByName(urls.select("url_key", "n", F.col("fit.verdict").alias("verdict"), F.explode(F.transform("path_tokens", lambda x: F.concat(F.lit("path:"), x))).alias("token"), F.lit(False).alias("seed"))))
     seeded = tokens.groupBy("url_key").agg(F.max("seed").alias("seeded"))
     label = F.coalesce("verdict", F.when(F.col("seeded"), F.lit("block")))
     known = tokens.join(seeded, "url_key").withColumn("label", label).where(F.col("label").isNotNull())
