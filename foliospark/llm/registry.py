@@ -2,8 +2,9 @@
 
 from foliospark.llm.chat_format import OP1_SQL, op1_chat_format
 from foliospark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from foliospark.llm.packing import op10_packing
 from foliospark.llm.secrets import op2_secret_scan
 from foliospark.llm.url_filter import op7_url_filter
 
-QUERIES = {"op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op10_packing": op10_packing, "op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
 ORACLES = {"op1_chat_format": OP1_SQL, "op5_exact_dedup": OP5_SQL}
