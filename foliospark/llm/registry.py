@@ -3,9 +3,10 @@
 from foliospark.llm.chat_format import OP1_SQL, op1_chat_format
 from foliospark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from foliospark.llm.language_id import op9_language_id
+from foliospark.llm.ngram_join import OP8_SQL, op8_ngram_join
 from foliospark.llm.packing import op10_packing
 from foliospark.llm.secrets import op2_secret_scan
 from foliospark.llm.url_filter import op7_url_filter
 
-QUERIES = {"op9_language_id": op9_language_id, "op10_packing": op10_packing, "op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+QUERIES = {"op8_ngram_join": op8_ngram_join, "op9_language_id": op9_language_id, "op10_packing": op10_packing, "op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
+ORACLES = {"op8_ngram_join": OP8_SQL, "op1_chat_format": OP1_SQL, "op5_exact_dedup": OP5_SQL}
