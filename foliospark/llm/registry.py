@@ -6,8 +6,9 @@ from foliospark.llm.fingerprints import op6_fingerprints
 from foliospark.llm.language_id import op9_language_id
 from foliospark.llm.ngram_join import OP8_SQL, op8_ngram_join
 from foliospark.llm.packing import op10_packing
+from foliospark.llm.recurrent_lm import op3_lm_scores
 from foliospark.llm.secrets import op2_secret_scan
 from foliospark.llm.url_filter import op7_url_filter
 
-QUERIES = {"op6_fingerprints": op6_fingerprints, "op8_ngram_join": op8_ngram_join, "op9_language_id": op9_language_id, "op10_packing": op10_packing, "op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op3_lm_scores": op3_lm_scores, "op6_fingerprints": op6_fingerprints, "op8_ngram_join": op8_ngram_join, "op9_language_id": op9_language_id, "op10_packing": op10_packing, "op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
 ORACLES = {"op8_ngram_join": OP8_SQL, "op1_chat_format": OP1_SQL, "op5_exact_dedup": OP5_SQL}
