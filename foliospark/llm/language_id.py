@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.llm.common import crc_fold, table
 
@@ -174,9 +175,9 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
             yield b.assign(lang_pred=[x for x, _ in found], score=[x for _, x in found])
 
     out = docs.select(*kept)
-    for c, kind in out.dtypes:  # pandas has no integers with nulls of its own
-        if kind in ("bigint", "int", "smallint", "tinyint"):
-            out = out.withColumn(c, F.col(c).cast("string"))
+    for f in out.schema.fields:  # pandas has no nulls of its own for numbers
+        if isinstance(f.dataType, T.NumericType):
+            out = out.withColumn(f.name, F.col(f.name).cast("string"))
     text_schema = out.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     found = out.mapInPandas(predict, text_schema)
     return found.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))

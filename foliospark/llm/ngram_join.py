@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import table, words, written
@@ -55,9 +55,10 @@ def shingles(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    hashes = F.transform(F.filter(words(F.col(text_col)), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), hashes.alias("hashes"))
+def _word_hashes(docs: DataFrame) -> DataFrame:
+    """docs with the hashes of its words in place of its text."""
+    hashes = F.transform(F.filter(words(F.col("text")), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return docs.withColumn("hashes", hashes).drop("text")
 
 
 def sketch_classes(hashed: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -90,31 +91,39 @@ def _first(keys: np.ndarray, k: int) -> np.ndarray:
     return np.sort(keys)
 
 
+def prefix_length(size: int, percent: int) -> int:
+    return size + (-percent * size) // 100 + 1 if size else 0
+
+
 def features(hashed: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(row_key, doc_id, size, node, prefix, second, third): node is the hash of the set; prefix keeps the order, the others filter only."""
+    """(row_key, doc_id, size, node, prefix): node is the hash of the set; prefix, in the first order, stands at a split's first row of a node."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
-            size, node, prefixes = [], [], ([], [], [])
+            size, node, prefix = [], [], []
             for h in b["hashes"]:
                 grams = shingles(h, n)
                 size.append(len(grams))
                 node.append(int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None)
-                k = len(grams) + (-percent * len(grams)) // 100 + 1 if len(grams) else 0
-                for out, seed in zip(prefixes, ORDERS):
-                    out.append(_first(ordered(grams, classes, seed), k).view(np.int64) if k else np.zeros(0, dtype=np.int64))
-            short = [[p.astype(np.int32) for p in out] for out in prefixes[1:]]
-            yield pd.DataFrame({"row_key": b["row_key"], "doc_id": pd.array(b["doc_id"], dtype="Int64"), "size": size, "node": pd.array(node, dtype="Int64"), "prefix": prefixes[0], "second": short[0], "third": short[1]})
+                new = len(grams) and node[-1] not in seen
+                prefix.append(_first(ordered(grams, classes, ORDERS[0]), prefix_length(len(grams), percent)).view(np.int64) if new else np.zeros(0, dtype=np.int64))
+                seen.add(node[-1])
+            yield pd.DataFrame({"row_key": b["row_key"], "doc_id": pd.array(b["doc_id"], dtype="Int64"), "size": size, "node": pd.array(node, dtype="Int64"), "prefix": prefix})
 
-    return hashed.mapInPandas(make, "row_key long, doc_id long, size int, node long, prefix array<long>, second array<int>, third array<int>")
+    return hashed.mapInPandas(make, "row_key long, doc_id long, size int, node long, prefix array<long>")
 
 
-def gram_sets(hashed: DataFrame, n: int) -> DataFrame:
+def gram_sets(hashed: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(node, grams, second, third): whole sets, and their prefixes in the other orders, which filter only and so keep 32 bits."""
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "grams": [shingles(h, n).view(np.int64) for h in b["hashes"]]})
+            sets = [shingles(h, n) for h in b["hashes"]]
+            others = [[_first(ordered(g, classes, seed), prefix_length(len(g), percent)).view(np.int64).astype(np.int32) for g in sets] for seed in ORDERS[1:]]
+            yield pd.DataFrame({"node": b["node"], "grams": [g.view(np.int64) for g in sets], "second": others[0], "third": others[1]})
 
-    return hashed.mapInPandas(make, "node long, grams array<long>")
+    return hashed.mapInPandas(make, "node long, grams array<long>, second array<int>, third array<int>")
 
 
 def _could_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, percent: int) -> Column:
@@ -123,9 +132,9 @@ def _could_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, perc
     return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (100 * most >= percent * (size_a + size_b - most))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of distinct (a, b) those that pass the other orders and then the exact check."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
     kept = pairs.join(side("a"), "a").join(side("b"), "b")
     kept = kept.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
     own = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
@@ -135,25 +144,34 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     return counted.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def prefix_lists(rows: DataFrame) -> DataFrame:
+    """(gram, node, size, at, hub, hub_size, hub_at): the members of the prefix lists that have more than one, each with the most central one.
+
+    One shuffle, by n-gram; a node that several splits gave stands next to itself in the order of its list.
+    """
+    lists = rows.where(F.size("prefix") > 0).select("node", "size", F.posexplode("prefix").alias("at", "gram"))
+    order = Window.partitionBy("gram").orderBy(F.col("at") / F.col("size"), "node", "size", "at")
+    once = lists.withColumn("last", F.lag("node").over(order)).where(F.col("last").isNull() | (F.col("last") != F.col("node")))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hub = {f"hub{x}": F.first(c).over(so_far) for x, c in (("", "node"), ("_size", "size"), ("_at", "at"))}
+    placed = once.withColumns({**hub, "more": F.lead("node").over(order)})
+    return placed.where((F.col("node") != F.col("hub")) | F.col("more").isNotNull()).select("gram", "node", "size", "at", *hub)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    hashed = _word_hashes(docs, id_col, text_col)
-    classes = sketch_classes(hashed, n)
-    rows = written(features(hashed, classes, n, percent))
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"))
-    chosen = rows.select("row_key", "node", "size", "prefix", "second", "third").join(nodes.select("row_key", "node"), ["row_key", "node"]).dropDuplicates(["row_key", "node"])
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach), row_key (hash of id and text), component (null for empty sets)."""
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    classes = sketch_classes(_word_hashes(texts), n)
+    rows = written(features(_word_hashes(texts), classes, n, percent))
+    members = written(prefix_lists(rows))
 
-    # members of the prefix lists that have more than one, each with the most central member of its list
-    lists = chosen.select("node", "size", F.posexplode("prefix").alias("at", "gram"))
-    packed = lambda: F.struct((F.col("at") / F.col("size")).alias("share"), "node", "size", "at")
-    centre = lists.groupBy("gram").agg(F.min(packed()).alias("centre"), F.count("*").alias("members")).where(F.col("members") > 1)
-    members = written(lists.join(centre.select("gram", "centre"), "gram").select("gram", "node", "size", "at", F.col("centre.node").alias("hub"), F.col("centre.size").alias("hub_size"), F.col("centre.at").alias("hub_at")))
-    active = members.select("node").distinct()
-    slim = written(chosen.select("node", "row_key", "second", "third").join(active, "node", "left_semi"))
-    sets = written(gram_sets(hashed.join(slim.select("row_key", "node"), "row_key").select("node", "hashes"), n).dropDuplicates(["node"]))
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"))
+    active = nodes.join(members.select("node").distinct(), "node", "left_semi").select("row_key", "node")
+    found = texts.select("row_key", "text").join(active, "row_key")
+    sets = written(gram_sets(_word_hashes(found), classes, n, percent).dropDuplicates(["node"]))
 
     near = members.where((F.col("node") != F.col("hub")) & _could_link(F.col("size"), F.col("at"), F.col("hub_size"), F.col("hub_at"), percent))
-    first = written(_verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), slim, sets, percent))
+    first = written(_verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
     roots = components(first)
 
     # what is left: pairs of a list whose ends are in different components
@@ -164,14 +182,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     right = left.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "root")))
     apart = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))
     cross = left.join(right, ["gram", "band"]).where(apart & _could_link(F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), percent))
-    second = _verified(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), slim, sets, percent)
+    second = _verified(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent)
     roots = components(first.unionByName(second))
 
     grouped = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = grouped.join(named, "root").select("node", "component_id")
-    out = rows.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "node").join(labels, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = grouped.join(named, "root").select("node", "component_id", F.col("root").alias("component"))
+    out = rows.select("row_key", "doc_id", F.col("size").cast("long").alias("n_shingles"), "node").join(labels, "node", "left")
+    component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), "row_key", "component")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,20 +77,33 @@ def candidates(index: DataFrame, key: str, queries: dict[str, Query]) -> DataFra
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """One row per row of docs: (doc_id, text, found), found an array of (start, rank, kind, end) in order of start and rule."""
+    """One row per row of docs: (row, text, found), row the struct of its columns, found an array of (start, rank, kind, end) in order of start and rule."""
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     narrowed = {k: q for k, q in queries.items() if q is not True}
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("row_key"))
+    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
     if narrowed:
         grams = sorted(set().union(*map(trigrams, narrowed.values())))
-        wanted = candidates(trigram_index(rows, "row_key", "text", grams), "row_key", narrowed)
+        wanted = candidates(trigram_index(rows.select("row_key", text.alias("text")), "row_key", "text", grams), "row_key", narrowed)
         rows = rows.join(wanted, "row_key", "left")
     else:
         rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
     matches = [_matches(r, rank, queries[r.kind] is True) for rank, r in enumerate(rules)]
     found = F.array_sort(F.filter(F.concat(*matches), lambda m: m["end"] > 0))
-    return rows.select("doc_id", "text", found.alias("found"))
+    return rows.withColumn("text", text).select("row", "text", found.alias("found"))
+
+
+def masked(found: DataFrame, mask: str) -> DataFrame:
+    """found with masked_text: every span, and overlapping ones as one, gives way to the mask."""
+    piece = lambda start, end: F.substr("text", (start + 1).cast("int"), (end - start).cast("int"))
+
+    def step(acc: Column, m: Column) -> Column:
+        apart = F.concat(acc["done"], piece(acc["at"], m["start"]), F.lit(mask))
+        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(m["start"] >= acc["at"], apart).otherwise(acc["done"]).alias("done"))
+
+    done = F.aggregate("found", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done")), step)
+    whole = F.concat(done["done"], piece(done["at"], F.length("text").cast("long")))
+    return found.withColumn("masked_text", F.when(F.size("found") > 0, whole).otherwise(F.col("text")))
 
 
 def _matches(rule: Rule, rank: int, everywhere: bool) -> Column:
@@ -121,8 +134,8 @@ def span_list(found: Column) -> Column:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [r.kind for r in BASE_RULES]
     count = lambda k: F.size(F.filter("found", lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("found", lambda m: m["rank"] < len(kinds))
-    return found.select("doc_id", *map(count, kinds), F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), *map(count, kinds), F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from foliospark.llm.regex_trigrams import holds, trigram_query
-from foliospark.llm.secrets import BASE_RULES, MORE_RULES, find_secrets, op2_secret_scan
+from foliospark.llm.secrets import BASE_RULES, MORE_RULES, find_secrets, masked, op2_secret_scan
 
 RULES = BASE_RULES + MORE_RULES
 CASES = [
@@ -23,7 +23,7 @@ def brute(text):
 def test_spans_equal_brute_force(spark):
     rows = [(i, t, "x") for i, t in enumerate(CASES)] + [(None, "token=abcdef", "x"), (3, CASES[3], "y")]
     out = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, kinds string")).collect()
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and sorted((r.row.doc_id is None, r.row.kinds) for r in out) == sorted((i is None, k) for i, _, k in rows)
     for r in out:
         assert [tuple(x) for x in r.found] == brute(r.text), r.text
 
@@ -52,3 +52,14 @@ def test_query_on_documents(spark):
 
 def test_empty_table(spark):
     assert find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_masks_cover_the_spans(spark):
+    out = masked(find_secrets(spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")), "#").collect()
+    for r in out:
+        text, want, at = r.text, "", 0
+        for start, _, _, end in brute(text):
+            if start >= at:
+                want += text[at:start] + "#"
+            at = max(at, end)
+        assert r.masked_text == want + text[at:]
