@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,68 +30,86 @@ WINDOW, END_ID = 2048, 1
 SALTS = 64
 #: Combinations that enter the least squares problem; others are left to the greedy step.
 MOST_PATTERNS, STEPS = 6000, 300
-#: Cached units of a worker; beyond that the cache starts anew.
-CACHE_UNITS = 300_000
+#: Units in each of a worker's two cache generations.
+CACHE_UNITS = 400_000
+
+#: The pre-tokenizer's pattern for text without white space but single spaces.
+PRINTABLE_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^ \p{L}\p{N}]+"
+#: Byte-level BPE writes each byte as a letter: printable Latin-1 as itself, the others as the letters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)]
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
 
 
-class CachedTokenizer:
+class CachedTokenizer(dict):
     """Ids of whole texts by a byte-level BPE tokenizer whose pre-tokenizer starts a token at a single space before a non-space.
 
-    So a text is the sequence of its units (a space and what follows up to the next such space), whose ids do not depend on
-    their neighbours; new units are encoded together, between line ends, and remembered as little-endian bytes.
+    So a text is a sequence of units (a space and what follows up to the next such space), whose ids do not depend on
+    their neighbours. A new unit goes through the tokenizer's pre-tokenizer and its BPE model and is remembered, without the space of its beginning, as
+    little-endian bytes, in two generations: when the younger is full it becomes the older, and what is used again moves back.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        line_end = self.ids("\n")
-        self.line_end = line_end[0] if len(line_end) == 1 else None
+        self.parts, self.odd_space = regex.compile(PRINTABLE_PARTS), regex.compile(r" (?=\s|$)|^ ")
+        self.model, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("a byte-level BPE file without a normalizer is needed")
+        self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # of parts without a space before them
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    @staticmethod
-    def units(text: str) -> list[str]:
-        out = text.split(" ")
-        if len(out) == 1:
-            return out
-        for i in range(1, len(out)):
-            out[i] = " " + out[i]
-        if any(len(u) == 1 or u[1].isspace() for u in out[1:]):
-            merged = [out[0]]
-            for u in out[1:]:
-                if len(u) == 1 or u[1].isspace():
-                    merged[-1] += u
+    def __missing__(self, bare: str) -> bytes:
+        found = self.old.get(bare) or self.unit_ids(" " + bare)
+        self[bare] = found
+        return found
+
+    def unit_ids(self, unit: str) -> bytes:
+        """Ids of any text that starts no later than a unit and ends with one."""
+        bare = unit[1:] if unit[:1] == " " else unit
+        if bare.isalpha():  # one token of the pre-tokenizer
+            return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, unit.encode()))))
+        if " " not in bare:
+            lines = bare.split("\n")
+            if len(lines) > 1 and all(x and x.isprintable() for x in lines):
+                start = self[lines[0]] if unit is not bare else self.part_ids(lines[0])
+                return self.part_ids("\n").join((start, *map(self.part_ids, lines[1:])))
+            if bare.isprintable() and len(parts := self.parts.findall(unit)) > 1:
+                return b"".join(self[x[1:]] if x[0] == " " else self.part_ids(x) for x in parts)
+        return b"".join(t.id.to_bytes(4, "little") for x, _ in self.pre_tokenizer.pre_tokenize_str(unit) for t in self.model.tokenize(x))
+
+    def part_ids(self, part: str) -> bytes:
+        found = self.bare.get(part)
+        if not found:
+            if len(self.bare) > CACHE_UNITS:
+                self.bare.clear()
+            found = self.bare[part] = self.unit_ids(part)
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHE_UNITS:
+            self.old = dict(self)
+            self.clear()
+        first, *units = text.split(" ")
+        if self.odd_space.search(text):
+            units, rest = [], [first, *units]
+            first = rest.pop(0)
+            for u in rest:  # a space that no unit starts with belongs to what stands before it
+                if u and not u[0].isspace():
+                    units.append(u)
+                elif units:
+                    units[-1] += " " + u
                 else:
-                    merged.append(u)
-            return merged
-        return out
-
-    def learn(self, units: set[str]) -> None:
-        plain = [u for u in units if self.line_end is not None and u and not any(c.isspace() for c in u[1:]) and not (len(u) == 1 and u.isspace()) and (u[0] == " " or not u[0].isspace())]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.ids("\n".join(part)), dtype="<u4")
-            ends = np.flatnonzero(ids == self.line_end)
-            if len(ends) != len(part) - 1:
-                raise ValueError("units do not part at line ends")
-            self.known.update(zip(part, (x.tobytes() for x in (ids[a:b] for a, b in zip([0, *(ends + 1)], [*ends, len(ids)])))))
-        rest = list(units.difference(plain))
-        self.known.update(zip(rest, (np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
-        new = set().union(*split) - self.known.keys() if split else set()
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known, new = {}, set().union(*split)
-        self.learn(new)
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+                    first += " " + u
+        return self.unit_ids(first) + b"".join(map(self.__getitem__, units)) if first else b"".join(map(self.__getitem__, units))
 
 
 def _tokenizer(path: str) -> CachedTokenizer:
@@ -107,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for b in batches:
             for at in range(0, len(b), 500):
                 part, rows = b.iloc[at : at + 500], []
-                for doc, ids in zip(part["doc_id"], tokenizer.encode(part["text"].tolist())):
+                for doc, ids in zip(part["doc_id"], map(tokenizer.encode, part["text"])):
                     ids += close
                     n = len(ids) // 4
                     rows += [(doc, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
