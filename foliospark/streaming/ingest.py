@@ -12,10 +12,10 @@ from foliospark.operators.ingest import KEY
 
 
 def stream_lines(spark: SparkSession, path: str, pattern: str = "*.inp") -> DataFrame:
-    """(source, member, line_no, line) of text index files as they arrive; line_no orders the lines of one micro-batch."""
+    """(source, member, line_no, line) of text index files as they arrive; line_no is the number of the file's block, so of equal keys in one block either row may stay."""
     text = spark.readStream.format("text").option("pathGlobFilter", pattern).load(path)
     source = F.col("_metadata.file_path")
-    return text.select(source.alias("source"), F.regexp_extract(source, "[^/]*$", 0).alias("member"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    return text.select(source.alias("source"), F.regexp_extract(source, "[^/]*$", 0).alias("member"), F.col("_metadata.file_block_start").alias("line_no"), F.col("value").alias("line"))
 
 
 def stream_ingest(lines: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
