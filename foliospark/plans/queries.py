@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from foliospark.operators import search as S
 from foliospark.operators import shelves as H
 from foliospark.operators.ids import assign_ids
 from foliospark.plans.views import VIEWS, Catalog
+from foliospark.sources import metadata as M
+from foliospark.streaming import ingest as T
 
 #: name -> (function of Catalog, SQL or None)
 _ALL: dict = {}
@@ -433,3 +438,93 @@ def feed_entries(c: Catalog) -> DataFrame:
 def export_search_json(c: Catalog) -> DataFrame:
     rows = S.advanced_search(wide(c), c.book_genres(), c.genres(), 1, 50, title=TITLE, language="en").select("book_id", "title", "author", "series", "rank", "total")
     return D.search_json(rows, R.languages_with_all(c.books()), 1, 50)
+
+
+@query("suggest_genres", ", f as (select name, min(instr(lower(name), '#1')) as pos, min(cast(series_id as varchar)) as code from series where instr(lower(name), '#1') > 0 group by name) select name, code, cast(pos as integer) as \"at\" from f order by pos, name limit 5")
+def suggest_genres(c: Catalog) -> DataFrame:
+    return R.suggest_genres(c.series().select(F.col("series_id").cast("string").alias("code"), "name"), "#1")
+
+
+@query("genre_codes_for", "select distinct p_brand as code from part where lower(trim(p_name)) = 'red plate'")
+def genre_codes_for(c: Catalog) -> DataFrame:
+    return R.genre_codes_for(c.table("part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("name")).distinct(), " Red Plate ")
+
+
+@query("cover_and_download", "select book_id, case when format in ('fb2', 'epub') then 'http://h/api/cover?file=' || file_name || '&format=' || format || '&zip=' || zip end as cover, coalesce(nullif(regexp_replace(title, '[/\\\\:*?\"<>|]', '', 'g'), ''), 'book') || ' - ' || author || ' (' || language || ').' || format as download from wide")
+def cover_and_download(c: Catalog) -> DataFrame:
+    cover = F.when(F.col("format").isin(*D.COVER_FORMATS), D.cover_url("http://h", "file_name", "format", "zip"))
+    return wide(c).select("book_id", cover.alias("cover"), D.download_name("title", "author", "language", "format").alias("download"))
+
+
+# 2.10 book files derived from the catalog: one FB2 document per book
+def fb2_files(c: Catalog) -> DataFrame:
+    text = lambda s: F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    people = F.array_join(F.transform("authors", lambda a: F.concat(F.lit("<author><last-name>"), text(a), F.lit("</last-name></author>"))), "")
+    genres = F.array_join(F.transform("genres", lambda g: F.concat(F.lit("<genre>"), text(g), F.lit("</genre>"))), "")
+    series = F.when(F.col("series").isNotNull(), F.concat(F.lit('<sequence name="'), text(F.col("series")), F.lit('" number="'), F.col("series_no").cast("string"), F.lit('"/>'))).otherwise("")
+    head = F.concat(F.lit("<title-info>"), genres, people, F.lit("<book-title>"), text(F.col("title")), F.lit("</book-title><annotation><p>"), text(F.col("title")), F.lit('</p></annotation><coverpage><image l:href="#c"/></coverpage><lang>'), F.col("language"), F.lit("</lang>"), series, F.lit("</title-info>"))
+    cover = F.concat(F.lit('<binary id="c" content-type="image/png">'), F.base64(F.col("title").cast("binary")), F.lit("</binary>"))
+    whole = F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?><FictionBook xmlns:l="x"><description>'), head, F.lit("</description>"), cover, F.lit("</FictionBook>"))
+    return wide(c).select("zip", F.concat(F.lit("b"), F.col("book_id").cast("string"), F.lit(".fb2")).alias("member"), whole.cast("binary").alias("content"))
+
+
+@query("fb2_metadata", "select 'b' || book_id || '.fb2' as member, title, array_to_string(authors, ';') as authors, replace(genre, ', ', ';') as genres, language as lang, case when series is null then '' when series_no > 0 then series || ' #' || series_no else series end as sequence, '<p>' || title || '</p>' as annotation from wide")
+def fb2_metadata(c: Catalog) -> DataFrame:
+    t = F.col("title_info")
+    join = lambda x: F.array_join(F.coalesce(x, F.array().cast("array<string>")), ";")
+    out = M.fb2_metadata(fb2_files(c))
+    return out.select("member", t["book_title"].alias("title"), join(t["author"]).alias("authors"), join(t["genre"]).alias("genres"), t["lang"].alias("lang"), join(t["sequence"]).alias("sequence"), t["annotation_html"].alias("annotation"))
+
+
+@query("fb2_covers", "select 'b' || book_id || '.fb2' as member, 'image/png' as mime, title as cover from wide")
+def fb2_covers(c: Catalog) -> DataFrame:
+    return M.fb2_covers(fb2_files(c)).select("member", "mime", F.col("cover").cast("string").alias("cover"))
+
+
+# 2.11 streams over files that exist when they start; each ends when it has read them
+def _scratch(c: Catalog) -> str:
+    """A new folder that driver and executors share."""
+    root = c.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliospark-")
+    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+@query("stream_ingest", LINES_SQL + " select distinct title, file_name, zip, array_to_string(authors, ';') as authors from records")
+def stream_ingest(c: Catalog) -> DataFrame:
+    at = _scratch(c)
+    lines(c).select("line").write.text(f"{at}/in")
+    manifest = archives(c)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        found = I.resolve_archive(I.valid_records(I.parse_records(batch)), manifest)
+        found.select("title", "file_name", "zip", F.array_join("authors", ";").alias("authors")).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    T.stream_ingest(T.stream_lines(c.spark, f"{at}/in", "*.txt"), merge, f"{at}/checkpoint").awaitTermination()
+    return c.spark.read.schema("title string, file_name string, zip string, authors string").parquet(f"{at}/out").select("title", "file_name", "zip", "authors").distinct()
+
+
+def _streamed(c: Catalog, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is a folder or a single file."""
+    reader = c.spark.readStream.schema(c.table(name).schema)
+    if all(f.endswith(f"/{name}.parquet") for f in c.table(name).inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(c.sf_dir)
+    return reader.parquet(f"{c.sf_dir}/{name}.parquet")
+
+
+@query("stream_dedup", "select distinct p_name as title, p_brand as file_name, p_type as zip from part")
+def stream_dedup(c: Catalog) -> DataFrame:
+    at = _scratch(c)
+    keys = _streamed(c, "part").select(F.col("p_name").alias("title"), F.col("p_brand").alias("file_name"), F.col("p_type").alias("zip"))
+    T.stream_dedup(keys).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return c.spark.read.schema("title string, file_name string, zip string").parquet(f"{at}/out")
+
+
+@query("stream_shelf", "select user_id, book_id from (select user_id, book_id, arg_max(action, (ts, event_id)) as action from shelf_events group by 1, 2) where action = 'add'")
+def stream_shelf(c: Catalog) -> DataFrame:
+    at = _scratch(c)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.where("action = 'add'").select("user_id", "book_id").write.mode("overwrite").parquet(f"{at}/out")
+
+    state = T.stream_shelf(c.shelf_events(_streamed(c, "events")))
+    state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return c.spark.read.parquet(f"{at}/out")

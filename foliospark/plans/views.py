@@ -53,8 +53,8 @@ class Catalog:
             F.when(key % 20 == 0, 1).otherwise(0).alias("del"), "added_at",
         )
 
-    def shelf_events(self) -> DataFrame:
-        rows = self.table("events").where(F.col("event_type").isin("click", "purchase", "error"))
+    def shelf_events(self, events: DataFrame | None = None) -> DataFrame:
+        rows = (self.table("events") if events is None else events).where(F.col("event_type").isin("click", "purchase", "error"))
         book = F.get_json_object("props", "$.k").cast("long") + 1
         return rows.select("event_id", "ts", "user_id", book.alias("book_id"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"))
 
