@@ -6,6 +6,8 @@ candidates must share such a prefix n-gram under each of three orders; the filte
 All orders put n-grams of rare buckets first (bucket counts of a count sketch of fixed size over the whole corpus, so that common
 lines and passages come last); within a bucket class they differ by their hash.
 
+Each filter also bounds the overlap by the n-grams that two prefixes have in common.
+
 Pairs are not expanded within a group. First every prefix list links its members to the most central one (the one
 whose shared n-gram comes earliest in its own order); then only members of different components of these
 links are compared, with all filters, until no pair of a list is left unjudged. Linked groups so cost about one pair per member.
@@ -32,6 +34,8 @@ from foliospark.llm.components import components
 
 #: Buckets of the count sketch: its size does not depend on the corpus; each bucket has one byte in the broadcast.
 SKETCH_BITS = 18
+#: Buckets of keys that may be broadcast, whatever the size of the corpus; with most of them taken the filter lets rows through to the join.
+BUCKETS = 1 << 20
 #: Seeds of the orders within a class.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -57,12 +61,15 @@ def shingles(word_hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _word_hashes(docs: DataFrame) -> DataFrame:
     """docs with the hashes of its words in place of its text."""
-    hashes = F.transform(F.filter(words(F.col("text")), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return docs.withColumn("hashes", hashes).drop("text")
+    return docs.withColumn("hashes", _hashes("text")).drop("text")
+
+
+def _hashes(text: str) -> Column:
+    return F.transform(F.filter(words(F.col(text)), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def sketch_classes(hashed: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """log2 of the n-grams counted in each bucket, over all documents."""
+    """Class of each bucket by the n-grams counted in it over all documents: 0 up to chance, then by doubling."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, dtype=np.int64)
@@ -73,16 +80,18 @@ def sketch_classes(hashed: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.nda
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
     rows = hashed.select("hashes").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    out[rows["bucket"].to_numpy()] = np.log2(rows["n"].to_numpy() + 1).astype(np.uint8)
-    return out
+    total = np.zeros(1 << bits)
+    total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    load = total.mean()  # a bucket's count where it holds rare n-grams only, give or take its root
+    over = (total - load) / (4 * max(load, 1) ** 0.5)
+    return np.where(over <= 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.uint8)
 
 
 def ordered(grams: np.ndarray, classes: np.ndarray, seed: int) -> np.ndarray:
     """Sort keys under one global order: the class, then a hash."""
     bits = int(len(classes)).bit_length() - 1
     rank = classes[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-    return (rank << np.uint64(58)) | (mixed(grams ^ np.uint64(seed)) >> np.uint64(6))
+    return (rank << np.uint64(57)) | (mixed(grams ^ np.uint64(seed)) >> np.uint64(7))
 
 
 def _first(keys: np.ndarray, k: int) -> np.ndarray:
@@ -91,6 +100,10 @@ def _first(keys: np.ndarray, k: int) -> np.ndarray:
     return np.sort(keys)
 
 
+def node_of(grams: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
+
+
 def prefix_length(size: int, percent: int) -> int:
     return size + (-percent * size) // 100 + 1 if size else 0
 
@@ -105,7 +118,7 @@ def features(hashed: DataFrame, classes: np.ndarray, n: int, percent: int) -> Da
             for h in b["hashes"]:
                 grams = shingles(h, n)
                 size.append(len(grams))
-                node.append(int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None)
+                node.append(node_of(grams))
                 new = len(grams) and node[-1] not in seen
                 prefix.append(_first(ordered(grams, classes, ORDERS[0]), prefix_length(len(grams), percent)).view(np.int64) if new else np.zeros(0, dtype=np.int64))
                 seen.add(node[-1])
@@ -114,16 +127,27 @@ def features(hashed: DataFrame, classes: np.ndarray, n: int, percent: int) -> Da
     return hashed.mapInPandas(make, "row_key long, doc_id long, size int, node long, prefix array<long>")
 
 
-def gram_sets(hashed: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(node, grams, second, third): whole sets, and their prefixes in the other orders, which filter only and so keep 32 bits."""
+def exact_links(pairs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
+    """Of (a, b, hashes_a, hashes_b) the pairs whose prefixes have enough in common under every order, and whose sets then link."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [_linked(shingles(x, n), shingles(y, n), classes, percent) for x, y in zip(batch["hashes_a"], batch["hashes_b"])]
+            yield batch.loc[keep, ["a", "b"]]
+
+    return pairs.mapInPandas(check, "a long, b long")
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(h, n) for h in b["hashes"]]
-            others = [[_first(ordered(g, classes, seed), prefix_length(len(g), percent)).view(np.int64).astype(np.int32) for g in sets] for seed in ORDERS[1:]]
-            yield pd.DataFrame({"node": b["node"], "grams": [g.view(np.int64) for g in sets], "second": others[0], "third": others[1]})
 
-    return hashed.mapInPandas(make, "node long, grams array<long>, second array<int>, third array<int>")
+def _linked(x: np.ndarray, y: np.ndarray, classes: np.ndarray, percent: int) -> bool:
+    def reaches(common: int) -> bool:
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    for seed in ORDERS[1:]:
+        p, q = (_first(ordered(g, classes, seed), prefix_length(len(g), percent)) for g in (x, y))
+        rest = len(x) - len(p) if p[-1] <= q[-1] else len(y) - len(q)
+        if not reaches(len(np.intersect1d(p, q, assume_unique=True)) + rest):
+            return False
+    return reaches(len(np.intersect1d(x, y, assume_unique=True)))
 
 
 def _could_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, percent: int) -> Column:
@@ -132,16 +156,48 @@ def _could_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, perc
     return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (100 * most >= percent * (size_a + size_b - most))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct (a, b) those that pass the other orders and then the exact check."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
-    kept = pairs.join(side("a"), "a").join(side("b"), "b")
-    kept = kept.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-    own = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
-    both = kept.join(own("a"), "a").join(own("b"), "b")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    counted = both.select("a", "b", common.alias("common"), (F.size("grams_a") + F.size("grams_b")).alias("total"))
-    return counted.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+def _enough_common(a: Column, size_a: Column, b: Column, size_b: Column, percent: int) -> Column:
+    """Two prefixes under one order have so many n-grams in common that the pair could link.
+
+    Of the prefix that ends first, every n-gram that the other set holds is in the other's prefix too.
+    """
+    rest = F.when(F.element_at(a, -1) <= F.element_at(b, -1), size_a - F.size(a)).otherwise(size_b - F.size(b))
+    most = F.size(F.array_intersect(a, b)) + rest
+    return 100 * most >= percent * (size_a + size_b - most)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows joined to wanted (key, ..). Before the shuffle most other rows go by their key's bucket: a broadcast of BUCKETS integers at most."""
+    bucket = lambda: F.pmod(F.col(key), F.lit(BUCKETS)).cast("int")
+    there = wanted.select(bucket().alias("bucket")).distinct()
+    near = rows.withColumn("bucket", bucket()).join(F.broadcast(there), "bucket", "left_semi").drop("bucket")
+    return near.join(wanted, key)
+
+
+def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) with the columns of rows (node, ..) for each end."""
+    side = lambda x: rows.select(*(F.col(c).alias(f"{c}_{x}") for c in rows.columns))
+    return pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, nodes: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
+    """Of distinct (a, b) those whose prefixes in the first order have enough in common, and that pass the other orders and the exact check.
+
+    Only texts that a candidate names are fetched; texts are smaller than the sets and so travel in their place.
+    """
+    pairs = written(pairs)
+    near = _both(pairs, _only(prefixes, written(_ends(pairs)), "node"))
+    near = near.where(_enough_common(F.col("prefix_a"), F.col("size_a"), F.col("prefix_b"), F.col("size_b"), percent))
+    near = written(near.select("a", "b").distinct())
+    wanted = written(nodes.join(_ends(near), "node", "left_semi").select("row_key", "node"))
+    found = _only(texts.select("row_key", "text"), wanted, "row_key").select("node", "text")
+    both = _both(near, found)
+    hashed = both.select("a", "b", *(_hashes(f"text_{x}").alias(f"hashes_{x}") for x in ("a", "b")))
+    return written(exact_links(hashed, classes, n, percent).distinct())
 
 
 def prefix_lists(rows: DataFrame) -> DataFrame:
@@ -166,12 +222,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = written(prefix_lists(rows))
 
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"))
-    active = nodes.join(members.select("node").distinct(), "node", "left_semi").select("row_key", "node")
-    found = texts.select("row_key", "text").join(active, "row_key")
-    sets = written(gram_sets(_word_hashes(found), classes, n, percent).dropDuplicates(["node"]))
+    prefixes = rows.where(F.size("prefix") > 0).select("node", "size", "prefix")
 
     near = members.where((F.col("node") != F.col("hub")) & _could_link(F.col("size"), F.col("at"), F.col("hub_size"), F.col("hub_at"), percent))
-    first = written(_verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
+    first = _verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), prefixes, texts, nodes, classes, n, percent)
     roots = components(first)
 
     # what is left: pairs of a list whose ends are in different components
@@ -182,7 +236,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     right = left.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "root")))
     apart = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))
     cross = left.join(right, ["gram", "band"]).where(apart & _could_link(F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), percent))
-    second = _verified(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent)
+    second = _verified(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), prefixes, texts, nodes, classes, n, percent)
     roots = components(first.unionByName(second))
 
     grouped = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
