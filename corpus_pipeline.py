@@ -18,11 +18,14 @@ from foliospark.llm.secrets import find_secrets, masked
 
 #: What stands in place of a secret.
 MASK = "[SECRET]"
+#: Stands for the samples where nothing is labelled: a single language, so only texts without a letter are unknown.
+NO_LABELS = (("any", ""),)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter; other columns stay as they are."""
-    found = identify(docs, training_samples(docs))
+    """Drops texts that are null or have no letter, whatever the labels; other columns stay as they are."""
+    samples = tuple(s for s in training_samples(docs) if s[0] != UNKNOWN)
+    found = identify(docs, samples or NO_LABELS)
     return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

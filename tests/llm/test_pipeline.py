@@ -60,3 +60,18 @@ def test_stages_with_nulls_repeats_and_no_rows(spark, data):
 
 def test_run(spark, data):
     assert cp.run(spark, data).count() > 0 and cp.ORACLE_SQL is None
+
+
+def test_language_stage_keeps_documents_without_labels(spark, data):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["one two", None, "12 !!", "", "漢字", "three"]
+    for lang in (None, "und"):
+        docs = spark.createDataFrame([(i, t, lang, None, None) for i, t in enumerate(texts)], schema)
+        assert sorted(r.doc_id for r in cp.language_stage(spark, docs, data).collect()) == [0, 4, 5]
+    docs = spark.createDataFrame([(0, "one two", None, None, None), (1, None, "en", None, None), (None, "x", None, None, None)], schema)
+    assert sorted(r.text for r in cp.language_stage(spark, docs, data).collect()) == ["one two", "x"]
+    rows = [(i, f"text number {i} " + "abcdefghij"[i] * 30, None, None, None) for i in range(10)]
+    spark_docs = spark.createDataFrame(rows, schema)
+    for _, stage in cp.STAGES:
+        spark_docs = cp.written(stage(spark, spark_docs, data))
+    assert {r.doc_id for r in spark_docs.collect()} == set(range(10))
