@@ -37,8 +37,14 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]{24,}"),
 )
+#: What follows the first line of a key: all up to its END line, with no other line of five dashes between; where that is missing, header
+#: fields, lines (or parts between written-out line ends) of 16 and more base64 letters, and a shorter last line. Possessive loops need no stack.
+KEY_BODY = (
+    "(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    "|(?:[ \\t\\r\\n]++(?:Proc-Type|DEK-Info):[^\\r\\n]*+)*+(?:(?:[ \\t\\r\\n]|\\\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)++(?:(?:[\\r\\n]|\\\\[nr])++[A-Za-z0-9+/]{1,15}+={0,2}+(?![^\\r\\n\\\\\"']))?+)?+"
+)
 MORE_RULES = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----" + KEY_BODY),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
 )

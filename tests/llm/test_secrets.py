@@ -63,3 +63,26 @@ def test_masks_cover_the_spans(spark):
                 want += text[at:start] + "#"
             at = max(at, end)
         assert r.masked_text == want + text[at:]
+
+
+def test_the_whole_private_key_is_masked(spark):
+    lines = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/" * 9 + "xyz"] * 400 + ["aB3+/q=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    prose = "Some words follow here and then internationalization-of-words."
+    cases = {
+        f"x {begin}\n{lines}\n{end} y": "x # y",
+        f"x {begin}\n{fields}{lines}\n{end}\n{prose}": f"x #\n{prose}",
+        f"x {begin}\n{lines}\n{end}\n{prose}\n{begin}\n{lines}\n{end}": f"x #\n{prose}\n#",
+        f"x {begin}\n{lines}": "x #",
+        f"x {begin}\n{fields}{lines}\n{prose}": f"x #\n{prose}",
+        f"x {begin}\n{lines}\n\n{prose}\n{begin}\n{lines}\n{end} z": f"x #\n\n{prose}\n# z",
+        f"k = '{begin}\\n{lines}\\n{end}\\n'".replace("\n", "\\n"): "k = '#\\n'",
+        f"k = '{begin}\n{lines}'".replace("\n", "\\n"): "k = '#'",
+        f"x {begin} {prose}": f"x # {prose}",
+        f"{begin}\r\n{lines}\r\n{end}\r\n{prose}".replace("\r\n", "\n").replace("\n", "\r\n"): f"#\r\n{prose}",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in masked(find_secrets(docs), "#").collect():
+        assert r.masked_text == cases[r.text], r.text[:80]
+        assert [tuple(x) for x in r.found] == brute(r.text)
