@@ -48,6 +48,7 @@ class CachedTokenizer(dict):
     So a text is a sequence of units (a space and what follows up to the next such space), whose ids do not depend on
     their neighbours. A new unit goes through the tokenizer's pre-tokenizer and its BPE model and is remembered, without the space of its beginning, as
     little-endian bytes, in two generations: when the younger is full it becomes the older, and what is used again moves back.
+    A text that holds an added token goes through the tokenizer itself, as such a token is found before anything else.
     """
 
     def __init__(self, path: str):
@@ -56,7 +57,7 @@ class CachedTokenizer(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.parts, self.odd_space = regex.compile(PRINTABLE_PARTS), regex.compile(r" (?=\s|$)|^ ")
         self.model, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.pre_tokenizer
         if self.tokenizer.normalizer is not None:
@@ -95,6 +96,8 @@ class CachedTokenizer(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return np.array(self.ids(text), dtype="<u4").tobytes()
         if len(self) > CACHE_UNITS:
             self.old = dict(self)
             self.clear()

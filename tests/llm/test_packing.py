@@ -65,3 +65,20 @@ def test_plan_places_every_piece_once():
                 assert fill[s] == offset
                 fill[s] += length
         assert max(fill.values()) <= 128 and sum(fill.values()) / (128 * len(fill)) > 0.97
+
+
+def test_added_tokens_are_what_the_tokenizer_makes_of_them(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizer())
+    mark = tokenizer.id_to_token(50256)
+    texts = ["x <|endoftext|> y", mark, mark * 3 + "a", f"  {mark}\n b  {mark}", f"it's{mark}we'll", "<|endoftext", "<|endoftext|", " ".join(["word"] * 3000 + [mark, "é"])]
+    out = defaultdict(list)
+    for r in packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizer()).collect():
+        out[r.doc_id].append(r)
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert CachedTokenizer(public_tokenizer()).ids(text) + [1] == ids
+        for r in out[i]:
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes())
+        assert sum(r.length for r in out[i]) == len(ids)
