@@ -1,9 +1,9 @@
 """Language ID by cross-parsing entropy.
 
 Each language's sample gives a suffix automaton. A text is parsed greedily into the longest phrases that occur in the sample;
-the language that needs the fewest phrases per symbol wins. The automata are dense transition tables, so that a task
-steps through many stretches of text and all languages at once; a stretch is STRETCH symbols and every
-stretch starts a new phrase, in texts of any length.
+the language that needs the fewest phrases per symbol wins. The automata are dense transition tables over the letters of their own sample, so that a task
+steps through many stretches of text and all languages at once; those that would take the tables beyond DENSE cells (scripts of thousands of letters)
+are sorted lists of transitions. A stretch is STRETCH symbols and every stretch starts a new phrase, in texts of any length.
 
 The classifier is fitted on a bounded sample of labelled rows: the SAMPLE_DOCS rows of each language that come first by a hash of their id, and
 SAMPLE_CHARS code points of each. Prediction reads whole texts.
@@ -14,7 +14,6 @@ ties go to the language that comes first by name; repeated rows each get a row;
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,10 @@ from pyspark.sql import types as T
 from foliospark.llm.common import crc_fold, table
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
-#: Symbols of the automata: 0 any letter that no sample holds, 1 runs of anything but letters, the rest single letters.
-SYMBOLS, STRETCH = 64, 1024
+#: Symbols: 0 any letter that no sample holds, 1 runs of anything but letters, the rest single letters, each letter of the samples its own.
+STRETCH = 1024
+#: Cells of all dense tables together.
+DENSE = 1 << 25
 #: Code points handled at once by a task.
 BLOCK_CHARS = 2_000_000
 UNKNOWN, NEW_PHRASE = "und", 1 << 30
@@ -70,31 +71,55 @@ class CrossParser:
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
-        letters = Counter(c.lower() for _, text in samples for c in text if c.isalpha())
-        kept = {c: i + 2 for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2])}
-        self.symbol = np.array([kept.get(chr(c).lower(), 0) if chr(c).isalpha() else 1 for c in range(0x10000)], dtype=np.uint8)
-        blocks, self.starts, base = [], [], 0
-        for _, text in samples:
-            moves = suffix_automaton(self.symbols(text)[0].tolist())
+        self.letters = {c: i + 2 for i, c in enumerate(sorted({c.lower() for _, text in samples for c in text if c.isalpha()}))}
+        self.symbol = np.array([self._code(c) for c in range(0x10000)], dtype=np.int32)
+        automata = []
+        for i, (_, text) in enumerate(samples):
+            own, places = np.unique(self.symbols(text)[0], return_inverse=True)
+            local = np.zeros(len(self.letters) + 2, dtype=np.int32)  # 0: not in this sample, which always starts a new phrase
+            local[own] = np.arange(1, len(own) + 1)
+            moves = suffix_automaton((places + 1).tolist())
             moves.append({})  # between phrases: whatever comes starts a new one
-            root = np.full(SYMBOLS, base + len(moves) - 1, dtype=np.int32)
+            automata.append((len(moves) * (len(own) + 1), i, local, len(own) + 1, moves))
+        blocks, locals_, self.starts, self.dense, self.sparse, base = [], [], [], [], [], 0
+        for cells, i, local, width, moves in sorted(automata, key=lambda a: a[:2]):
+            if base + cells > DENSE:
+                self.sparse.append((i, local, *self._listed(moves, width)))
+                continue
+            root = np.full(width, base + cells - width, dtype=np.int32)
             for s, to in moves[0].items():
-                root[s] = base + to
+                root[s] = base + to * width
             dense = np.tile(root | NEW_PHRASE, (len(moves), 1))
             for state, out in enumerate(moves):
                 for s, to in out.items():
-                    dense[state, s] = base + to
-            blocks.append(dense)
-            self.starts.append(base + len(moves) - 1)
-            base += len(moves)
-        self.moves = np.concatenate(blocks).ravel() if blocks else np.zeros(0, dtype=np.int32)
+                    dense[state, s] = base + to * width
+            blocks.append(dense.ravel())
+            locals_.append(local)
+            self.dense.append(i)
+            self.starts.append(base + cells - width)
+            base += cells
+        self.moves = np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.int32)
+        self.local = np.stack(locals_) if blocks else np.zeros((0, len(self.letters) + 2), dtype=np.int32)
+
+    @staticmethod
+    def _listed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(keys in order, next states, next states where no key is found, start); states are multiplied by the width, and a key is a state plus a symbol."""
+        pairs = sorted((state * width + s, to * width) for state, out in enumerate(moves) for s, to in out.items())
+        root = np.full(width, (len(moves) - 1) * width, dtype=np.int64)
+        for s, to in moves[0].items():
+            root[s] = to * width
+        keys, to = np.array([*pairs, (len(moves) * width, 0)], dtype=np.int64).T
+        return np.ascontiguousarray(keys), np.ascontiguousarray(to), root, (len(moves) - 1) * width
+
+    def _code(self, code: int) -> int:
+        return self.letters.get(chr(code).lower(), 0) if chr(code).isalpha() else 1
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols of a text, and whether it has a letter."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         out = self.symbol[np.minimum(codes, 0xFFFF)]
         for c in np.unique(codes[codes > 0xFFFF]):
-            out[codes == c] = 0 if chr(c).isalpha() else 1
+            out[codes == c] = self._code(int(c))
         gap = out == 1
         keep = ~gap
         keep[:1] = True
@@ -105,20 +130,33 @@ class CrossParser:
         """(languages, stretches): phrases of each stretch, all stepped through together."""
         order = np.argsort([-len(s) for s in stretches], kind="stable")
         lengths = np.array([len(stretches[i]) for i in order])
-        grid = np.zeros((lengths.max(initial=0), len(order)), dtype=np.uint8)
+        grid = np.zeros((lengths.max(initial=0), len(order)), dtype=np.int32)
         for column, i in enumerate(order):
             grid[: lengths[column], column] = stretches[i]
         state = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], len(order), axis=1)
         count = np.zeros(state.shape, dtype=np.int32)
+        listed = [np.full(len(order), start, dtype=np.int64) for *_, start in self.sparse]
+        counts = np.zeros((len(listed), len(order)), dtype=np.int32)
         active = len(order)
         for t in range(len(grid)):
             while active and lengths[active - 1] <= t:
                 active -= 1
-            to = self.moves[state[:, :active] * SYMBOLS + grid[t, :active]]
-            count[:, :active] += to >> 30
-            state[:, :active] = to & (NEW_PHRASE - 1)
-        out = np.empty_like(count)
-        out[:, order] = count
+            now = grid[t, :active]
+            if self.dense:
+                to = self.moves[state[:, :active] + self.local[:, now]]
+                count[:, :active] += to >> 30
+                state[:, :active] = to & (NEW_PHRASE - 1)
+            for k, (_, local, keys, next_, root, _) in enumerate(self.sparse):
+                s = local[now]
+                wanted = listed[k][:active] + s
+                at = np.searchsorted(keys, wanted)
+                found = keys[at] == wanted
+                counts[k, :active] += ~found
+                listed[k][:active] = np.where(found, next_[at], root[s])
+        out = np.empty((len(self.langs), len(order)), dtype=np.int32)
+        for rows, own in ((count, self.dense), (counts, [i for i, *_ in self.sparse])):
+            for row, i in zip(rows, own):
+                out[i, order] = row
         return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:

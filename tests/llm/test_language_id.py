@@ -61,3 +61,32 @@ def test_held_out_accuracy(spark):
     right = sum(r.lang_pred == truth[r.doc_id] for r in held)
     print(right, len(held), [(r.doc_id, r.lang_pred, truth[r.doc_id], r.score) for r in held if r.lang_pred != truth[r.doc_id]], sorted(r.score for r in held)[:5])
     assert right >= 0.97 * len(held)
+
+
+def test_every_letter_of_the_samples_counts(spark, monkeypatch):
+    from foliospark.llm import language_id
+
+    scripts = {"am": (0x1200, 80), "el": (0x3B1, 24), "got": (0x10330, 27), "ja": (0x3041, 80), "ka": (0x10D0, 33), "ko": (0xAC00, 1500), "la": (0x61, 26), "ru": (0x430, 32), "zh": (0x4E00, 2500), "zu": (0x61, 26)}
+    step = {"zu": 7}  # its letters are those of la in another order
+
+    def text(lang, n, seed):
+        first, size = scripts[lang]
+        return "".join(" " if (i + seed) % 6 == 5 else chr(first + (seed * 11 + i * step.get(lang, 1)) % size) for i in range(n))
+
+    samples = tuple((lang, "\n".join(text(lang, 400, s) for s in range(12))) for lang in sorted(scripts))
+    texts = {lang: text(lang, 300, 40) for lang in scripts}
+    symbols = {c.lower() for _, t in samples for c in t if c.isalpha()}
+    found = []
+    for cells in (language_id.DENSE, 1 << 18, 0):  # all tables, some, none
+        monkeypatch.setattr(language_id, "DENSE", cells)
+        parser = CrossParser(samples)
+        assert len({int(parser.symbols(c)[0][0]) for c in symbols}) == len(symbols) and 0 not in {int(parser.symbols(c)[0][0]) for c in symbols}
+        assert (len(parser.sparse) == len(samples)) == (cells == 0)
+        for lang, t in texts.items():
+            own = parser.symbols(t)[0]
+            assert parser.phrases([own])[:, 0].tolist() == [brute(own.tolist(), parser.symbols(s)[0].tolist()) for _, s in samples], lang
+        found.append(parser.predict(list(texts.values())))
+    assert found[0] == found[1] == found[2] and [x for x, _ in found[0]] == list(texts)
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    assert [r.lang_pred for r in identify(df, samples).orderBy("doc_id").collect()] == list(texts)
