@@ -7,9 +7,9 @@ a softmax over its words, within a band or the tail the smoothed share of the wo
 the words seen in training and one unseen word. A document is read from its first word to its end token, with the state of the
 gated recurrent unit carried from window to window.
 
-Training: every training document gives one stretch of STRETCH tokens, from a place drawn by its key. Each task runs truncated backpropagation
-(WINDOW tokens) over the stretches of its split, from the same first parameters, which start at the unigram distribution; the parameters are averaged by
-a Spark aggregation weighted by tokens, for ROUNDS rounds. Their number does not depend on the corpus.
+Training: all tokens of every training document, once a round. Each task runs truncated backpropagation (WINDOW tokens) over the documents of its split,
+BATCH at once and each with its state carried from window to window, from the same first parameters, which start at the unigram distribution;
+the parameters are averaged by a Spark aggregation weighted by tokens, for ROUNDS rounds. Their number does not depend on the corpus.
 
 Words outside the head meet their counts in an equi-join, so nothing that grows with the vocabulary is broadcast.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import crc_fold, table, words, written
 
 HEAD, EXPLICIT, CLASS_WORDS = 1 << 16, 1024, 32
-HIDDEN, WINDOW, STRETCH, ROUNDS = 16, 16, 48, 2
+HIDDEN, WINDOW, ROUNDS = 16, 16, 2
 #: Documents trained on at once, step size (Adam), documents scored at once.
 BATCH, RATE, SCORED = 128, 0.02, 4096
 END = "\n"  # no word holds a line end
@@ -189,6 +189,28 @@ def window_gradients(p: dict[str, np.ndarray], tokens: np.ndarray, before: np.nd
     return grads, h, -float(logs.sum())
 
 
+def windows(sequences: Iterator[np.ndarray], begin: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, before, live, carried) of all tokens, WINDOW at a time of BATCH sequences at once, as (time, batch); a place whose sequence has ended
+    gets the next one. carried: the places of the window before that go on, -1 for a new sequence."""
+    open_, more = [], True
+    while True:
+        carried = [i for i, (s, at) in enumerate(open_) if at < len(s)]
+        open_ = [open_[i] for i in carried]
+        while more and len(open_) < BATCH:
+            s = next(sequences, None)
+            if s is None:
+                more = False
+            elif len(s):
+                open_.append((s, 0))
+                carried.append(-1)
+        if not open_:
+            return
+        tokens, before, live = padded([s[at : at + WINDOW] for s, at in open_], begin)
+        before[0] = [s[at - 1] if at else begin for s, at in open_]
+        open_ = [(s, at + WINDOW) for s, at in open_]
+        yield tokens, before, live, np.array(carried)
+
+
 def padded(sequences: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, before, live) as (time, batch)."""
     longest = max(map(len, sequences))
@@ -199,25 +221,22 @@ def padded(sequences: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndar
     return tokens, before, live
 
 
-def trained(p: dict[str, np.ndarray], batches: Iterator[list[np.ndarray]], begin: int) -> tuple[dict[str, np.ndarray], int]:
+def trained(p: dict[str, np.ndarray], sequences: Iterator[np.ndarray], begin: int) -> tuple[dict[str, np.ndarray], int]:
     """Parameters after one pass with Adam, and the tokens seen."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    seen, step = 0, 0
-    for sequences in batches:
-        tokens, before, live = padded(sequences, begin)
-        h = np.zeros((len(sequences), HIDDEN), dtype=np.float32)
-        for at in range(0, len(tokens), WINDOW):
-            part = slice(at, at + WINDOW)
-            n = int(live[part].sum())
-            grads, h, _ = window_gradients(p, tokens[part], before[part], live[part], h)
-            step += 1
-            seen += n
-            for k in p:
-                g = grads[k] / n
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                p[k] -= RATE / math.sqrt(step) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+    seen, step, h = 0, 0, np.zeros((1, HIDDEN), dtype=np.float32)
+    for tokens, before, live, carried in windows(sequences, begin):
+        h = np.where(carried[:, None] < 0, np.float32(0), h[carried])
+        n = int(live.sum())
+        grads, h, _ = window_gradients(p, tokens, before, live, h)
+        step += 1
+        seen += n
+        for k in p:
+            g = grads[k] / n
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.01 * (g * g - v[k])
+            p[k] -= RATE / math.sqrt(step) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
     return p, seen
 
 
@@ -263,28 +282,20 @@ def train(training: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", t
     p = first_parameters(vocabulary)
     shapes, begin = {k: x.shape for k, x in p.items()}, EXPLICIT + vocabulary.bands + 1
     known = spark.sparkContext.broadcast(vocabulary)
-    rows = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)).alias("place"))
+    rows = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v, held = known.value, []
+            v = known.value
+            ids, tail = v.ids, len(v.head)
 
-            def stretches() -> Iterator[list[np.ndarray]]:
-                nonlocal held
+            def sequences() -> Iterator[np.ndarray]:
                 for b in batches:
-                    for text, place in zip(b["text"], b["place"]):
-                        tokens = text.encode().lower().split() + [END.encode()]
-                        at = place % max(1, len(tokens) - STRETCH + 1)
-                        tail = len(v.head)
-                        held.append(v.symbol[[v.ids.get(w, tail) for w in tokens[at : at + STRETCH]]])
-                        if len(held) == BATCH:
-                            yield held
-                            held = []
-                if held:
-                    yield held
-
-            after, seen = trained(sent.value, stretches(), begin)
+                    for text in b["text"]:
+                        yield v.symbol[[ids.get(w, tail) for w in text.encode().lower().split() + [END.encode()]]]
+
+            after, seen = trained(sent.value, sequences(), begin)
             if seen:
                 flat = np.concatenate([after[k].ravel() for k in shapes]).astype(np.float64)
                 yield pd.DataFrame({"at": np.arange(len(flat)), "x": flat * seen, "n": float(seen)})

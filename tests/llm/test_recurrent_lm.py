@@ -100,3 +100,49 @@ def test_edges(spark):
         if r.doc_id:
             assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and abs(r.base_score - want[r.doc_id][3]) < 1e-6 * abs(want[r.doc_id][3])
     assert lm.score_texts(df.limit(0), counts, v, lm.first_parameters(v)).count() == 0
+
+
+def test_every_token_is_trained_on(monkeypatch):
+    rng, begin = np.random.default_rng(4), 50
+    monkeypatch.setattr(lm, "BATCH", 3)
+    sequences = [rng.integers(0, 40, n) for n in (1, 200, 16, 17, 33, 5, 700, 32)]
+    done, places = [], []
+    for tokens, before, live, carried in lm.windows(iter(sequences), begin):
+        assert len(carried) == tokens.shape[1] <= 3 and len(tokens) <= lm.WINDOW
+        now = []
+        for i, old in enumerate(carried):
+            own = tokens[live[:, i], i].tolist()
+            if old < 0:
+                done.append([])
+            one = done[-1] if old < 0 else places[old]
+            assert before[0, i] == (one[-1] if one else begin) and before[1 : len(own), i].tolist() == own[:-1]
+            one += own
+            now.append(one)
+        places = now
+    assert done == [s.tolist() for s in sequences]
+
+
+def test_training_carries_the_state_over_all_windows(monkeypatch):
+    v = small_vocabulary()
+    p, begin = lm.first_parameters(v), lm.EXPLICIT + v.bands + 1
+    sequences = [np.random.default_rng(5).integers(0, 40, n) for n in (100, 20_000)]
+    states, real = [], lm.window_gradients
+
+    def kept(p, tokens, before, live, h):
+        out = real(p, tokens, before, live, h)
+        states.append((h.copy(), out[1].copy()))
+        return out
+
+    monkeypatch.setattr(lm, "window_gradients", kept)
+    assert lm.trained(p, iter(sequences), begin)[1] == 20_100
+    assert len(states) == 1250 and (states[0][0] == 0).all()
+    assert all((new[0][-1] == old[1][-1]).all() for old, new in zip(states, states[1:]))
+
+
+def test_train_reads_whole_documents(spark, monkeypatch):
+    texts = [(1, " ".join(f"w{i % 30}" for i in range(5000)), 0), (2, "w1 w2", 0), (3, None, 0)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, x int")
+    counts, v = lm.vocabulary_of(df)
+    p = lm.train(df.coalesce(1), v)
+    scores = {r.doc_id: r for r in lm.score_texts(df, counts, v, p).collect()}
+    assert scores[1].n_tokens == 5001 and scores[1].score > 0.6 * scores[1].base_score
