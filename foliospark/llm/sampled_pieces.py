@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding with sampled segmentations.
 
-The pieces of a model form a lattice over each word; a whole text's segmentation is one path through the lattices of its words. Pieces of a BPE model
+The pieces of a model form a lattice over each word; a whole text's segmentation is one path through the lattices of its words. A text is cut into words
+only where no piece of the model spans the cut, so a run of space marks stays with the word that follows. Pieces of a BPE model
 carry ranks as scores, so the path weights take the probability of a piece as 1 / (rank + ZIPF) (Zipf's law); a character that is no piece is spelled in byte pieces at BYTE_COST.
 
 Gumbel top-k: the k segmentations with the largest perturbed log-probability are a sample without replacement. They are found by a best-first (A*) search
@@ -85,14 +86,15 @@ class Word:
         ahead = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
             ahead[i] = max(w + ahead[j] for j, _, w in edges[i])
-        heap, out = [(-ahead[0], 0, 0.0, ())], []
+        heap, out = [(-ahead[0], 0, 0.0, ())], []  # of ties, as in runs of one character, the prefix that is furthest on is first
         while heap and len(out) < k:
             _, at, done, ids = heapq.heappop(heap)
+            at = -at
             if at == n:
                 out.append((ids, done - self.log_mass))
                 continue
             for j, piece, w in edges[at]:
-                heapq.heappush(heap, (-(done + w + ahead[j]), j, done + w, ids + piece))
+                heapq.heappush(heap, (-round(done + w + ahead[j], 9), -j, done + w, ids + piece))
         return out
 
     def draw(self, u: float) -> tuple[tuple[tuple[int, ...], float], float, float]:
@@ -127,6 +129,9 @@ class PieceLattice:
         total = math.log(sum(1 / (r + ZIPF) for r in range(len(order))))
         self.weight = {self.model.id_to_piece(i): (i, -math.log(r + ZIPF) - total) for r, i in enumerate(order)}
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        #: Characters that stand before a mark inside some piece; the longest piece.
+        self.joined = {a for piece in self.weight for a, b in zip(piece, piece[1:]) if b == SPACE}
+        self.longest = max(LONGEST, *map(len, self.weight))
         self.words: dict[str, Word] = {}
 
     def word(self, text: str) -> Word:
@@ -136,7 +141,7 @@ class PieceLattice:
                 self.words.clear()
             edges = []
             for i, c in enumerate(text):
-                out = [(j, (hit[0],), hit[1]) for j in range(i + 1, min(len(text), i + LONGEST) + 1) if (hit := self.weight.get(text[i:j]))]
+                out = [(j, (hit[0],), hit[1]) for j in range(i + 1, min(len(text), i + self.longest) + 1) if (hit := self.weight.get(text[i:j]))]
                 if c not in self.weight:
                     data = c.encode()
                     out.append((i + 1, tuple(self.bytes[b] for b in data), BYTE_COST * len(data)))
@@ -145,10 +150,15 @@ class PieceLattice:
         return found
 
     def split(self, text: str) -> list[str]:
-        """Words of the normalized text, each with the mark of the space before it."""
-        normal = self.model.normalize(text)
-        parts = normal.split(SPACE)
-        return [p for p in [parts[0], *(SPACE + x for x in parts[1:])] if p]
+        """Words of the normalized text, each with the marks of the spaces before it."""
+        out: list[str] = []
+        for i, x in enumerate(self.model.normalize(text).split(SPACE)):
+            part = SPACE + x if i else x
+            if out and out[-1][-1] in self.joined:
+                out[-1] += part
+            elif part:
+                out.append(part)
+        return out
 
     def sample(self, text: str, k: int, seed: int) -> list[tuple[list[int], float, float, float]]:
         """(ids, log_prob, perturbed, inclusion) in falling order of perturbed, k of them or all there are."""
@@ -170,11 +180,13 @@ class PieceLattice:
                 continue
             before = np.concatenate([[0.0], np.cumsum(logs)])
             left = np.array([-math.expm1(p) if p < 0 else 0.0 for p in logs])
-            if barred:
-                taken = {ids for ids, _ in barred} | {path[at]}
-                left[at] = math.fsum(math.exp(p) for ids, p in words[at].listed() if ids not in taken) + words[at].open_mass
             places = np.arange(at, n)
-            places = places[left[at:] > 1e-15]
+            for i in places[(left[at:] < 1e-9) | ((places == at) & bool(barred))].tolist():  # masses too small for a difference from 1
+                taken = {ids for ids, _ in barred if i == at} | {path[i]}
+                left[i] = math.fsum(math.exp(p) for ids, p in words[i].listed() if ids not in taken) + words[i].open_mass
+                if words[i].open_mass and left[i] <= 1e-15:
+                    left[i] = 0.0
+            places = places[left[at:] > 0]
             if len(places):
                 free = before[places] + np.log(left[places]) - np.log(-np.log(rng.random(len(places))))
                 cut = -np.logaddexp(bound, -free)  # Gumbels cut off at the parent's bound
@@ -263,7 +275,7 @@ def public_model(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document and sample: the number of pieces, the digest of the ids, and the scores."""
-    out = sampled_segmentations(table(spark, sf_dir, "documents"), public_model())
+    """Per document and sample: the number of pieces, the digests of the ids and of the text they decode to, and the scores."""
+    out = decoded(sampled_segmentations(table(spark, sf_dir, "documents"), public_model()), public_model())
     digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256)
-    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), "log_prob", "perturbed", "inclusion")
+    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "log_prob", "perturbed", "inclusion")

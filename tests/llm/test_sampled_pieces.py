@@ -78,3 +78,43 @@ def test_query_is_repeatable(spark, data):
     a, b = (sorted(map(tuple, op4_sampled_pieces(spark, data).collect())) for _ in range(2))
     docs = spark.read.parquet(f"{data}/documents.parquet").count()
     assert a == b and len({r[0] for r in a}) == docs
+
+
+def whole_paths(text):
+    """{ids: log weight} of every segmentation of the whole normalized text."""
+    normal, out = LATTICE.model.normalize(text), {}
+    open_ = [(0, (), 0.0)]
+    while open_:
+        at, ids, p = open_.pop()
+        if at == len(normal):
+            out[ids] = p
+            continue
+        for j in range(at + 1, len(normal) + 1):
+            if (hit := LATTICE.weight.get(normal[at:j])) is not None:
+                open_.append((j, (*ids, hit[0]), p + hit[1]))
+        assert normal[at] in LATTICE.weight
+    total = math.log(sum(map(math.exp, out.values())))
+    return {ids: p - total for ids, p in out.items()}
+
+
+def test_runs_of_spaces_are_segmented_as_a_whole():
+    for text in ("a  b", "a   b c", "  a", "a  ", "    "):
+        want = whole_paths(text)
+        out = LATTICE.sample(text, 5000, 3)
+        assert {tuple(o[0]) for o in out} == set(want) and all(o[3] == 1.0 for o in out), text
+        assert all(abs(want[tuple(ids)] - p) < 1e-9 for ids, p, *_ in out)
+        assert tuple(LATTICE.model.encode(text)) in want
+    assert "".join(LATTICE.split("a  b   c d")) == LATTICE.model.normalize("a  b   c d") and len(LATTICE.split("a b c")) == 3
+    out = LATTICE.sample("x" + " " * 3000 + "y", 4, 1)
+    assert len({tuple(o[0]) for o in out}) == 4 and all(LATTICE.decode(o[0]) == "x" + " " * 3000 + "y" for o in out)
+
+
+def test_query_decodes(spark, tmp_path):
+    import hashlib
+
+    texts = {1: "a  b\tc", 2: None, 3: "    if x:\n        y"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op4_sampled_pieces(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        assert r.text_sha256 == hashlib.sha256(LATTICE.model.decode(LATTICE.model.encode(texts[r.doc_id] or "")).encode()).hexdigest()
