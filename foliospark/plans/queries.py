@@ -207,6 +207,21 @@ def match_queries(c: Catalog) -> DataFrame:
     return S.match_queries(names.unionByName(series).unionByName(titles), S.book_tokens(wide(c)))
 
 
+@query("match_queries_all")
+def match_queries_all(c: Catalog) -> DataFrame:
+    """As match_queries, with a title query of every distinct text of all part rows. No SQL: a test holds it against Python."""
+    return S.match_queries(all_queries(c), S.book_tokens(wide(c)))
+
+
+def all_queries(c: Catalog) -> DataFrame:
+    """(query_id, field, text): a query for each author, series and distinct title text."""
+    texts = c.table("part").select(F.concat_ws(" ", F.substring("p_name", 1, 5), F.col("p_size").cast("string")).alias("text"))
+    titles = assign_ids(texts, None, "text", "n").select((F.col("n") * 3 + 2).alias("query_id"), F.lit("title").alias("field"), "text")
+    names = c.authors().select((F.col("author_id") * 3).alias("query_id"), F.lit("author").alias("field"), F.col("name").alias("text"))
+    series = c.series().select((F.col("series_id") * 3 + 1).alias("query_id"), F.lit("series").alias("field"), F.col("name").alias("text"))
+    return names.unionByName(series).unionByName(titles)
+
+
 def tiers_sql(dim: str, id_col: str, field: str, text: str, exact: str, least: int, fallback: str) -> str:
     return f""", hits as (select * from (select {id_col}, name, case when {exact} then 1 when lower(name) like lower({q(text)}) || '%' then 2 when lower(name) like '%' || lower({q(text)}) || '%' then 3 end as tier from {dim}) z
       where tier is not null order by tier, name, {id_col} limit 500), more as (select {id_col}, name, 4 as tier from {dim} where {id_col} in ({fallback}) order by name, {id_col} limit 500)
@@ -422,7 +437,16 @@ def edit_favorites(c: Catalog) -> DataFrame:
 # 2.9 text functions over titles with accents and marks
 @query("text_functions", f"select book_id, array_to_string({toks('title')}, ' ') as tokens, {low('title')} as folded, {TITLE_CLASS} as class, {title_priority('title', q('the of'))} as priority, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as code, printf('%.2f', file_size / 1048576.0) as mb, trim(regexp_replace(trim(title), '[/\\\\:*?\"<>|\\p{{Cc}}]', '', 'g')) as safe from text_books")
 def text_functions(c: Catalog) -> DataFrame:
-    t = c.text_books()
+    return _text_functions(c.text_books())
+
+
+@query("text_functions_whole")
+def text_functions_whole(c: Catalog) -> DataFrame:
+    """The text functions over whole texts. No SQL: a test holds it against Python."""
+    return _text_functions(c.text_books(whole=True))
+
+
+def _text_functions(t: DataFrame) -> DataFrame:
     return t.select(
         "book_id", F.array_join(X.tokens("title"), " ").alias("tokens"), X.squeeze_lower("title").alias("folded"), X.title_class("language", "title").alias("class"), X.title_priority("title", F.lit("the of")).alias("priority"),
         X.normalize_genre_code("title").alias("code"), X.size_mb("file_size").alias("mb"), X.safe_filename("title").alias("safe"),

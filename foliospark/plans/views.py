@@ -58,8 +58,8 @@ class Catalog:
         book = F.get_json_object("props", "$.k").cast("long") + 1
         return rows.select("event_id", "ts", "user_id", book.alias("book_id"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"))
 
-    def text_books(self) -> DataFrame:
-        title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
+    def text_books(self, whole: bool = False) -> DataFrame:
+        title = F.col("text") if whole else F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
         return self.table("documents").select((F.col("doc_id") + 1).alias("book_id"), title.alias("title"), F.col("source").alias("author"), F.col("lang").alias("language"), F.col("n_chars").alias("file_size"))
 
 
