@@ -1,6 +1,6 @@
 """Language-model scores by a gated recurrent network in numpy.
 
-Words of all training documents are counted by Spark. The HEAD most frequent ones are shipped to the tasks (a bound on their size);
+Words of all training documents are counted by Spark. The most frequent ones, HEAD at most, are shipped to the tasks;
 of these the EXPLICIT most frequent have states of their own in the network, further ones belong to bands of doubling rank, and all other words,
 unseen ones among them, to one tail class. The output softmax is factored: a softmax over classes, then within a class of explicit words
 a softmax over its words, within a band or the tail the smoothed share of the word's count. So the model is a probability distribution over
@@ -9,7 +9,7 @@ gated recurrent unit carried from window to window.
 
 Training: all tokens of every training document, once a round. Each task runs truncated backpropagation (WINDOW tokens) over the documents of its split,
 BATCH at once and each with its state carried from window to window, from the same first parameters, which start at the unigram distribution;
-the parameters are averaged by a Spark aggregation weighted by tokens, for ROUNDS rounds. Their number does not depend on the corpus.
+the parameters are averaged by a Spark aggregation weighted by tokens, once a round, for ROUNDS rounds. Their number does not depend on the corpus.
 
 Words outside the head meet their counts in an equi-join, so nothing that grows with the vocabulary is broadcast.
 
@@ -21,6 +21,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,9 +35,13 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import crc_fold, table, words, written
 
 HEAD, EXPLICIT, CLASS_WORDS = 1 << 16, 1024, 32
-HIDDEN, WINDOW, ROUNDS = 16, 16, 2
-#: Documents trained on at once, step size (Adam), documents scored at once.
-BATCH, RATE, SCORED = 128, 0.02, 4096
+HIDDEN, WINDOW, ROUNDS = 16, 32, 1
+#: Documents trained on at once, step size (Adam), documents scored at once, states whose outputs are computed at once, documents encoded at once.
+BATCH, RATE, SCORED, STATES, SLICE = 256, 0.25, 16_384, 1 << 13, 500
+#: Whole windows over which the step size grows, before it falls with the root of their number.
+WARM = 16
+#: Levels of the histogram of counts for each doubling of a count.
+LEVELS = 16
 END = "\n"  # no word holds a line end
 LN10 = math.log(10)
 
@@ -97,7 +102,12 @@ def symbol_class(symbols: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place, by tanh, which does not overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 def first_parameters(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -113,130 +123,150 @@ def first_parameters(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     }
 
 
-def _step(p: dict[str, np.ndarray], before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the gated recurrent unit for a batch; before: the symbols that came before."""
+def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of the gated recurrent unit for a batch, as (unit, batch); x: the inputs of the symbols that came before."""
     k = HIDDEN
-    x, u = p["E"][before], h @ p["U"]
-    gates = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
-    r, z = gates[:, :k], gates[:, k:]
-    n = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
-    return n + z * (h - n), r, z, n, u[:, 2 * k :]
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    u = p["U"].T @ h
+    gates = _sigmoid(x[: 2 * k] + u[: 2 * k])
+    r, z, un = gates[:k], gates[k:], u[2 * k :]
+    n = np.tanh(x[2 * k :] + r * un)
+    return n + z * (h - n), r, z, n, un
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ln p of the targets, exp, sum) of the logits weights.T @ h + bias, as (symbol, batch). States lie in (-1, 1), so one shift for all will do where the weights are small."""
+    x = weights.T @ h
+    if np.abs(weights).sum(axis=0).max() < 40:
+        x += (bias - bias.max())[:, None]
+    else:
+        x += bias[:, None]
+        x -= x.max(axis=0)
+    aimed = x[target, np.arange(x.shape[1])]
+    e = np.exp(x, out=x)
+    total = e.sum(axis=0)
+    return aimed - np.log(total), e, total
 
 
 def outputs(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """ln probability of the target symbols given states, by class and within the class; with grads also the gradient of -ln p by h."""
-    cls, at = symbol_class(target), np.arange(len(target))
-    logs = _log_softmax(h @ p["C"] + p["c"])
-    out = logs[at, cls].astype(np.float64)
-    dh = None
+    """ln probability of the target symbols given states (unit, batch), by class and within the class; with grads also the gradient of -ln p by h."""
+
+    def learn(weights: np.ndarray, into: np.ndarray, bias: np.ndarray, own: np.ndarray, aim: np.ndarray, e: np.ndarray, total: np.ndarray) -> np.ndarray:
+        e /= total
+        e[aim, np.arange(e.shape[1])] -= 1
+        into += own @ e.T
+        bias += e.sum(axis=1)
+        return weights @ e
+
+    cls = symbol_class(target)
+    logs, e, total = _softmax(p["C"], p["c"], h, cls)
+    out, dh = logs.astype(np.float64), None
     if grads is not None:
-        d = np.exp(logs)
-        d[at, cls] -= 1
-        grads["C"] += h.T @ d
-        grads["c"] += d.sum(axis=0)
-        dh = d @ p["C"].T
-    order = np.argsort(cls, kind="stable")
+        dh = learn(p["C"], grads["C"], grads["c"], h, cls, e, total)
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(len(p["W"]) + 1))
-    for c in range(len(p["W"])):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if not len(rows):
-            continue
-        word = target[rows] - c * CLASS_WORDS
-        logs = _log_softmax(h[rows] @ p["W"][c] + p["w"][c])
-        out[rows] += logs[np.arange(len(rows)), word]
+    order = order[: bounds[-1]]
+    states, aims, found = h[:, order], target[order] % CLASS_WORDS, np.empty(len(order))
+    back = np.empty_like(states)
+    for c in np.flatnonzero(np.diff(bounds)).tolist():
+        lo, hi = bounds[c], bounds[c + 1]
+        own, word = states[:, lo:hi], aims[lo:hi]
+        found[lo:hi], e, total = _softmax(p["W"][c], p["w"][c], own, word)
         if grads is not None:
-            d = np.exp(logs)
-            d[np.arange(len(rows)), word] -= 1
-            grads["W"][c] += h[rows].T @ d
-            grads["w"][c] += d.sum(axis=0)
-            dh[rows] += d @ p["W"][c].T
+            back[:, lo:hi] = learn(p["W"][c], grads["W"][c], grads["w"][c], own, word, e, total)
+    out[order] += found
+    if grads is not None:
+        dh[:, order] += back
     return out, dh
 
 
-def window_gradients(p: dict[str, np.ndarray], tokens: np.ndarray, before: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Truncated backpropagation over one window: gradients of the summed -ln p, the state after it, the sum. All arrays are (time, batch)."""
+def window_gradients(p: dict[str, np.ndarray], tokens: np.ndarray, before: np.ndarray, lengths: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """Truncated backpropagation over one window: gradients of the summed -ln p, the state after it, the sum. tokens and before are (time, batch), the state is
+    (unit, batch), lengths are in falling order."""
     grads, k = {name: np.zeros_like(v) for name, v in p.items()}, HIDDEN
-    states, kept, first = [], [], h
-    for t in range(len(tokens)):
-        states.append(h)
-        new, r, z, n, un = _step(p, before[t], h)
-        kept.append((h, r, z, n, un))
-        h = np.where(live[t][:, None], new, h)
-    flat = live.ravel()
-    after = np.stack([np.where(live[t][:, None], kept[t][3] + kept[t][2] * (kept[t][0] - kept[t][3]), kept[t][0]) for t in range(len(tokens))])
-    logs, dout = outputs(p, after.reshape(-1, k)[flat], tokens.ravel()[flat], grads)
-    into = np.zeros((len(tokens) * len(first), k), dtype=np.float32)
-    into[flat] = dout
-    into = into.reshape(len(tokens), len(first), k)
-    dh = np.zeros_like(first)
-    for t in range(len(tokens) - 1, -1, -1):
-        old, r, z, n, un = kept[t]
-        d = dh + into[t]
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (old - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        on = live[t][:, None]
-        dx = np.where(on, np.concatenate([dr, dz, dn], axis=1), 0).astype(np.float32)
-        du = np.where(on, np.concatenate([dr, dz, dn * r], axis=1), 0).astype(np.float32)
-        np.add.at(grads["E"], before[t], dx)
-        grads["U"] += old.T @ du
-        dh = np.where(on, d * z + du @ p["U"].T, dh)
+    live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(len(tokens))]  # sequences that are longer than t
+    ends = np.cumsum([0, *live])
+    spans = list(zip(ends, ends[1:]))
+    flat, seen = (np.concatenate([x[t, :m] for t, m in enumerate(live)]) for x in (tokens, before))
+    x = np.ascontiguousarray(p["E"][seen].T)
+    olds, after, kept, h = np.empty((k, len(flat)), dtype=h.dtype), np.empty((k, len(flat)), dtype=h.dtype), [], h.copy()
+    for m, (lo, hi) in zip(live, spans):
+        olds[:, lo:hi] = h[:, :m]
+        new, *gates = _step(p, x[:, lo:hi], olds[:, lo:hi])
+        kept.append(gates)
+        after[:, lo:hi] = h[:, :m] = new
+    logs, into = outputs(p, after, flat, grads)
+    dx, du, dh = np.empty_like(x), np.empty_like(x), np.zeros_like(h)
+    for m, (lo, hi), (r, z, n, un) in zip(live[::-1], spans[::-1], kept[::-1]):
+        d, keep = dh[:, :m] + into[:, lo:hi], 1 - z
+        dn = d * keep
+        dn *= 1 - n * n
+        dz = olds[:, lo:hi] - n
+        dz *= d
+        dz *= z
+        dz *= keep
+        dr = dn * r
+        du[2 * k :, lo:hi] = dr
+        dr *= un
+        dr *= 1 - r
+        dx[:k, lo:hi], dx[k : 2 * k, lo:hi], dx[2 * k :, lo:hi] = dr, dz, dn
+        du[: 2 * k, lo:hi] = dx[: 2 * k, lo:hi]
+        d *= z
+        dh[:, :m] = d + p["U"] @ du[:, lo:hi]
+    grads["U"] += olds @ du.T
+    for unit, weights in enumerate(dx):
+        grads["E"][:, unit] = np.bincount(seen, weights=weights, minlength=len(p["E"]))
     return grads, h, -float(logs.sum())
 
 
 def windows(sequences: Iterator[np.ndarray], begin: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, before, live, carried) of all tokens, WINDOW at a time of BATCH sequences at once, as (time, batch); a place whose sequence has ended
-    gets the next one. carried: the places of the window before that go on, -1 for a new sequence."""
+    """(tokens, before, lengths, carried) of all tokens, WINDOW at a time of BATCH sequences at once, as (time, batch), the longest first; a place whose
+    sequence has ended gets the next one. carried: the places of the window before that go on, -1 for a new sequence."""
     open_, more = [], True
     while True:
-        carried = [i for i, (s, at) in enumerate(open_) if at < len(s)]
-        open_ = [open_[i] for i in carried]
-        while more and len(open_) < BATCH:
+        now = [(s, at, i) for i, (s, at, _) in enumerate(open_) if at < len(s)]
+        while more and len(now) < BATCH:
             s = next(sequences, None)
             if s is None:
                 more = False
             elif len(s):
-                open_.append((s, 0))
-                carried.append(-1)
-        if not open_:
+                now.append((s, 0, -1))
+        if not now:
             return
-        tokens, before, live = padded([s[at : at + WINDOW] for s, at in open_], begin)
-        before[0] = [s[at - 1] if at else begin for s, at in open_]
-        open_ = [(s, at + WINDOW) for s, at in open_]
-        yield tokens, before, live, np.array(carried)
+        now.sort(key=lambda x: x[1] - len(x[0]))
+        tokens, before, lengths = padded([s[at : at + WINDOW] for s, at, _ in now], begin)
+        before[0] = [s[at - 1] if at else begin for s, at, _ in now]
+        open_ = [(s, at + WINDOW, i) for s, at, i in now]
+        yield tokens, before, lengths, np.array([i for *_, i in now])
 
 
 def padded(sequences: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, before, live) as (time, batch)."""
-    longest = max(map(len, sequences))
-    tokens, live = np.zeros((longest, len(sequences)), dtype=np.int64), np.zeros((longest, len(sequences)), dtype=bool)
-    for i, s in enumerate(sequences):
-        tokens[: len(s), i], live[: len(s), i] = s, True
-    before = np.vstack([np.full((1, len(sequences)), begin), tokens[:-1]])
-    return tokens, before, live
+    """(tokens, before, lengths): the first two as (time, batch)."""
+    lengths = np.array([len(s) for s in sequences])
+    tokens = np.zeros((len(sequences), lengths.max()), dtype=np.int64)
+    for row, s in zip(tokens, sequences):
+        row[: len(s)] = s
+    tokens = np.ascontiguousarray(tokens.T)
+    return tokens, np.vstack([np.full((1, len(sequences)), begin), tokens[:-1]]), lengths
 
 
 def trained(p: dict[str, np.ndarray], sequences: Iterator[np.ndarray], begin: int) -> tuple[dict[str, np.ndarray], int]:
     """Parameters after one pass with Adam, and the tokens seen."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    seen, step, h = 0, 0, np.zeros((1, HIDDEN), dtype=np.float32)
-    for tokens, before, live, carried in windows(sequences, begin):
-        h = np.where(carried[:, None] < 0, np.float32(0), h[carried])
-        n = int(live.sum())
-        grads, h, _ = window_gradients(p, tokens, before, live, h)
+    seen, step, h = 0, 0, np.zeros((HIDDEN, 1), dtype=np.float32)
+    for tokens, before, lengths, carried in windows(sequences, begin):
+        h = np.where(carried < 0, np.float32(0), h[:, carried])
+        n = int(lengths.sum())
+        grads, h, _ = window_gradients(p, tokens, before, lengths, h)
         step += 1
         seen += n
+        done = seen / (BATCH * WINDOW)  # in whole windows: a step is as large as its window is full, so that no few long texts have the last word
+        rate = RATE * min(done / WARM, math.sqrt(WARM / done)) / math.sqrt(WARM) * n / (BATCH * WINDOW)
         for k in p:
             g = grads[k] / n
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.01 * (g * g - v[k])
-            p[k] -= RATE / math.sqrt(step) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
     return p, seen
 
 
@@ -244,14 +274,14 @@ def score_sequences(p: dict[str, np.ndarray], sequences: list[np.ndarray], begin
     """ln probability of each whole sequence. Sequences are stepped through together, longest first, and leave when they end."""
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     lengths = np.array([len(sequences[i]) for i in order])
-    flat, starts = np.concatenate([sequences[i] for i in order]), np.cumsum(lengths) - lengths
+    flat, starts = np.concatenate([sequences[i] for i in order]).astype(np.int64), np.cumsum(lengths) - lengths
     total = np.zeros(len(order))
-    h, before, active, t = np.zeros((len(order), HIDDEN), dtype=np.float32), np.full(len(order), begin), len(order), 0
+    h, before, active, t = np.zeros((HIDDEN, len(order)), dtype=np.float32), np.full(len(order), begin), len(order), 0
     while active:
         states, targets, owners, held = [], [], [], 0
-        while active and held < 1 << 15:  # a window of as many steps as give this many states
-            h, before = h[:active], before[:active]
-            h = _step(p, before, h)[0]
+        while active and held < STATES:  # a window of as many steps as give this many states
+            h, before = h[:, :active], before[:active]
+            h = _step(p, np.ascontiguousarray(p["E"][before].T), h)[0]
             before = flat[starts[:active] + t]
             states.append(h)
             targets.append(before)
@@ -260,47 +290,82 @@ def score_sequences(p: dict[str, np.ndarray], sequences: list[np.ndarray], begin
             t += 1
             while active and lengths[active - 1] <= t:
                 active -= 1
-        logs, _ = outputs(p, np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate(owners), weights=logs, minlength=len(order))
+        states, targets, owners = np.concatenate(states, axis=1), np.concatenate(targets), np.concatenate(owners)
+        logs = np.concatenate([outputs(p, states[:, i : i + STATES], targets[i : i + STATES])[0] for i in range(0, len(targets), STATES)])
+        total += np.bincount(owners, weights=logs, minlength=len(order))
     out = np.empty(len(order))
     out[order] = total
     return out
 
 
 def vocabulary_of(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, Vocabulary]:
-    """(word, c) of all training tokens, written, and what is shipped of it."""
+    """(word, c) of all training tokens, written, and what is shipped of it.
+
+    The words that are shipped are all those with a count of at least a threshold; it comes from a histogram of counts on a logarithmic scale, whose size does not
+    depend on the corpus, so that never more than HEAD words reach the driver.
+    """
     tokens = training.select(F.explode(F.concat(F.filter(words(F.col(text_col)), lambda w: w != ""), F.array(F.lit(END)))).alias("word"))
     counts = written(tokens.groupBy("word").agg(F.count("*").alias("c")))
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    return counts, Vocabulary(tuple(zip(head["word"], (int(c) for c in head["c"]))), int(sums["n"]), int(sums["v"]))
+    level = F.floor(F.log2("c") * LEVELS)
+    levels = sorted(counts.groupBy(level.alias("level")).agg(F.min("c").alias("least"), F.count("*").alias("v"), F.sum("c").alias("n")).collect(), key=lambda r: -r["level"])
+    held, least = 0, None
+    for r in levels:
+        held += r["v"]
+        if held > HEAD:
+            break
+        least = r["least"]
+    head = [] if least is None else sorted(((r["word"], int(r["c"])) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+    return counts, Vocabulary(tuple(head), sum(int(r["n"]) for r in levels), sum(int(r["v"]) for r in levels))
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written row per row of docs: row_key, doc_id, symbols (two bytes each), what the head decides, and the words outside the head with their counts in the text.
+
+    Texts are cut into tokens once, here; training and scoring read symbols.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = known.value
+        ids, tail = v.ids, len(v.head)
+        symbol, ln_count, seen, within = v.symbol.astype("<u2"), np.log(v.counts + 1), v.counts > 0, v.within
+        for b in batches:
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at : at + SLICE]
+                rows = []
+                for text in part["text"]:
+                    tokens = text.encode().lower().split()
+                    tokens.append(END.encode())
+                    found = np.fromiter(map(ids.get, tokens, itertools.repeat(tail)), dtype=np.int32, count=len(tokens))
+                    rest = Counter(map(tokens.__getitem__, np.flatnonzero(found == tail).tolist()))
+                    rows.append((symbol[found].tobytes(), len(tokens), int(seen[found].sum()), ln_count[found].sum(), within[found].sum(), [w.decode() for w in rest], list(rest.values())))
+                out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_known", "base", "within", "rest", "rest_n"])
+                yield out.assign(row_key=part["row_key"].to_numpy(), doc_id=pd.array(part["doc_id"], dtype="Int64"))
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return written(rows.mapInPandas(run, "row_key long, doc_id long, symbols binary, n_tokens long, n_known long, base double, within double, rest array<string>, rest_n array<long>"))
+
 
+def _sequences(b: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u2") for x in b["symbols"]]
 
-def train(training: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters averaged over the splits of all training documents."""
-    spark = training.sparkSession
+
+def train(codes: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters averaged over the splits of all encoded training documents."""
+    spark = codes.sparkSession
     p = first_parameters(vocabulary)
     shapes, begin = {k: x.shape for k, x in p.items()}, EXPLICIT + vocabulary.bands + 1
-    known = spark.sparkContext.broadcast(vocabulary)
-    rows = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v = known.value
-            ids, tail = v.ids, len(v.head)
-
-            def sequences() -> Iterator[np.ndarray]:
-                for b in batches:
-                    for text in b["text"]:
-                        yield v.symbol[[ids.get(w, tail) for w in text.encode().lower().split() + [END.encode()]]]
-
-            after, seen = trained(sent.value, sequences(), begin)
+            sequences = (s for b in batches for s in sorted(_sequences(b), key=len, reverse=True))  # long ones begin early, so that none goes on alone
+            after, seen = trained(sent.value, sequences, begin)
             if seen:
                 flat = np.concatenate([after[k].ravel() for k in shapes]).astype(np.float64)
                 yield pd.DataFrame({"at": np.arange(len(flat)), "x": flat * seen, "n": float(seen)})
 
-        means = rows.mapInPandas(run, "at int, x double, n double").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        means = codes.select("symbols").mapInPandas(run, "at int, x double, n double").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(means):
             flat, at = means.sort_values("at")["x"].to_numpy().astype(np.float32), 0
             for k, shape in shapes.items():
@@ -310,57 +375,33 @@ def train(training: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", t
     return p
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, p: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
-
-    A task gives one row per document with what the head decides, and one row per word outside the head, which then meets its count.
-    """
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, p))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    smooth = vocabulary.total + vocabulary.distinct + 1
+def score_codes(codes: DataFrame, counts: DataFrame, vocabulary: Vocabulary, p: dict[str, np.ndarray]) -> DataFrame:
+    """One row per encoded document: doc_id, n_tokens, n_known, train_tokens, base_score, score. Words outside the head meet their counts in a join."""
+    model = codes.sparkSession.sparkContext.broadcast(p)
+    begin = EXPLICIT + vocabulary.bands + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, parameters = model.value
-        tail, begin, ids = len(v.head), EXPLICIT + v.bands + 1, v.ids
-        ln_count, seen = np.log(v.counts + 1), v.counts > 0
         for b in batches:
             for at in range(0, len(b), SCORED):
                 part = b.iloc[at : at + SCORED]
-                sequences, rests, base, known, within, sizes = [], [], [], [], [], []
-                for text in part["text"]:
-                    tokens = text.encode().lower().split() + [END.encode()]
-                    found = np.array([ids.get(w, tail) for w in tokens])
-                    sequences.append(v.symbol[found])
-                    base.append(ln_count[found].sum())
-                    known.append(int(seen[found].sum()))
-                    within.append(v.within[found].sum())
-                    sizes.append(len(tokens))
-                    rests.append(Counter(tokens[i] for i in np.flatnonzero(found == tail)))
-                logs = score_sequences(parameters, sequences, begin) + np.array(within)
-                keys, own = part["row_key"].tolist(), len(part)
-                one = pd.DataFrame({"row_key": keys, "doc_id": pd.array(part["doc_id"], dtype="Int64"), "word": None, "tf": 0, "n_tokens": sizes, "n_known": known, "base": base, "logs": logs})
-                rest = [(keys[i], w.decode(), n) for i in range(own) for w, n in rests[i].items()]
-                yield one
-                if rest:
-                    more = pd.DataFrame(rest, columns=["row_key", "word", "tf"])
-                    yield more.assign(doc_id=pd.array([None] * len(more), dtype="Int64"), n_tokens=0, n_known=0, base=0.0, logs=0.0)
-
-    schema = "row_key long, doc_id long, word string, tf long, n_tokens long, n_known long, base double, logs double"
-    parts = rows.withColumn("row_key", F.monotonically_increasing_id()).mapInPandas(run, schema)
-    c = F.coalesce("c", F.lit(0))
-    parts = parts.join(counts, "word", "left").withColumns({"known": F.when(c > 0, F.col("tf")).otherwise(0), "ln_c": F.col("tf") * F.log(c + 1.0)})
-    sums = parts.groupBy("row_key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.col("known")).alias("n_known"),
-        F.sum(F.col("base") + F.col("ln_c")).alias("ln_base"), F.sum(F.col("logs") + F.col("ln_c") - F.col("tf") * F.lit(math.log(max(vocabulary.tail_total, 1.0)))).alias("logs"),
+                yield pd.DataFrame({"row_key": part["row_key"].to_numpy(), "logs": score_sequences(model.value, _sequences(part), begin) + part["within"].to_numpy(), "doc_id": pd.array(part["doc_id"], dtype="Int64"), **{c: part[c].to_numpy() for c in ("n_tokens", "n_known", "base")}})
+
+    heads = codes.select("row_key", "doc_id", "symbols", "n_tokens", "n_known", "base", "within").mapInPandas(run, "row_key long, doc_id long, n_tokens long, n_known long, base double, logs double")
+    rest = codes.select("row_key", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row_key", F.col("x.rest").alias("word"), F.col("x.rest_n").alias("tf"))
+    ln_c = F.col("tf") * F.log(F.coalesce("c", F.lit(0)) + 1.0)
+    met = rest.join(counts, "word", "left").select(
+        "row_key", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"),
+        ln_c.alias("base"), (ln_c - F.col("tf") * F.lit(math.log(max(vocabulary.tail_total, 1.0)))).alias("logs"),
     )
-    base = (F.col("ln_base") - F.col("n_tokens") * F.lit(math.log(smooth))) / LN10
+    sums = heads.unionByName(met).groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "logs")))
+    base = (F.col("base") - F.col("n_tokens") * F.lit(math.log(vocabulary.total + vocabulary.distinct + 1))) / LN10
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logs") / LN10).alias("score"))
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_fold("doc_id", 7) == 2, F.lit(False))
-    training = docs.where(~held)
-    counts, vocabulary = vocabulary_of(training)
-    scores = score_texts(docs, counts, vocabulary, train(training, vocabulary))
+    counts, vocabulary = vocabulary_of(docs.where(~held))
+    codes = encoded(docs, vocabulary)
+    scores = score_codes(codes, counts, vocabulary, train(codes.where(~held), vocabulary))
     return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -22,9 +22,9 @@ def small_vocabulary():
 def test_probabilities_sum_to_one():
     v = small_vocabulary()
     p = lm.first_parameters(v)
-    h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
+    h = np.tanh(np.random.default_rng(0).normal(size=(lm.HIDDEN, 1))).astype(np.float32)
     symbols = np.arange(lm.EXPLICIT + v.bands + 1)
-    logs, _ = lm.outputs(p, np.repeat(h, len(symbols), axis=0), symbols)
+    logs, _ = lm.outputs(p, np.repeat(h, len(symbols), axis=1), symbols)
     assert abs(np.exp(logs).sum() - 1) < 1e-4
     for band in (lm.EXPLICIT,):
         inside = np.exp(v.within[:-1][v.symbol[:-1] == band])
@@ -35,17 +35,17 @@ def test_gradients_are_the_derivatives():
     rng, v = np.random.default_rng(1), small_vocabulary()
     p = {k: x.astype(np.float64) for k, x in lm.first_parameters(v).items()}
     sequences = [rng.integers(0, 40, n) for n in (5, 3, 1)]
-    tokens, before, live = lm.padded(sequences, lm.EXPLICIT + v.bands + 1)
-    h = rng.normal(size=(3, lm.HIDDEN)) * 0.1
-    grads, _, loss = lm.window_gradients(p, tokens, before, live, h)
+    tokens, before, lengths = lm.padded(sequences, lm.EXPLICIT + v.bands + 1)
+    h = rng.normal(size=(lm.HIDDEN, 3)) * 0.1
+    grads, _, loss = lm.window_gradients(p, tokens, before, lengths, h)
     for name, x in p.items():
         touched = np.argwhere(np.abs(grads[name]) > 1e-3)
         for at in map(tuple, touched[rng.integers(0, len(touched), 3)]):
             old = x[at]
             x[at] = old + 1e-4
-            up = lm.window_gradients(p, tokens, before, live, h)[2]
+            up = lm.window_gradients(p, tokens, before, lengths, h)[2]
             x[at] = old - 1e-4
-            down = lm.window_gradients(p, tokens, before, live, h)[2]
+            down = lm.window_gradients(p, tokens, before, lengths, h)[2]
             x[at] = old
             assert abs((up - down) / 2e-4 - grads[name][at]) < 1e-2 * max(1, abs(grads[name][at])), (name, at)
 
@@ -56,9 +56,9 @@ def test_scores_equal_one_by_one():
     sequences = [rng.integers(0, begin, n) for n in (1, 40, 7, 900, 40)]
     got = lm.score_sequences(p, sequences, begin)
     for s, total in zip(sequences, got):
-        h, before, want = np.zeros((1, lm.HIDDEN), dtype=np.float32), begin, 0.0
+        h, before, want = np.zeros((lm.HIDDEN, 1), dtype=np.float32), begin, 0.0
         for t in s:
-            h = lm._step(p, np.array([before]), h)[0]
+            h = lm._step(p, p["E"][[before]].T, h)[0]
             want += lm.outputs(p, h, np.array([t]))[0][0]
             before = t
         assert abs(want - total) < 1e-3 * len(s)
@@ -91,15 +91,17 @@ def test_edges(spark):
     df = spark.createDataFrame([(i, t, 9) for i, t in texts.items()] + [(None, "a b", 1), (6, "a", 2)], "doc_id long, text string, score int")
     counts, v = lm.vocabulary_of(df.limit(0))
     assert (v.total, v.distinct) == (0, 0)
-    assert lm.score_texts(df, counts, v, lm.train(df.limit(0), v)).count() == 9
+    codes = lm.encoded(df, v)
+    assert lm.score_codes(codes, counts, v, lm.train(codes.limit(0), v)).count() == 9
     counts, v = lm.vocabulary_of(df)
-    out = lm.score_texts(df, counts, v, lm.train(df, v)).collect()
+    codes = lm.encoded(df, v)
+    out = lm.score_codes(codes, counts, v, lm.train(codes, v)).collect()
     want = brute_base(texts, [*texts.values(), "a b", "a"])
     assert len(out) == 9
     for r in out:
         if r.doc_id:
             assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and abs(r.base_score - want[r.doc_id][3]) < 1e-6 * abs(want[r.doc_id][3])
-    assert lm.score_texts(df.limit(0), counts, v, lm.first_parameters(v)).count() == 0
+    assert lm.score_codes(lm.encoded(df.limit(0), v), counts, v, lm.first_parameters(v)).count() == 0
 
 
 def test_every_token_is_trained_on(monkeypatch):
@@ -107,11 +109,11 @@ def test_every_token_is_trained_on(monkeypatch):
     monkeypatch.setattr(lm, "BATCH", 3)
     sequences = [rng.integers(0, 40, n) for n in (1, 200, 16, 17, 33, 5, 700, 32)]
     done, places = [], []
-    for tokens, before, live, carried in lm.windows(iter(sequences), begin):
+    for tokens, before, lengths, carried in lm.windows(iter(sequences), begin):
         assert len(carried) == tokens.shape[1] <= 3 and len(tokens) <= lm.WINDOW
         now = []
         for i, old in enumerate(carried):
-            own = tokens[live[:, i], i].tolist()
+            own = tokens[: lengths[i], i].tolist()
             if old < 0:
                 done.append([])
             one = done[-1] if old < 0 else places[old]
@@ -128,21 +130,30 @@ def test_training_carries_the_state_over_all_windows(monkeypatch):
     sequences = [np.random.default_rng(5).integers(0, 40, n) for n in (100, 20_000)]
     states, real = [], lm.window_gradients
 
-    def kept(p, tokens, before, live, h):
-        out = real(p, tokens, before, live, h)
+    def kept(p, tokens, before, lengths, h):
+        out = real(p, tokens, before, lengths, h)
         states.append((h.copy(), out[1].copy()))
         return out
 
     monkeypatch.setattr(lm, "window_gradients", kept)
     assert lm.trained(p, iter(sequences), begin)[1] == 20_100
-    assert len(states) == 1250 and (states[0][0] == 0).all()
-    assert all((new[0][-1] == old[1][-1]).all() for old, new in zip(states, states[1:]))
+    assert len(states) == 20_000 // lm.WINDOW and (states[0][0] == 0).all()
+    assert all((new[0][:, 0] == old[1][:, 0]).all() for old, new in zip(states, states[1:]))  # the longest is first
 
 
 def test_train_reads_whole_documents(spark, monkeypatch):
     texts = [(1, " ".join(f"w{i % 30}" for i in range(5000)), 0), (2, "w1 w2", 0), (3, None, 0)]
     df = spark.createDataFrame(texts, "doc_id long, text string, x int")
     counts, v = lm.vocabulary_of(df)
-    p = lm.train(df.coalesce(1), v)
-    scores = {r.doc_id: r for r in lm.score_texts(df, counts, v, p).collect()}
+    codes = lm.encoded(df.coalesce(1), v)
+    scores = {r.doc_id: r for r in lm.score_codes(codes, counts, v, lm.train(codes, v)).collect()}
     assert scores[1].n_tokens == 5001 and scores[1].score > 0.6 * scores[1].base_score
+
+
+def test_head_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 64)
+    text = " ".join(f"w{i}" for i in range(200) for _ in range(200 - i))
+    counts, v = lm.vocabulary_of(spark.createDataFrame([(text,)], "text string"))
+    c = {r.word: r.c for r in counts.collect()}
+    assert 32 < len(v.head) <= 64 and all(c[w] == n for w, n in v.head) and min(n for _, n in v.head) > max(n for w, n in c.items() if w not in dict(v.head))
+    assert (v.total, v.distinct) == (sum(c.values()), len(c))
