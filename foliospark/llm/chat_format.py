@@ -3,7 +3,7 @@
 The layout of a record is the set of its nested field paths; the hash of the sorted paths is its fingerprint.
 A registry maps fingerprints to declarative mappings, each a way to read canonical turns (role, text)
 out of one layout: rows by turn, message lists, prompt and completion, instruction and input. Tables are
-fingerprinted by their schema, JSON records one by one (schema_of_variant), so that one column may mix layouts.
+fingerprinted by their schema, JSON records one by one, so that one column may mix layouts.
 The main path is DataFrame functions only.
 
 Template: `### Assistant: text</turn>` and a line end per turn. Inside texts a backslash is doubled, `</turn>` becomes
@@ -131,25 +131,38 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapp
 def json_turns(df: DataFrame, id_col: str, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(id_col, fingerprint, turns) of a column of JSON records in mixed layouts, mapped row by row.
 
-    The fingerprint of a record is the hash of its variant schema with the scalar types left out.
+    The fingerprint of a record is that of its field paths, less those that no mapping names, so further fields of a record or of a message
+    change nothing; where it is no mapping's, the mapping with the most fields that the record holds whole is taken, as for tables. A field of a message counts
+    where any message of the list has it; an empty list has no messages and so no turns. Text that is no JSON object has null turns.
     """
+    own = [m for m in mappings if not m.rows]
+    lists = sorted({m.messages[0] for m in own if m.messages})
     parsed = df.select(id_col, F.try_parse_json(json_col).alias("record"))
-    shape = F.regexp_replace(F.schema_of_variant("record"), ": (?!OBJECT|ARRAY)[A-Z]+(\\([0-9,]+\\))?", "")
-    shape = F.regexp_replace(shape, "ARRAY<(?!OBJECT)[A-Z]+>", "ARRAY")
-    turns = F.lit(None).cast(TURNS)
-    for m in mappings:
-        if m.rows:
-            continue
+    parsed = parsed.select("*", *(F.expr(f"try_variant_get(record, '$.{x}', 'array<variant>')").alias(f"_list_{x}") for x in lists))
+
+    def there(path: str) -> Column:
+        top, inner = path.split("[].") if "[]." in path else (path, "")
+        if not inner:
+            return F.expr(f"variant_get(record, '$.{path}', 'variant') is not null") if top not in lists else F.col(f"_list_{top}").isNotNull()
+        return F.expr(f"size(_list_{top}) = 0 or exists(_list_{top}, x -> try_variant_get(x, '$.{inner}', 'variant') is not null)")
+
+    named = sorted({p for m in own for p in m.paths()})
+    parsed = parsed.withColumn("_paths", F.array_compact(F.array(*(F.when(F.coalesce(there(p), F.lit(False)), F.lit(p)) for p in named))))
+    parsed = parsed.withColumn("fingerprint", F.when(F.expr("schema_of_variant(record) like 'OBJECT%'"), F.sha2(F.array_join("_paths", "\n"), 256)))
+
+    def turns_of(m: Mapping) -> Column:
         if m.messages:
             top, role, text = m.messages
-            want = f"OBJECT<{top}: ARRAY<OBJECT<{', '.join(sorted((role, text)))}>>>"
-            items = F.expr(f"cast(variant_get(record, '$.{top}') as array<map<string,string>>)")
-            one = _listed_turns(items, m)
-        else:
-            want = f"OBJECT<{', '.join(m.paths())}>"
-            one = _flat_turns(m, lambda p: F.expr(f"try_variant_get(record, '$.{p}', 'string')"))
-        turns = F.when(F.col("fingerprint") == hashlib.sha256(want.encode()).hexdigest(), one).otherwise(turns)
-    return parsed.withColumn("fingerprint", F.sha2(shape, 256)).select(id_col, "fingerprint", turns.alias("turns"))
+            item = lambda key: F.expr(f"transform(_list_{top}, x -> try_variant_get(x, '$.{key}', 'string'))")
+            return F.transform(F.arrays_zip(item(role).alias("role"), item(text).alias("text")), lambda x: _turn(_role(x["role"], m.roles), x["text"]))
+        return _flat_turns(m, lambda p: F.expr(f"try_variant_get(record, '$.{p}', 'string')"))
+
+    turns = F.lit(None).cast(TURNS)
+    for m in sorted(own, key=lambda m: len(m.paths())):  # the last that fits is taken
+        turns = F.when(F.size(F.array_except(F.array(*map(F.lit, m.paths())), F.col("_paths"))) == 0, turns_of(m)).otherwise(turns)
+    for m in own:
+        turns = F.when(F.col("fingerprint") == fingerprint(m.paths()), turns_of(m)).otherwise(turns)
+    return parsed.select(id_col, "fingerprint", F.when(F.col("fingerprint").isNotNull(), turns).alias("turns"))
 
 
 #: Roles that the template writes as names; any other is written as its UTF-8 bytes in hexadecimal.

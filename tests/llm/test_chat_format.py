@@ -49,3 +49,22 @@ def test_empty_table(spark):
 def test_query_has_the_made_conversation(spark, data):
     out = {r.conv_id: r for r in op1_chat_format(spark, data).collect()}
     assert out[-7].n_turns == 2 and out[-7].loss_chars == len("\\### Assistant: </turn> ok")
+
+
+def test_json_with_further_fields_empty_lists_and_odd_records(spark):
+    turn = lambda *pairs: [{"role": r, "text": t} for r, t in pairs]
+    cases = [
+        ('{"messages":[{"role":"user","content":"hi"}],"id":"x"}', turn(("user", "hi"))),
+        ('{"messages":[{"role":"user","content":"hi","name":"n"},{"role":"assistant","content":null}]}', turn(("user", "hi"), ("assistant", ""))),
+        ('{"messages":[]}', []),
+        ('{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b","weight":1}],"score":3}', turn(("user", "a"), ("assistant", "b"))),
+        ('{"prompt":"p","completion":"c","meta":{"a":[1]}}', turn(("user", "p"), ("assistant", "c"))),
+        ('{"instruction":"i","input":"","output":"o"}', turn(("user", "i"), ("assistant", "o"))),
+        ('{"instruction":"i","output":"o","prompt":"p"}', turn(("user", "i"), ("assistant", "o"))),
+        ('{"other":1}', None), ("[1]", None), ("not json", None), (None, None),
+    ]
+    df = spark.createDataFrame(list(enumerate(x for x, _ in cases)), "id long, json string")
+    got = {r.id: r.turns and [t.asDict() for t in r.turns] if r.turns is not None else None for r in json_turns(df, "id", "json").collect()}
+    for i, (_, want) in enumerate(cases):
+        assert got[i] == want, cases[i]
+    assert json_turns(df.limit(0), "id", "json").count() == 0
