@@ -121,7 +121,7 @@ def test_every_token_is_trained_on(monkeypatch):
             one += own
             now.append(one)
         places = now
-    assert done == [s.tolist() for s in sequences]
+    assert sorted(done) == sorted(s.tolist() for s in sequences)
 
 
 def test_training_carries_the_state_over_all_windows(monkeypatch):
