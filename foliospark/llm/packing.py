@@ -14,6 +14,7 @@ any others; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ from foliospark.llm.common import table, written
 WINDOW, END_ID = 2048, 1
 #: Groups that the pieces of one length are ranked in.
 SALTS = 64
-#: Combinations that enter the least squares problem; others are left to the greedy step.
+#: Combinations that enter the least squares problem, those of the most frequent lengths first; lengths of the others are packed by the greedy step, which
+#: leaves none out. The padding of the whole plan is under 1 % on the given tables (tests).
 MOST_PATTERNS, STEPS = 6000, 300
 #: Units in each of a worker's two cache generations.
 CACHE_UNITS = 400_000
@@ -42,6 +44,10 @@ BYTE_LETTERS = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x i
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
 
 
+class OddSpace(Exception):
+    """A space that no unit starts with: at the end of a text or before other white space."""
+
+
 class CachedTokenizer(dict):
     """Ids of whole texts by a byte-level BPE tokenizer whose pre-tokenizer starts a token at a single space before a non-space.
 
@@ -58,7 +64,7 @@ class CachedTokenizer(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.parts, self.odd_space = regex.compile(PRINTABLE_PARTS), regex.compile(r" (?=\s|$)|^ ")
+        self.parts = regex.compile(PRINTABLE_PARTS)
         self.model, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.pre_tokenizer
         if self.tokenizer.normalizer is not None:
             raise ValueError("a byte-level BPE file without a normalizer is needed")
@@ -69,6 +75,8 @@ class CachedTokenizer(dict):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, bare: str) -> bytes:
+        if not bare or bare[0].isspace():
+            raise OddSpace
         found = self.old.get(bare) or self.unit_ids(" " + bare)
         self[bare] = found
         return found
@@ -77,7 +85,12 @@ class CachedTokenizer(dict):
         """Ids of any text that starts no later than a unit and ends with one."""
         bare = unit[1:] if unit[:1] == " " else unit
         if bare.isalpha():  # one token of the pre-tokenizer
-            return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, unit.encode()))))
+            if bare.isascii():
+                letters = BYTE_LETTERS[32] + bare if unit is not bare else bare
+            else:
+                letters = "".join(map(BYTE_LETTERS.__getitem__, unit.encode()))
+            ids = [t.id for t in self.model.tokenize(letters)]
+            return struct.pack(f"<{len(ids)}I", *ids)
         if " " not in bare:
             lines = bare.split("\n")
             if len(lines) > 1 and all(x and x.isprintable() for x in lines):
@@ -101,10 +114,11 @@ class CachedTokenizer(dict):
         if len(self) > CACHE_UNITS:
             self.old = dict(self)
             self.clear()
-        first, *units = text.split(" ")
-        if self.odd_space.search(text):
-            units, rest = [], [first, *units]
-            first = rest.pop(0)
+        first, *rest = text.split(" ")
+        try:
+            ids = b"".join(map(self.__getitem__, rest))
+        except OddSpace:
+            units = []
             for u in rest:  # a space that no unit starts with belongs to what stands before it
                 if u and not u[0].isspace():
                     units.append(u)
@@ -112,7 +126,8 @@ class CachedTokenizer(dict):
                     units[-1] += " " + u
                 else:
                     first += " " + u
-        return self.unit_ids(first) + b"".join(map(self.__getitem__, units)) if first else b"".join(map(self.__getitem__, units))
+            ids = b"".join(map(self.__getitem__, units))
+        return self.unit_ids(first) + ids if first else ids
 
 
 def _tokenizer(path: str) -> CachedTokenizer:
