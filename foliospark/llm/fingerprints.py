@@ -4,7 +4,7 @@ The weight of a term (an ASCII-lower-cased word) is its count in the text. For e
 Gamma(2, 1) and beta from U(0, 1), all by hashes of the term and the sample, takes t = floor(ln(weight) / r + beta) and
 a = c * exp(r * (1 + beta - t)) (so ln a = ln c - r * (t - beta + 1)), and the term of the smallest a with its t is the sample. Two texts agree in a
 sample with the probability of their generalised Jaccard similarity, sum(min) / sum(max) of the weights.
-The main path is DataFrame functions only; texts are shuffled once, by ranges of ids.
+The main path is DataFrame functions only; texts are shuffled once, by ranges of ids, and fingerprints are written as a table.
 
 Defined results: a null text is the empty text, which has the fingerprint of no terms and is like other empty texts alone; documents are in
 descending order of id, then text, null ids last, and the document after the last is the first; rows repeated with the same id are
@@ -18,16 +18,18 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table, words
+from foliospark.llm.common import SPACES, table, words, written
 
 SAMPLES = 64
 #: Samples evaluated for one row of a term; a term has a row per such group, which keeps the generated code small.
-GROUP = 8
+GROUP = 4
 #: ln a, which the widths of the draws keep above LN_LOW, is held in steps of 2**-24, with CODE_BITS of the sample's code below it.
 LN_LOW, LN_STEPS, CODE_BITS = -128.0, 1 << 24, 28
 #: Ranges of ids per shuffle partition.
 RANGES = 4
 NO_ID = -(1 << 63)
+#: Spreads t over the bits of a sample's code.
+T_FACTOR = 0x9E3779B1
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -45,12 +47,12 @@ def _draws(term: Column, sample: Column) -> tuple[Column, Column, Column]:
 
 
 def _sample(term: Column, ln_weight: Column, draws: tuple[Column, Column, Column]) -> Column:
-    """ln a above a code of (term, t) in one long, so that min() finds the sample; null where the weight is 0."""
+    """ln a above a code of (term, t) in one long, so that min() finds the sample; null where the weight is 0. The term's own bits are those of a hash."""
     r, ln_c, beta = draws
     t = F.floor(ln_weight / r + beta)
     ln_a = ln_c - r * (t.cast("double") - beta + 1)
     level = ((ln_a - LN_LOW) * LN_STEPS).cast("long")
-    return F.shiftleft(level, CODE_BITS).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << CODE_BITS) - 1)))
+    return F.shiftleft(level, CODE_BITS).bitwiseOR(term.bitwiseXOR(t * F.lit(T_FACTOR)).bitwiseAND(F.lit((1 << CODE_BITS) - 1)))
 
 
 def _fingerprint(samples: list[Column]) -> Column:
@@ -65,32 +67,26 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.size(same) / F.lit(float(samples))
 
 
-def sampled(rows: DataFrame, keys: list[str], texts: dict[str, str], kept: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, kept (longs) and a fingerprint per text column; texts: the fingerprint's name by text column.
+def sampled(rows: DataFrame, keys: list[str], parts: list[tuple[str, tuple[int, ...]]], prints: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys and the fingerprints of texts that are given in parts: (column, numbers of the prints whose text it belongs to). No word spans two parts.
 
     Rows are one per combination of keys. Where they are dealt by a key already, nothing is shuffled. Counts of a term in all texts of a row
-    share the term's draws; a row without terms comes through by a term of weight 0.
+    share the term's draws; rows without terms are left out.
     """
-    lists = [F.transform(F.filter(words(F.col(c)), lambda w: w != ""), _tagged(i)) for i, c in enumerate(texts)]
-    none = F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(-1).alias("which")))
-    each = rows.select(*keys, *kept, F.explode(F.concat(none, *lists)).alias("w"))
-    weights = [F.sum(F.when(F.col("w.which") == i, 1).otherwise(0)).alias(f"weight{i}") for i in range(len(texts))]
-    terms = each.groupBy(*keys, F.col("w.term").alias("term")).agg(*(F.max(k).alias(k) for k in kept), *weights)
-    logs = [F.log(F.col(f"weight{i}").cast("double")).alias(f"ln{i}") for i in range(len(texts))]
+    texts = F.array(*(F.struct(F.col(c).alias("text"), *(F.lit(int(i in of)).alias(f"in{i}") for i in range(len(prints)))) for c, of in parts))
+    each = rows.select(*keys, F.explode(texts).alias("part")).select(*keys, *(f"part.in{i}" for i in range(len(prints))), F.explode(words(F.col("part.text"))).alias("word"))
+    each = each.where(F.col("word") != "").withColumn("term", F.xxhash64("word"))
+    terms = each.groupBy(*keys, "term").agg(*(F.sum(f"in{i}").alias(f"weight{i}") for i in range(len(prints))))
+    logs = [F.log(F.col(f"weight{i}").cast("double")).alias(f"ln{i}") for i in range(len(prints))]
     groups = samples // GROUP
-    spread = terms.select(*keys, *kept, "term", *logs, F.explode(F.array(*map(F.lit, range(groups)))).alias("group"))
+    spread = terms.select(*keys, "term", *logs, F.explode(F.array(*map(F.lit, range(groups)))).alias("group"))
     mins = []
     for s in range(GROUP):
         draws = _draws(F.col("term"), F.col("group") * GROUP + s)
-        mins += [F.min(_sample(F.col("term"), F.col(f"ln{i}"), draws)).alias(f"s{i}_{s}") for i in range(len(texts))]
-    parts = spread.groupBy(*keys, "group").agg(*(F.max(k).alias(k) for k in kept), *mins)
-    whole = parts.groupBy(*keys).agg(*(F.max(k).alias(k) for k in kept), *(F.max(F.when(F.col("group") == g, F.col(f"s{i}_{s}"))).alias(f"s{i}_{g * GROUP + s}") for i in range(len(texts)) for g in range(groups) for s in range(GROUP)))
-    prints = [_fingerprint([F.col(f"s{i}_{s}") for s in range(samples)]).alias(name) for i, name in enumerate(texts.values())]
-    return whole.select(*keys, *kept, *prints)
-
-
-def _tagged(which: int):
-    return lambda w: F.struct(F.xxhash64(w).alias("term"), F.lit(which).alias("which"))
+        mins += [F.min(_sample(F.col("term"), F.col(f"ln{i}"), draws)).alias(f"s{i}_{s}") for i in range(len(prints))]
+    parted = spread.groupBy(*keys, "group").agg(*mins)
+    whole = parted.groupBy(*keys).agg(*(F.max(F.when(F.col("group") == g, F.col(f"s{i}_{s}"))).alias(f"s{i}_{g * GROUP + s}") for i in range(len(prints)) for g in range(groups) for s in range(GROUP)))
+    return whole.select(*keys, *(_fingerprint([F.col(f"s{i}_{s}") for s in range(samples)]).alias(name) for i, name in enumerate(prints)))
 
 
 def id_ranges(docs: DataFrame, id_col: str, ranges: int) -> Column:
@@ -108,41 +104,42 @@ def id_ranges(docs: DataFrame, id_col: str, ranges: int) -> Column:
     return (chunk * k + F.coalesce(below(F.get(lists, chunk)), F.lit(0))).cast("int")
 
 
-def _longs(sha: Column) -> list[Column]:
-    return [F.conv(F.substring(sha, 15 * i + 1, 15), 16, 10).cast("long") for i in range(5)]
-
-
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last third of the text replaced by the beginning of the next document. Ids are cut into ranges; within a range the next document is
-    the next row, and the first document of each range (one row per range) is joined to the range before it.
+    the next row, and the first document of each range (one row per range) is joined to the range before it: its text, and later its fingerprint, which is
+    read from the written fingerprints. Text and edited text share what stands before the last word that the cut could reach, and its words are met once.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("range", id_ranges(rows, "id", RANGES * partitions))
     order = Window.partitionBy("range").orderBy(F.desc("id"), "text")
 
-    highest = rows.groupBy("range").agg(F.max("id").alias("id"))  # one row per range
-    heads = rows.join(F.broadcast(highest), ["range", "id"]).groupBy("range").agg(F.min("text").alias("head"))
+    highest = rows.groupBy("range").agg(F.max("id").alias("id"))  # one row per range, as is what follows
     down = Window.orderBy(F.desc("range"))
-    after = F.coalesce(F.lead("head").over(down), F.first("head").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    after = heads.select("range", after.alias("after"))
-    after_prints = sampled(after, ["range"], {"after": "after_print"}, [], samples)
+    after = highest.select("range", F.coalesce(F.lead("range").over(down), F.first("range").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
+    heads = rows.join(F.broadcast(highest), ["range", "id"]).groupBy("range").agg(F.min("text").alias("head"))
+    heads = after.join(heads.withColumnRenamed("range", "next"), "next").select("range", "head")
 
-    placed = rows.withColumns({"row": F.row_number().over(order), "lead": F.lead("text").over(order)}).join(after, "range", "left")
+    placed = rows.withColumns({"row": F.row_number().over(order), "lead": F.lead("text").over(order)}).join(heads, "range", "left")
     n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("lead", "after"), F.lit(1), cut))
-    edits = placed.select("range", "row", "id", "text", n.cast("long").alias("n_chars"), edited.alias("edited")).withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
-    edits = edits.select("range", "row", "id", "n_chars", "text", "edited", *(x.alias(f"sha{i}") for i, x in enumerate(_longs(F.col("sha")))))
-    prints = sampled(edits, ["range", "row"], {"text": "fingerprint", "edited": "edited_fingerprint"}, ["id", "n_chars", *(f"sha{i}" for i in range(5))], samples)
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("lead", "head"), F.lit(1), cut))
+    edits = placed.select("range", "row", "id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), F.regexp_extract(F.substring("text", F.lit(1), n - cut), f"(?s)^.*{SPACES}", 0).alias("shared"))
+    rest = {f"{x}_rest": F.substring(F.col(x), F.length("shared") + 1, F.length(x)) for x in ("text", "edited")}
+    prints = sampled(edits.withColumns(rest), ["range", "row"], [("shared", (0, 1)), ("text_rest", (0,)), ("edited_rest", (1,))], ["fingerprint", "edited_fingerprint"], samples)
+
+    # the same shuffle of texts once more: what needs no terms
+    facts = edits.select("range", "row", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    none = F.lit("-" * (CODE_BITS // 4 * samples))
+    found = written(facts.join(prints, ["range", "row"], "left").withColumns({x: F.coalesce(x, none) for x in ("fingerprint", "edited_fingerprint")}))
 
     following = F.lead("fingerprint").over(Window.partitionBy("range").orderBy("row"))
-    out = prints.withColumn("lead_print", following).join(after_prints, "range", "left")
-    sha = F.lower(F.concat(*(F.lpad(F.hex(f"sha{i}"), 15 if i < 4 else 4, "0") for i in range(5))))
+    firsts = found.where("row = 1").select(F.col("range").alias("next"), F.col("fingerprint").alias("head_print"))
+    out = found.withColumn("lead_print", following).join(written(after).join(firsts, "next").select("range", "head_print"), "range", "left")
     return out.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.coalesce("lead_print", "after_print"), samples).alias("near_next"),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.coalesce("lead_print", "head_print"), samples).alias("near_next"),
     )
 
 
