@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars (Kiveris et al., 2014).
 
 Each step rewires every node to the smallest node of its neighbourhood; the number of steps is logarithmic in practice whatever the
-shape of a component. Edges are written to the shared folder after every step.
+shape of a component. Edges are written to the shared folder after every step, and the step before is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import written
+from foliospark.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if tuple(state) == before:
             break
-        before = tuple(state)
+        before, old = tuple(state), links
         links = written(_star(_star(links, True), False))
+        discard(old)
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())

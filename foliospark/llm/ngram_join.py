@@ -2,15 +2,18 @@
 
 A document is the set of its distinct word n-grams; two link when their Jaccard similarity reaches the threshold. Sets that are equal
 become one node. Under any global order of n-grams, linked sets share one of their first n - ceil(t*n) + 1 n-grams, so
-candidates must share such a prefix n-gram under each of three orders; the filters are intersected before the exact check.
+candidates must share such prefix n-grams under each of three orders. Candidates come from the lists of the first order; the other orders' prefixes are
+intersected before any text is fetched for the exact check.
 All orders put n-grams of rare buckets first (bucket counts of a count sketch of fixed size over the whole corpus, so that common
 lines and passages come last); within a bucket class they differ by their hash.
 
-Each filter also bounds the overlap by the n-grams that two prefixes have in common.
+Each filter also bounds the overlap by the n-grams that two prefixes have in common: of two prefixes under one order, the one that ends first
+has in common with the other prefix all that it has in common with the other set.
 
 Pairs are not expanded within a group. First every prefix list links its members to the most central one (the one
 whose shared n-gram comes earliest in its own order); then only members of different components of these
-links are compared, with all filters, until no pair of a list is left unjudged. Linked groups so cost about one pair per member.
+links are compared, with all filters, until no pair of a list is left unjudged; how many lists two members meet in is the overlap of their prefixes. Linked
+groups so cost about one pair per member. Tasks hold one batch of rows and one text's n-grams at a time.
 
 N-grams and sets are compared as 64-bit hashes: two different ones among n agree with probability n*n / 2**65.
 
@@ -29,13 +32,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table, words, written
+from foliospark.llm.common import discard, table, text_batches, words, written
 from foliospark.llm.components import components
 
 #: Buckets of the count sketch: its size does not depend on the corpus; each bucket has one byte in the broadcast.
 SKETCH_BITS = 18
 #: Buckets of keys that may be broadcast, whatever the size of the corpus; with most of them taken the filter lets rows through to the join.
 BUCKETS = 1 << 20
+#: Rows that a task of the features gives back at once.
+SLICE = 1000
+#: Sets that a task remembers as met; one that it has forgotten gives its prefixes once more.
+MOST_SEEN = 1 << 16
 #: Seeds of the orders within a class.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -109,45 +116,44 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def features(hashed: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(row_key, doc_id, size, node, prefix): node is the hash of the set; prefix, in the first order, stands at a split's first row of a node."""
+    """(row_key, doc_id, size, node, prefix0, ..): node is the hash of the set; its prefixes, one per order, stand at a split's first row of a node."""
+    names = [f"prefix{i}" for i in range(len(ORDERS))]
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[int | None] = set()
         for b in batches:
-            size, node, prefix = [], [], []
-            for h in b["hashes"]:
-                grams = shingles(h, n)
-                size.append(len(grams))
-                node.append(node_of(grams))
-                new = len(grams) and node[-1] not in seen
-                prefix.append(_first(ordered(grams, classes, ORDERS[0]), prefix_length(len(grams), percent)).view(np.int64) if new else np.zeros(0, dtype=np.int64))
-                seen.add(node[-1])
-            yield pd.DataFrame({"row_key": b["row_key"], "doc_id": pd.array(b["doc_id"], dtype="Int64"), "size": size, "node": pd.array(node, dtype="Int64"), "prefix": prefix})
-
-    return hashed.mapInPandas(make, "row_key long, doc_id long, size int, node long, prefix array<long>")
-
-
-def exact_links(pairs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Of (a, b, hashes_a, hashes_b) the pairs whose prefixes have enough in common under every order, and whose sets then link."""
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at : at + SLICE]
+                size, node, prefixes = [], [], [[] for _ in ORDERS]
+                for h in part["hashes"]:
+                    grams = shingles(h, n)
+                    size.append(len(grams))
+                    node.append(node_of(grams))
+                    new = len(grams) and node[-1] not in seen
+                    for seed, own in zip(ORDERS, prefixes):
+                        own.append(_first(ordered(grams, classes, seed), prefix_length(len(grams), percent)).view(np.int64) if new else np.zeros(0, dtype=np.int64))
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
+                    seen.add(node[-1])
+                yield pd.DataFrame({"row_key": part["row_key"].to_numpy(), "doc_id": pd.array(part["doc_id"], dtype="Int64"), "size": size, "node": pd.array(node, dtype="Int64"), **dict(zip(names, prefixes))})
+
+    return hashed.mapInPandas(make, "row_key long, doc_id long, size int, node long, " + ", ".join(f"{x} array<long>" for x in names))
+
+
+def exact_links(pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of (a, b, hashes_a, hashes_b) the pairs whose sets link."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [_linked(shingles(x, n), shingles(y, n), classes, percent) for x, y in zip(batch["hashes_a"], batch["hashes_b"])]
+            keep = [_linked(shingles(x, n), shingles(y, n), percent) for x, y in zip(batch["hashes_a"], batch["hashes_b"])]
             yield batch.loc[keep, ["a", "b"]]
 
     return pairs.mapInPandas(check, "a long, b long")
 
 
-def _linked(x: np.ndarray, y: np.ndarray, classes: np.ndarray, percent: int) -> bool:
-    def reaches(common: int) -> bool:
-        return 100 * common >= percent * (len(x) + len(y) - common)
-
-    for seed in ORDERS[1:]:
-        p, q = (_first(ordered(g, classes, seed), prefix_length(len(g), percent)) for g in (x, y))
-        rest = len(x) - len(p) if p[-1] <= q[-1] else len(y) - len(q)
-        if not reaches(len(np.intersect1d(p, q, assume_unique=True)) + rest):
-            return False
-    return reaches(len(np.intersect1d(x, y, assume_unique=True)))
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _could_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, percent: int) -> Column:
@@ -156,14 +162,17 @@ def _could_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, perc
     return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (100 * most >= percent * (size_a + size_b - most))
 
 
-def _enough_common(a: Column, size_a: Column, b: Column, size_b: Column, percent: int) -> Column:
-    """Two prefixes under one order have so many n-grams in common that the pair could link.
+def _enough_common(common: Column, percent: int) -> Column:
+    """Prefixes under one order that end at end_a and end_b have so many n-grams in common that the sets of size_a and size_b could link."""
+    beyond = lambda x: F.col(f"size_{x}") - F.col(f"taken_{x}")
+    most = common + F.when(F.col("end_a") <= F.col("end_b"), beyond("a")).otherwise(beyond("b"))
+    return 100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)
 
-    Of the prefix that ends first, every n-gram that the other set holds is in the other's prefix too.
-    """
-    rest = F.when(F.element_at(a, -1) <= F.element_at(b, -1), size_a - F.size(a)).otherwise(size_b - F.size(b))
-    most = F.size(F.array_intersect(a, b)) + rest
-    return 100 * most >= percent * (size_a + size_b - most)
+
+def _meet(order: int, percent: int) -> Column:
+    a, b = (F.col(f"prefix{order}_{x}") for x in ("a", "b"))
+    most = F.size(F.array_intersect(a, b)) + F.when(F.element_at(a, -1) <= F.element_at(b, -1), F.col("size_a") - F.size(a)).otherwise(F.col("size_b") - F.size(b))
+    return 100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -184,59 +193,71 @@ def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
 
 
-def _verified(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, nodes: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Of distinct (a, b) those whose prefixes in the first order have enough in common, and that pass the other orders and the exact check.
+def _verified(pairs: DataFrame, orders: list[list[int]], prefixes: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of distinct (a, b) those whose prefixes have enough in common under each of the orders, which are fetched group by group, and whose sets link.
 
-    Only texts that a candidate names are fetched; texts are smaller than the sets and so travel in their place.
+    Only texts of what is left after all orders are fetched; texts are smaller than the sets and so travel in their place.
     """
-    pairs = written(pairs)
-    near = _both(pairs, _only(prefixes, written(_ends(pairs)), "node"))
-    near = near.where(_enough_common(F.col("prefix_a"), F.col("size_a"), F.col("prefix_b"), F.col("size_b"), percent))
-    near = written(near.select("a", "b").distinct())
+    near = written(pairs)
+    for group in orders:
+        pairs, ends = near, written(_ends(near))
+        near = _both(pairs, _only(prefixes.select("node", "size", *(f"prefix{i}" for i in group)), ends, "node"))
+        for order in group:
+            near = near.where(_meet(order, percent))
+        near = written(near.select("a", "b").distinct())
+        discard(pairs, ends)
     wanted = written(nodes.join(_ends(near), "node", "left_semi").select("row_key", "node"))
     found = _only(texts.select("row_key", "text"), wanted, "row_key").select("node", "text")
     both = _both(near, found)
     hashed = both.select("a", "b", *(_hashes(f"text_{x}").alias(f"hashes_{x}") for x in ("a", "b")))
-    return written(exact_links(hashed, classes, n, percent).distinct())
+    out = written(exact_links(hashed, n, percent).distinct())
+    discard(near, wanted)
+    return out
 
 
 def prefix_lists(rows: DataFrame) -> DataFrame:
-    """(gram, node, size, at, hub, hub_size, hub_at): the members of the prefix lists that have more than one, each with the most central one.
+    """(gram, node, size, taken, end, at, hub, hub_size, hub_at): the members of the lists of the first order that have more than one, each with the most
+    central one. taken and end are the length of the member's prefix and its last key.
 
-    One shuffle, by n-gram; a node that several splits gave stands next to itself in the order of its list.
+    One shuffle, by n-gram; a node that several splits gave stands next to itself in the order of its list. The windows go through a list once and hold a row of it at a time.
     """
-    lists = rows.where(F.size("prefix") > 0).select("node", "size", F.posexplode("prefix").alias("at", "gram"))
+    prefix = F.col("prefix0")
+    lists = rows.where(F.size(prefix) > 0).select("node", "size", F.size(prefix).alias("taken"), F.element_at(prefix, -1).alias("end"), F.posexplode(prefix).alias("at", "gram"))
     order = Window.partitionBy("gram").orderBy(F.col("at") / F.col("size"), "node", "size", "at")
     once = lists.withColumn("last", F.lag("node").over(order)).where(F.col("last").isNull() | (F.col("last") != F.col("node")))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hub = {f"hub{x}": F.first(c).over(so_far) for x, c in (("", "node"), ("_size", "size"), ("_at", "at"))}
     placed = once.withColumns({**hub, "more": F.lead("node").over(order)})
-    return placed.where((F.col("node") != F.col("hub")) | F.col("more").isNotNull()).select("gram", "node", "size", "at", *hub)
+    return placed.where((F.col("node") != F.col("hub")) | F.col("more").isNotNull()).select("gram", "node", "size", "taken", "end", "at", *hub)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach), row_key (hash of id and text), component (null for empty sets)."""
+    text_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     classes = sketch_classes(_word_hashes(texts), n)
     rows = written(features(_word_hashes(texts), classes, n, percent))
     members = written(prefix_lists(rows))
 
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"))
-    prefixes = rows.where(F.size("prefix") > 0).select("node", "size", "prefix")
+    prefixes = rows.where(F.size("prefix0") > 0).select("node", "size", *(f"prefix{i}" for i in range(len(ORDERS))))
 
     near = members.where((F.col("node") != F.col("hub")) & _could_link(F.col("size"), F.col("at"), F.col("hub_size"), F.col("hub_at"), percent))
-    first = _verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), prefixes, texts, nodes, classes, n, percent)
+    first = _verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), [[0], [1, 2]], prefixes, texts, nodes, n, percent)
     roots = components(first)
 
     # what is left: pairs of a list whose ends are in different components
-    labelled = members.select("gram", "node", "size", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = ("node", "size", "taken", "end")
+    labelled = members.select("gram", *own).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_lists = labelled.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("gram")
     step = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(percent / 100)))).cast("int")
     left = labelled.join(mixed_lists, "gram", "left_semi").withColumn("band", step)
-    right = left.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "root")))
+    right = left.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_b") for c in (*own, "root")))
     apart = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))
-    cross = left.join(right, ["gram", "band"]).where(apart & _could_link(F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), percent))
-    second = _verified(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), prefixes, texts, nodes, classes, n, percent)
+    fits = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
+    cross = left.join(right, ["gram", "band"]).where(apart & fits).withColumnsRenamed({c: f"{c}_a" for c in own})
+    met = cross.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("common"), *(F.max(f"{c}_{x}").alias(f"{c}_{x}") for c in own[1:] for x in ("a", "b")))
+    second = _verified(met.where(_enough_common(F.col("common"), percent)).select("a", "b"), [[1, 2]], prefixes, texts, nodes, n, percent)
     roots = components(first.unionByName(second))
 
     grouped = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
