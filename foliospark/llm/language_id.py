@@ -1,9 +1,10 @@
 """Language ID by cross-parsing entropy.
 
 Each language's sample gives a suffix automaton. A text is parsed greedily into the longest phrases that occur in the sample;
-the language that needs the fewest phrases per symbol wins. The automata are dense transition tables over the letters of their own sample, so that a task
+the language with the lowest cross entropy wins: phrases, normalised by what a phrase of its sample costs, log2 of the sample's length (Ziv and Merhav's
+phrases * log2(n) / length), so that a long sample has no advantage over a short one. The automata are dense transition tables over the letters of their own sample, so that a task
 steps through many stretches of text and all languages at once; those that would take the tables beyond DENSE cells (scripts of thousands of letters)
-are sorted lists of transitions. A stretch is STRETCH symbols and every stretch starts a new phrase, in texts of any length.
+are sorted lists of transitions. A stretch is STRETCH symbols and every stretch starts a new phrase, in texts of any length and for all languages alike.
 
 The classifier is fitted on a bounded sample of labelled rows: the SAMPLE_DOCS rows of each language that come first by a hash of their id, and
 SAMPLE_CHARS code points of each. Prediction reads whole texts.
@@ -20,9 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from foliospark.llm.common import crc_fold, table
+from foliospark.llm.common import crc_fold, table, text_batches
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 400
 #: Symbols: 0 any letter that no sample holds, 1 runs of anything but letters, the rest single letters, each letter of the samples its own.
@@ -30,11 +30,9 @@ STRETCH = 1024
 #: Cells of all dense tables together.
 DENSE = 1 << 25
 #: Code points handled at once by a task.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 UNKNOWN, NEW_PHRASE = "und", 1 << 30
 
-_PARSERS: dict[tuple, CrossParser] = {}
-
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of each state; state 0 is the root. Every path from it spells a factor of the sequence."""
@@ -73,11 +71,12 @@ class CrossParser:
         self.langs = [lang for lang, _ in samples]
         self.letters = {c: i + 2 for i, c in enumerate(sorted({c.lower() for _, text in samples for c in text if c.isalpha()}))}
         self.symbol = np.array([self._code(c) for c in range(0x10000)], dtype=np.int32)
-        automata = []
+        automata, sizes = [], []
         for i, (_, text) in enumerate(samples):
             own, places = np.unique(self.symbols(text)[0], return_inverse=True)
             local = np.zeros(len(self.letters) + 2, dtype=np.int32)  # 0: not in this sample, which always starts a new phrase
             local[own] = np.arange(1, len(own) + 1)
+            sizes.append(len(places))
             moves = suffix_automaton((places + 1).tolist())
             moves.append({})  # between phrases: whatever comes starts a new one
             automata.append((len(moves) * (len(own) + 1), i, local, len(own) + 1, moves))
@@ -98,6 +97,8 @@ class CrossParser:
             self.dense.append(i)
             self.starts.append(base + cells - width)
             base += cells
+        #: Bits that tell one place of a sample from the others: the cost of a phrase.
+        self.bits = np.log2(np.maximum(sizes, 2))
         self.moves = np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.int32)
         self.local = np.stack(locals_) if blocks else np.zeros((0, len(self.letters) + 2), dtype=np.int32)
 
@@ -171,11 +172,11 @@ class CrossParser:
         if not self.langs or not stretches:
             return [(UNKNOWN, 0.0)] * len(texts)
         counts = self.phrases(stretches)
-        total = np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in counts])
-        best = total.argmin(axis=0)
-        ranked = np.sort(total, axis=0)
-        second = ranked[1] if len(ranked) > 1 else sizes + 1
-        score = np.clip(1 - ranked[0] / np.maximum(second, 1), 0, 1)
+        entropy = np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in counts]) * self.bits[:, None] / np.maximum(sizes, 1)
+        best = entropy.argmin(axis=0)
+        ranked = np.sort(entropy, axis=0)
+        second = ranked[1] if len(ranked) > 1 else ranked[0] + 1
+        score = np.clip(1 - ranked[0] / np.maximum(second, 1e-9), 0, 1)
         return [(self.langs[b], float(s)) if has else (UNKNOWN, 0.0) for b, s, has in zip(best, score, letters)]
 
 
@@ -190,35 +191,26 @@ def training_samples(labelled: DataFrame, id_col: str = "doc_id", text_col: str
     return tuple((lang, "\n".join(texts[lang])) for lang in sorted(texts))
 
 
-def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score: one pass, no shuffle; other columns pass through."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if samples not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[samples] = CrossParser(samples)
-        parser = _PARSERS[samples]
-        for b in batches:
-            texts = ["" if t is None else t for t in b[text_col].tolist()]
+def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score: one pass, no shuffle. Only texts go to Python; other columns stay in the JVM and pass through."""
+
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        parser = CrossParser(samples)
+        for texts in batches:
             found, block, size = [], [], 0
             for t in texts:
-                block.append(t)
-                size += len(t)
+                block.append(t or "")
+                size += len(block[-1])
                 if size >= BLOCK_CHARS:
                     found += parser.predict(block)
                     block, size = [], 0
             found += parser.predict(block)
-            yield b.assign(lang_pred=[x for x, _ in found], score=[x for _, x in found])
-
-    out = docs.select(*kept)
-    for f in out.schema.fields:  # pandas has no nulls of its own for numbers
-        if isinstance(f.dataType, T.NumericType):
-            out = out.withColumn(f.name, F.col(f.name).cast("string"))
-    text_schema = out.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    found = out.mapInPandas(predict, text_schema)
-    return found.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+
+    text_batches(docs.sparkSession)
+    judged = F.pandas_udf(predict, "lang_pred string, score double")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn("_judged", judged(F.col(text_col))).select(*kept, F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score"))
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
