@@ -21,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import table, text_batches
 
-#: Bytes of edge labels that one trie may hold before a subtree is spilled.
+#: Bytes that one trie may hold before a subtree is spilled.
 TRIE_BYTES = 64 << 20
-#: Counted beside its label for each edge.
-EDGE_BYTES = 200
+#: Counted beside its label for each edge: the objects of the label, the edge and the child node.
+EDGE_BYTES = 500
 
 Entry = tuple[bytes, int | None, int]
 
@@ -155,6 +155,7 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(text, owner, n): one row per distinct text."""
     schema = "text string, owner long, n long"
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("owner"), F.lit(1).cast("long").alias("n"))
+    text_batches(docs.sparkSession)
     combine = _combiner(keep == "largest", trie_bytes)
     local = rows.mapInPandas(combine, schema)
     return local.repartition(F.octet_length("text"), F.xxhash64("text")).mapInPandas(combine, schema)
