@@ -1,5 +1,7 @@
 """SentencePiece encoding and decoding with sampled segmentations.
 
+The model file of the registered query is a BPE model (its description says so); any SentencePiece model file can be given.
+
 The pieces of a model form a lattice over each word; a whole text's segmentation is one path through the lattices of its words. A text is cut into words
 only where no piece of the model spans the cut, so a run of space marks stays with the word that follows. Pieces of a BPE model
 carry ranks as scores, so the path weights take the probability of a piece as 1 / (rank + ZIPF) (Zipf's law); a character that is no piece is spelled in byte pieces at BYTE_COST.
@@ -29,12 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import table, text_batches
 
 #: Segmentations per text, the offset of Zipf's law, log cost of one byte piece, the longest piece that is tried.
 SAMPLES, ZIPF, BYTE_COST, LONGEST = 4, 2.7, -14.0, 16
-#: Words whose lattices a worker remembers, and the segmentations of a word that are listed or remembered.
-MOST_WORDS, LISTED = 150_000, 24
+#: Edges of the lattices that a worker remembers (about 200 bytes each with all that hangs on them), and the segmentations of a word that are listed or remembered.
+MOST_EDGES, LISTED = 400_000, 24
+#: Rows, and code points of their texts, that a task gives back at once.
+SLICE, SLICE_CHARS = 200, 1_000_000
 SPACE = "▁"
 
 _MODELS: dict[str, PieceLattice] = {}
@@ -127,26 +131,30 @@ class PieceLattice:
         plain = [i for i in range(size) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
         order = sorted(plain, key=lambda i: (-self.model.get_score(i), i))
         total = math.log(sum(1 / (r + ZIPF) for r in range(len(order))))
-        self.weight = {self.model.id_to_piece(i): (i, -math.log(r + ZIPF) - total) for r, i in enumerate(order)}
+        #: Ids and log weight of each piece, as objects that all edges share.
+        self.weight = {self.model.id_to_piece(i): ((i,), -math.log(r + ZIPF) - total) for r, i in enumerate(order)}
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         #: Characters that stand before a mark inside some piece; the longest piece.
         self.joined = {a for piece in self.weight for a, b in zip(piece, piece[1:]) if b == SPACE}
         self.longest = max(LONGEST, *map(len, self.weight))
         self.words: dict[str, Word] = {}
+        self.edges = 0
 
     def word(self, text: str) -> Word:
         found = self.words.get(text)
         if found is None:
-            if len(self.words) >= MOST_WORDS:
+            if self.edges >= MOST_EDGES:
                 self.words.clear()
-            edges = []
+                self.edges = 0
+            edges, get = [], self.weight.get
             for i, c in enumerate(text):
-                out = [(j, (hit[0],), hit[1]) for j in range(i + 1, min(len(text), i + self.longest) + 1) if (hit := self.weight.get(text[i:j]))]
+                out = [(j, *hit) for j in range(i + 1, min(len(text), i + self.longest) + 1) if (hit := get(text[i:j]))]
                 if c not in self.weight:
                     data = c.encode()
                     out.append((i + 1, tuple(self.bytes[b] for b in data), BYTE_COST * len(data)))
                 edges.append(out)
             found = self.words[text] = Word(edges)
+            self.edges += sum(map(len, edges)) + len(edges)
         return found
 
     def split(self, text: str) -> list[str]:
@@ -241,17 +249,24 @@ def _lattice(path: str) -> PieceLattice:
 def sampled_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES) -> DataFrame:
     """(doc_id, sample, ids, log_prob, perturbed, inclusion): up to k rows per row of docs, sample counting from 0. No shuffle."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+        return out.assign(doc_id=pd.array(out["doc_id"], dtype="Int64"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = _lattice(model_path)
         for b in batches:
-            for at in range(0, len(b), 200):
-                part, rows = b.iloc[at : at + 200], []
-                for doc, text, seed in zip(part["doc_id"], part["text"], part["seed"]):
-                    rows += [(doc, i, *x) for i, x in enumerate(lattice.sample(text, k, int(seed)))]
-                out = pd.DataFrame(rows, columns=["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
-                out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-                yield out
-
+            rows, chars, docs_in = [], 0, 0
+            for doc, text, seed in zip(b["doc_id"], b["text"], b["seed"]):
+                rows += [(doc, i, np.array(ids, dtype=np.int32), *x) for i, (ids, *x) in enumerate(lattice.sample(text, k, int(seed)))]
+                chars, docs_in = chars + len(text), docs_in + 1
+                if docs_in >= SLICE or chars >= SLICE_CHARS:
+                    yield frame(rows)
+                    rows, chars, docs_in = [], 0, 0
+            if rows:
+                yield frame(rows)
+
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).bitwiseAND(F.lit((1 << 62) - 1)).alias("seed"))
     return rows.mapInPandas(run, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
@@ -263,7 +278,9 @@ def decoded(segmentations: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = _lattice(model_path)
         for b in batches:
-            yield b.assign(doc_id=pd.array(b["doc_id"], dtype="Int64"), text=[lattice.decode([int(i) for i in x]) for x in b["ids"]])
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at : at + SLICE]
+                yield part.assign(doc_id=pd.array(part["doc_id"], dtype="Int64"), text=[lattice.decode(x.tolist()) for x in part["ids"]])
 
     return segmentations.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in segmentations.dtypes) + ", text string")
 

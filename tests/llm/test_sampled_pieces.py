@@ -91,7 +91,7 @@ def whole_paths(text):
             continue
         for j in range(at + 1, len(normal) + 1):
             if (hit := LATTICE.weight.get(normal[at:j])) is not None:
-                open_.append((j, (*ids, hit[0]), p + hit[1]))
+                open_.append((j, (*ids, *hit[0]), p + hit[1]))
         assert normal[at] in LATTICE.weight
     total = math.log(sum(map(math.exp, out.values())))
     return {ids: p - total for ids, p in out.items()}
