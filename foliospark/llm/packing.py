@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table, written
+from foliospark.llm.common import table, text_batches, written
 
 WINDOW, END_ID = 2048, 1
 #: Groups that the pieces of one length are ranked in.
@@ -152,6 +152,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
                 yield out
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
