@@ -103,12 +103,11 @@ def contains_phrase(title, query) -> Column:
 
 
 def title_priority(title, query) -> Column:
-    """0 the same words, 1 the phrase, 2 all words, 3 a substring, 4 none."""
-    t, q = squeeze_lower(title), squeeze_lower(query)
-    words = tokens(query)
+    """0 the same words, 1 the phrase, 2 all words, 3 a substring of the lower-cased title, 4 none."""
+    q, words = squeeze_lower(query), tokens(query)
     same = (F.size(words) > 0) & (tokens(title) == words)
-    found = F.contains(t, q)
-    cases = [(q == "", F.lit(4)), (same | (t == q), F.lit(0)), (contains_phrase(title, query), F.lit(1)), (contains_all_words(title, query), F.lit(2)), (found, F.lit(3))]
+    found = F.contains(F.lower(col(title)), q)
+    cases = [(q == "", F.lit(4)), (same, F.lit(0)), (contains_phrase(title, query), F.lit(1)), (contains_all_words(title, query), F.lit(2)), (found, F.lit(3))]
     return chosen(cases, F.lit(4))
 
 

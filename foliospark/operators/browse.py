@@ -86,6 +86,11 @@ def neighbours(books: DataFrame, order: list[str], by: list[str]) -> DataFrame:
     return books.withColumns({"previous_id": F.coalesce(F.lag("book_id").over(w), F.last("book_id").over(whole)), "next_id": F.coalesce(F.lead("book_id").over(w), F.first("book_id").over(whole))})
 
 
+def book_count(books: DataFrame) -> DataFrame:
+    """(books): the number of active books, in one row."""
+    return books.where("del = 0").agg(F.count("*").alias("books"))
+
+
 def library_stats(books: DataFrame, book_authors: DataFrame, book_genres: DataFrame) -> DataFrame:
     """One row: books, languages and last_added over active books, links and linked entities over all."""
     parts = [

@@ -14,7 +14,10 @@ KEY = ["title", "file_name", "zip"]
 
 
 def parse_records(lines: DataFrame, layout: str = DEFAULT_LAYOUT) -> DataFrame:
-    """lines: (source, member, line_no, line). Fields are separated by \\x04 or |; bad integers are 0."""
+    """lines: (source, member, line_no, line) and, if known, collection. Fields are separated by \\x04 or |; bad integers are 0.
+
+    A line without a folder is in the archive that its collection's name gives.
+    """
     places = {f.strip().lower(): i for i, f in reversed(list(enumerate(layout.split(";"))))}
     parts = F.split(F.translate("line", "\x04", "|"), "\\|")
 
@@ -23,7 +26,8 @@ def parse_records(lines: DataFrame, layout: str = DEFAULT_LAYOUT) -> DataFrame:
 
     number = lambda name: F.coalesce(field(name).try_cast("bigint"), F.lit(0).cast("bigint"))
     authors = X.parse_authors(field("author")) if "author" in places else F.array().cast("array<string>")
-    base = F.regexp_replace(F.regexp_extract("member", "[^/\\\\]*$", 0), "(?i)\\.inp$", "")
+    collection = F.coalesce(F.col("collection"), F.lit("")) if "collection" in lines.columns else F.lit("")
+    base = F.regexp_replace(F.regexp_extract(F.regexp_replace(collection, "/+$", ""), "[^/]*$", 0), "\\.inp$", "")
     return lines.withColumn("parts", parts).select(
         "source", "member", "line_no", field("title").alias("title"), F.nullif(field("series"), F.lit("")).alias("series"), number("serno").alias("series_no"), field("file").alias("file_name"),
         F.coalesce(F.nullif(field("folder"), F.lit("")), F.concat(F.lower(base), F.lit(".zip"))).alias("folder"), F.lower(field("ext")).alias("format"), number("size").alias("file_size"),

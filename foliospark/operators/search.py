@@ -50,18 +50,25 @@ def prefixes_match(value, query) -> Column:
 def match_queries(queries: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, book_id) of a table (query_id, field, text): books where every token of the text begins some token of the field.
 
-    The distinct vocabulary is cut to the lengths that query tokens of its field have and meets them in an equi-join, then the postings; no nested loop.
+    The distinct vocabulary is cut to the lengths that query tokens of its field have and meets them in an equi-join. A query then goes on with the postings of
+    its rarest token alone, and its other tokens are held against the books found there: no nested loop, and no row per book of a frequent token.
     """
     wanted = queries.select("query_id", "field", F.explode(F.array_distinct(X.tokens("text"))).alias("prefix"))
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("needed"))
     asked = wanted.select("field", "prefix").distinct()
     lengths = asked.select("field", F.length("prefix").alias("k")).distinct()
-    vocabulary = tokens.select("field", "token").distinct()
-    cut = vocabulary.join(lengths, "field").where(F.length("token") >= F.col("k")).select("field", "token", F.substr("token", F.lit(1), F.col("k")).alias("prefix"))
+    vocabulary = tokens.groupBy("field", "token").agg(F.count("*").alias("n"))
+    cut = vocabulary.join(lengths, "field").where(F.length("token") >= F.col("k")).select("field", "token", "n", F.substr("token", F.lit(1), F.col("k")).alias("prefix"))
     hits = cut.join(asked, ["field", "prefix"])
-    found = tokens.join(hits, ["field", "token"]).select("field", "prefix", "book_id").distinct()
-    counted = wanted.join(found, ["field", "prefix"]).groupBy("query_id", "book_id").agg(F.count("*").alias("met"))
-    return counted.join(sizes, "query_id").where(F.col("met") == F.col("needed")).select("query_id", "book_id")
+    sizes = hits.groupBy("field", "prefix").agg(F.sum("n").alias("postings"))
+    planned = wanted.join(sizes, ["field", "prefix"], "left").groupBy("query_id", "field").agg(
+        F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "prefix")).alias("first"), F.collect_set("prefix").alias("prefixes")
+    )
+    starts = planned.where(F.col("first.postings") > 0).select("query_id", "field", "prefixes", F.col("first.prefix").alias("prefix"))
+    near = starts.join(hits.select("field", "prefix", "token"), ["field", "prefix"]).join(tokens, ["field", "token"]).select("query_id", "field", "book_id", "prefixes").distinct()
+    alone = near.where(F.size("prefixes") == 1).select("query_id", "book_id")
+    own = tokens.groupBy("book_id", "field").agg(F.collect_set("token").alias("own"))
+    met = F.forall("prefixes", lambda p: F.exists("own", lambda t: F.startswith(t, p)))
+    return alone.unionByName(near.where(F.size("prefixes") > 1).join(own, ["book_id", "field"]).where(met).select("query_id", "book_id"))
 
 
 def append_missing(primary: DataFrame, fallback: DataFrame, id_col: str, least: int) -> DataFrame:

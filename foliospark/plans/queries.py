@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -71,9 +72,9 @@ def padded(x: str) -> str:
 
 def title_priority(t: str, query: str) -> str:
     return (
-        f"case when {low(query)} = '' then 4 when (len({toks(query)}) > 0 and {toks(t)} = {toks(query)}) or {low(t)} = {low(query)} then 0"
+        f"case when {low(query)} = '' then 4 when (len({toks(query)}) > 0 and {toks(t)} = {toks(query)}) then 0"
         f" when len({toks(query)}) > 0 and contains({padded(t)}, {padded(query)}) then 1 when len({toks(query)}) > 0 and list_has_all({toks(t)}, {toks(query)}) then 2"
-        f" when contains({low(t)}, {low(query)}) then 3 else 4 end"
+        f" when contains(lower({t}), {low(query)}) then 3 else 4 end"
     )
 
 
@@ -97,7 +98,7 @@ def prefixes(field: str, text: str) -> str:
 # 2.1 sources that derive from the tables, 2.4 and 2.5 ingest
 LINES_SQL = """, lines as (
   select book_id, case when book_id % 50 = 0 then 1 else 0 end as gone, case when book_id % 50 = 1 then '' else title end as title, series, series_no, file_name,
-    case when book_id % 50 = 2 then 'other.zip' when book_id % 50 = 3 then upper(zip) else zip end as folder, format, file_size, language, authors, genre
+    case when book_id % 50 = 2 then 'other.zip' when book_id % 50 = 3 then upper(zip) when book_id % 50 = 4 then 'arc-0.zip' else zip end as folder, format, file_size, language, authors, genre
   from wide where del = 0
 ), records as (
   select title, series, series_no, file_name, lower(folder) as zip, format, file_size, language, case when len(authors) = 0 then ['Неизвестный автор'] else authors end as authors, genre
@@ -105,17 +106,21 @@ LINES_SQL = """, lines as (
 )"""
 
 
+#: What collection.info of the composed index says.
+COLLECTION = "lib/ARC-0.inp"
+
+
 def lines(c: Catalog) -> DataFrame:
-    """Index lines composed from the catalog: some deleted, without a title, of an unknown archive or with its name in capitals."""
+    """Index lines composed from the catalog: some deleted, without a title, of an unknown archive, with its name in capitals or without it."""
     w = B.active_books(wide(c))
     key = F.col("book_id") % 50
-    archive = F.when(key == 2, "other.zip").when(key == 3, F.upper("zip")).otherwise(F.col("zip"))
+    archive = F.when(key == 2, "other.zip").when(key == 3, F.upper("zip")).when(key == 4, "").otherwise(F.col("zip"))
     authors = F.array_join(F.transform("authors", lambda a: F.concat(F.replace(a, F.lit(" "), F.lit(",")), F.lit(":"))), "")
     genres = F.array_join(F.transform("genres", lambda g: F.concat(g, F.lit(":"))), "")
     none = F.lit("")
     fields = [authors, genres, F.when(key == 1, "").otherwise(F.col("title")), F.coalesce("series", none), F.col("series_no").cast("string"), F.col("file_name"), F.col("file_size").cast("string"), none,
               F.when(key == 0, "1").otherwise("0"), F.col("format"), F.lit("2020-01-01"), none, archive, F.col("language"), none, none]
-    return w.select(F.lit("lib.inpx").alias("source"), F.lit("a.inp").alias("member"), F.col("book_id").alias("line_no"), F.concat_ws("\x04", *fields).alias("line"))
+    return w.select(F.lit("lib.inpx").alias("source"), F.lit("a.inp").alias("member"), F.col("book_id").alias("line_no"), F.concat_ws("\x04", *fields).alias("line"), F.lit(COLLECTION).alias("collection"))
 
 
 def archives(c: Catalog) -> DataFrame:
@@ -480,6 +485,19 @@ def cover_and_download(c: Catalog) -> DataFrame:
     return wide(c).select("book_id", cover.alias("cover"), D.download_name("title", "author", "language", "format").alias("download"))
 
 
+@query("book_count", "select count(*) as books from books where del = 0")
+def book_count(c: Catalog) -> DataFrame:
+    return R.book_count(c.books())
+
+
+@query("file_names", """, f as (select *, case when format in ('', 'unknown') then case when file_name like '%.epub' then 'epub' else 'unknown' end else format end as full_format from wide)
+  select book_id, case full_format when 'fb2' then 'application/fb2' when 'epub' then 'application/epub+zip' when 'pdf' then 'application/pdf' else 'application/octet-stream' end as mime,
+    replace(url_encode(title), '%3A', ':') as escaped, case when reader = '' then 'book' else reader end as reader
+  from (select *, regexp_replace(trim(regexp_replace(title, '[^a-zA-Z0-9 .-]', '', 'g')), ' +', '_', 'g') as reader from f)""")
+def file_names(c: Catalog) -> DataFrame:
+    return wide(c).select("book_id", X.mime_type("full_format").alias("mime"), X.path_escape("title").alias("escaped"), X.reader_filename("title").alias("reader"))
+
+
 # 2.10 book files derived from the catalog: one FB2 document per book
 def fb2_files(c: Catalog) -> DataFrame:
     text = lambda s: F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -507,8 +525,12 @@ def fb2_covers(c: Catalog) -> DataFrame:
 
 # 2.11 streams over files that exist when they start; each ends when it has read them
 def _scratch(c: Catalog) -> str:
-    """A new folder that driver and executors share."""
-    root = c.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliospark-")
+    """A new folder that driver and executors share: below spark.checkpoint.dir; a temporary one in local mode alone."""
+    root = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", c.spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="foliospark-")
     return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
@@ -519,7 +541,7 @@ def stream_ingest(c: Catalog) -> DataFrame:
     manifest = archives(c)
 
     def merge(batch: DataFrame, number: int) -> None:
-        found = I.resolve_archive(I.valid_records(I.parse_records(batch)), manifest)
+        found = I.resolve_archive(I.valid_records(I.parse_records(batch.withColumn("collection", F.lit(COLLECTION)))), manifest)
         found.select("title", "file_name", "zip", F.array_join("authors", ";").alias("authors")).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     T.stream_ingest(T.stream_lines(c.spark, f"{at}/in", "*.txt"), merge, f"{at}/checkpoint").awaitTermination()

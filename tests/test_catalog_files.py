@@ -35,11 +35,12 @@ def test_index_to_catalog(spark, tmp_path):
     good = line("Doe,Jane,Q:Roe,Sam:", "sf:prose:", "Title", "Ser", "3", "f1", "10", "", "0", "FB2", "", "", "Arc-1.zip", "en")
     rows = [good, line("", "sf:", "T2", "", "x", "f2", "", "", "x", "fb2", "", "", "arc-1.ZIP"), line("A", "", "T3", "", "", "f3", "", "", "1", "fb2", "", "", "Arc-1.zip"),
             line("A", "", "T4", "", "", "f4", "", "", "0", "fb2", "", "", "other.zip"), line("A", "", "", "", "", "f5"), line("B,C", "g:", "Title", "", "9", "f1", "99", "", "0", "fb2", "", "", "Arc-1.zip"), line("A", "", "T6", "", "", "f6")]
-    (tmp_path / "lib.inpx").write_bytes(zipped({"lib/ARC-1.inp": "\r\n".join(rows).encode(), "collection.info": b"Lib\nx", "other.txt": b"no"}))
+    (tmp_path / "lib.inpx").write_bytes(zipped({"lib/ARC-1.inp": "\r\n".join(rows).encode(), "collection.info": b"lib/ARC-1.inp\nx", "other.txt": b"no"}))
     (tmp_path / "Arc-1.zip").write_bytes(zipped({"f1.fb2": b"x"}))
     lines = archives.read_inpx(spark, str(tmp_path))
     assert lines.count() == 7 and archives.read_layout(spark, str(tmp_path)).first().layout == ingest.DEFAULT_LAYOUT
     assert archives.latest_source(spark, str(tmp_path)).first().source.endswith("lib.inpx")
+    lines = lines.join(archives.read_layout(spark, str(tmp_path)).select("source", "collection"), "source")
     records = ingest.resolve_archive(ingest.valid_records(ingest.parse_records(lines)), archives.archive_manifest(spark, str(tmp_path)))
     got = {(r.title, r.file_name, r.zip, tuple(r.authors), r.series_no, r.file_size, r.language) for r in records.collect()}
     assert got == {("Title", "f1", "Arc-1.zip", ("Doe Jane Q", "Roe Sam"), 3, 10, "en"), ("T2", "f2", "Arc-1.zip", ("Неизвестный автор",), 0, 0, "unknown"), ("Title", "f1", "Arc-1.zip", ("B C",), 9, 99, "unknown"), ("T6", "f6", "Arc-1.zip", ("A",), 0, 0, "unknown")}
