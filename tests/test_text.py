@@ -17,7 +17,7 @@ CASES = [
     (X.normalize_genre_code, "SF Fantasy-2 ", "sf_fantasy_2"), (X.normalize_genre_code, "__a__", "a"), (X.mime_type, "FB2", "application/fb2"), (X.mime_type, "zzz", X.OTHER_MIME),
     (X.split_genres, "a:: b:", ["a", " b"]), (X.clean_annotation, ' <p xmlns="u">a &amp;lt; <strong>b</strong></p> ', "<p>a &lt; <b>b</b></p>"), (X.path_escape, "a b+c/d", "a%20b+c%2Fd"), (X.query_escape, "a b+c*", "a+b%2Bc%2A"),
 ]
-TITLES = [("War and Peace", "war  AND peace!", 0), ("The War and Peace Saga", "war and peace", 1), ("Peace after War and Rain", "war and peace", 2), ("Warcraft", "war", 3), ("Dune", "war", 4), ("Dune", "  ", 4), ("C++ Primer", "c++", 1), ("Wow!!! Really", "!!!", 3), ("!!!", "!!!", 3), ("a  ?b", "A ?", 4)]
+TITLES = [("War and Peace", "war  AND peace!", 0), ("The War and Peace Saga", "war and peace", 1), ("Peace after War and Rain", "war and peace", 2), ("Warcraft", "war", 3), ("Dune", "war", 4), ("Dune", "  ", 4), ("C++ Primer", "c++", 1), ("Wow!!! Really", "!!!", 3), ("!!!", "!!!", 3), ("Wara  bc", "ra b", 4)]
 AUTHORS = [(["Doe Jane"], "Jane Doe", 1), (["doe jane", "Roe Sam"], "Jane Doe", 2), (["Doe Jane", "Roe Sam", "Poe Al"], "Jane Doe", 3), (["Roe Sam", "Doe Jane"], "Jane Doe", 4), (["Roe Sam"], "Jane Doe", 5), (["Doe-Smith Mary-Jane"], "Jane Doe", 1), (["Doe Jane"], "Doe, Jane", 5)]
 CLASSES = [("ru", "Abc", 0), ("ru", "A, b", 1), ("unknown", "Abc", 0), ("", "A-b", 1), ("en", "Abc", 100), ("en", "A + b", 101)]
 FORMATS = [("", "x.FB2", "fb2"), ("unknown", "x.htm", "html"), ("", "my_epub_1", "epub"), ("", "x", "unknown"), ("pdf", "x.fb2", "pdf")]
