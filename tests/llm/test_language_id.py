@@ -90,3 +90,15 @@ def test_every_letter_of_the_samples_counts(spark, monkeypatch):
     monkeypatch.undo()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
     assert [r.lang_pred for r in identify(df, samples).orderBy("doc_id").collect()] == list(texts)
+
+
+def test_a_long_sample_has_no_advantage():
+    import random
+
+    rng = random.Random(5)
+    syllables = {"long": ["ka", "lo", "mi", "tu", "re"], "short": ["shpr", "ong", "ith", "weck", "ald"]}
+    words = {lang: ["".join(rng.choices(s, k=rng.randint(1, 3))) for _ in range(60)] for lang, s in syllables.items()}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    parser = CrossParser((("long", text("long", 6000)), ("short", text("short", 40))))
+    for lang in words:
+        assert [p for p, _ in parser.predict([text(lang, 30) for _ in range(10)])] == [lang] * 10
