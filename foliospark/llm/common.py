@@ -55,7 +55,8 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A to Z alone; lower() does the same where all characters are ASCII, and much faster than translate()."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:

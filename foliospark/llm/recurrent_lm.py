@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import crc_fold, table, words, written
+from foliospark.llm.common import SPACES, ascii_lower, crc_fold, table, written
 
 HEAD, EXPLICIT, CLASS_WORDS = 1 << 16, 1024, 32
 HIDDEN, WINDOW, ROUNDS = 16, 32, 1
@@ -253,15 +253,16 @@ def trained(p: dict[str, np.ndarray], sequences: Iterator[np.ndarray], begin: in
     """Parameters after one pass with Adam, and the tokens seen."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    seen, step, h = 0, 0, np.zeros((HIDDEN, 1), dtype=np.float32)
+    seen, step, most, h = 0, 0, 1, np.zeros((HIDDEN, 1), dtype=np.float32)
     for tokens, before, lengths, carried in windows(sequences, begin):
         h = np.where(carried < 0, np.float32(0), h[:, carried])
         n = int(lengths.sum())
         grads, h, _ = window_gradients(p, tokens, before, lengths, h)
         step += 1
         seen += n
-        done = seen / (BATCH * WINDOW)  # in whole windows: a step is as large as its window is full, so that no few long texts have the last word
-        rate = RATE * min(done / WARM, math.sqrt(WARM / done)) / math.sqrt(WARM) * n / (BATCH * WINDOW)
+        most = max(most, n)
+        done = seen / most  # in whole windows: a step goes by its window's share of the largest one, so that no few long texts have the last word
+        rate = RATE * min(done / WARM, math.sqrt(WARM / done)) / math.sqrt(WARM) * n / most
         for k in p:
             g = grads[k] / n
             m[k] += 0.1 * (g - m[k])
@@ -304,7 +305,8 @@ def vocabulary_of(training: DataFrame, text_col: str = "text") -> tuple[DataFram
     The words that are shipped are all those with a count of at least a threshold; it comes from a histogram of counts on a logarithmic scale, whose size does not
     depend on the corpus, so that never more than HEAD words reach the driver.
     """
-    tokens = training.select(F.explode(F.concat(F.filter(words(F.col(text_col)), lambda w: w != ""), F.array(F.lit(END)))).alias("word"))
+    split = F.split(F.coalesce(F.col(text_col), F.lit("")), SPACES)
+    tokens = training.select(F.explode(F.array_append(split, F.lit(END))).alias("word")).where(F.col("word") != "").select(ascii_lower(F.col("word")).alias("word"))
     counts = written(tokens.groupBy("word").agg(F.count("*").alias("c")))
     level = F.floor(F.log2("c") * LEVELS)
     levels = sorted(counts.groupBy(level.alias("level")).agg(F.min("c").alias("least"), F.count("*").alias("v"), F.sum("c").alias("n")).collect(), key=lambda r: -r["level"])
