@@ -11,12 +11,20 @@ from foliospark.operators.search import ESCAPE, book_tokens, match_queries
 
 # Lengths of lists.
 LIST_NAMES, LIST_SERIES, SUGGESTIONS = 100, 1000, 5
+SERIES_BOOKS = 1000
 
 
 def latest_books(books: DataFrame, n: int) -> DataFrame:
     return active_books(books).orderBy(*newest_first()).limit(n)
 
 
+def books_in_series_order(books: DataFrame, series_ids: DataFrame, n: int = SERIES_BOOKS) -> DataFrame:
+    """(.., place): the first n active books of the series (series_id) by number, title and id."""
+    order = [F.col("series_no"), F.col("title"), F.col("book_id")]
+    rows = active_books(books).join(series_ids.select("series_id"), "series_id", "left_semi").orderBy(*order).limit(n)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def _with_prefix(names: DataFrame, column: str, prefix: str, n: int) -> DataFrame:
     return names.where(F.like(X.ascii_lower(column), F.lit(prefix.lower() + "%"), F.lit(ESCAPE))).select(column).distinct().orderBy(column).limit(n)
 

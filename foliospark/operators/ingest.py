@@ -57,15 +57,22 @@ def new_books(records: DataFrame, books: DataFrame) -> DataFrame:
     return records.join(books.select(*KEY), KEY, "left_anti")
 
 
-def merge_records(records: DataFrame, books: DataFrame, added_at) -> DataFrame:
-    """The catalog's books with those that the records add: stored rows never change; ids follow the largest one in order of the key."""
+BOOK_COLUMNS = ["book_id", "title", "series", "series_no", "file_name", "zip", "format", "file_size", "language", "del", "added_at"]
+
+
+def added_books(records: DataFrame, books: DataFrame, added_at) -> DataFrame:
+    """The books that the records add to a catalog: ids follow the largest one in order of the key."""
     fresh = new_books(first_record(records), books)
     keyed = fresh.withColumn("natural_key", F.concat_ws("\x04", *KEY))
     ids = assign_ids(keyed, None, "natural_key", "new_id")
     top = books.agg(F.coalesce(F.max("book_id"), F.lit(0)).alias("top"))
-    made = keyed.join(ids, "natural_key").crossJoin(F.broadcast(top)).withColumns({"book_id": F.col("top") + F.col("new_id"), "added_at": F.lit(added_at).cast("timestamp")})
-    columns = ["book_id", "title", "series", "series_no", "file_name", "zip", "format", "file_size", "language", "del", "added_at"]
-    return books.select(*columns).unionByName(made.select(*columns))
+    made = keyed.join(ids, "natural_key").crossJoin(F.broadcast(top))
+    return made.withColumns({"book_id": F.col("top") + F.col("new_id"), "added_at": F.lit(added_at).cast("timestamp")}).select(*BOOK_COLUMNS)
+
+
+def merge_records(records: DataFrame, books: DataFrame, added_at) -> DataFrame:
+    """The catalog's books with those that the records add: stored rows never change."""
+    return books.select(*BOOK_COLUMNS).unionByName(added_books(records, books, added_at))
 
 
 def attach_links(records: DataFrame, books: DataFrame, dim: DataFrame, bridge: DataFrame, names: str, id_col: str, name_col: str) -> DataFrame:

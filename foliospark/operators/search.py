@@ -164,6 +164,12 @@ def page(books: DataFrame, order: list[Column], number: int, per_page: int) -> D
     return books.orderBy(*order).offset((number - 1) * per_page).limit(per_page)
 
 
+def page_of_each(books: DataFrame, by: list[str], order: list[Column], number: int, per_page: int) -> DataFrame:
+    """One page of every query of a table of hits; `by` names the query. Rows past the page fall within the sort of a partition."""
+    first = (number - 1) * per_page
+    return _ranked(books, order, by).where((F.col("rank") > first) & (F.col("rank") <= first + per_page))
+
+
 def page_order(title: str = "", author: str = "", series: str = "", genre: str = "") -> list[Column]:
     if title:
         return [F.col("title"), F.col("book_id")]

@@ -574,3 +574,6 @@ def stream_shelf(c: Catalog) -> DataFrame:
     state = T.stream_shelf(c.shelf_events(_streamed(c, "events")))
     state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return c.spark.read.parquet(f"{at}/out")
+
+
+from foliospark.plans import file_queries  # noqa: E402,F401  registers its queries; it needs the names above

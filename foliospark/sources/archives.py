@@ -24,7 +24,7 @@ def archive_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def members(files: DataFrame, keep: str = ".*") -> DataFrame:
-    """(source, member, content) of zip files (path, content); keep: a regular expression on the lower-cased member name. A broken archive gives no rows."""
+    """(source, member, content) of zip files (path, content); keep: a regular expression on the lower-cased member name. A broken archive gives no rows here and one of `broken_archives`."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
@@ -51,38 +51,71 @@ def members(files: DataFrame, keep: str = ".*") -> DataFrame:
     return files.select("path", "content").mapInPandas(expand, "source string, member string, content binary")
 
 
-def read_inpx(spark: SparkSession, path: str) -> DataFrame:
-    """(source, member, line_no, line): the lines of all `.inp` members of `*.inpx` archives, dealt out anew after expanding."""
-    inp = members(archive_files(spark, path, "*.inpx"), r".*\.inp")
+def broken_archives(files: DataFrame) -> DataFrame:
+    """(source, error) of zip files (path, content) that cannot be opened: those that `members` gives no rows of."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    zipfile.ZipFile(io.BytesIO(content)).close()
+                except zipfile.BadZipFile as e:
+                    rows.append((path, str(e)))
+            yield pd.DataFrame(rows, columns=["source", "error"])
+
+    return files.select("path", "content").mapInPandas(check, "source string, error string")
+
+
+def index_lines(files: DataFrame) -> DataFrame:
+    """(source, member, line_no, line): the lines of all `.inp` members of index archives (path, content), dealt out anew after expanding."""
+    inp = members(files, r".*\.inp")
     text = F.decode("content", "utf-8")
     lines = inp.select("source", "member", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
     return lines.where(F.regexp_replace("line", "[\r\n]+$", "") != "").repartition("source", "member", "line_no")
 
 
-def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """(source, layout, collection) of each index: structure.info in lower case or the default layout; the first line of collection.info."""
-    files = archive_files(spark, path, "*.inpx")
+def read_inpx(spark: SparkSession, path: str) -> DataFrame:
+    return index_lines(archive_files(spark, path, "*.inpx"))
+
+
+def index_layout(files: DataFrame) -> DataFrame:
+    """(source, layout, collection) of each index (path, content): structure.info in lower case or the default layout; the first line of collection.info."""
     infos = members(files, r"(.*/)?(structure|collection)\.info").withColumn("text", F.trim(F.decode("content", "utf-8")))
     of = lambda name: F.max(F.when(F.endswith(F.lower("member"), F.lit(name)), F.col("text")))
     read = infos.groupBy("source").agg(F.lower(of("structure.info")).alias("layout"), F.split_part(of("collection.info"), F.lit("\n"), F.lit(1)).alias("collection"))
     return files.select(F.col("path").alias("source")).join(read, "source", "left").withColumn("layout", F.coalesce("layout", F.lit(DEFAULT_LAYOUT)))
 
 
-def latest_source(spark: SparkSession, path: str) -> DataFrame:
-    """(source, mtime) of the newest index."""
-    files = archive_files(spark, path, "*.inpx").select("path", "modificationTime")
+def read_layout(spark: SparkSession, path: str) -> DataFrame:
+    return index_layout(archive_files(spark, path, "*.inpx"))
+
+
+def newest_file(files: DataFrame) -> DataFrame:
+    """(source, mtime) of the file changed last, of several the one with the largest path; files: (path, modificationTime)."""
     return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("source"), F.max("modificationTime").alias("mtime"))
 
 
-def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
+def latest_source(spark: SparkSession, path: str) -> DataFrame:
+    return newest_file(archive_files(spark, path, "*.inpx").select("path", "modificationTime"))
+
+
+def archive_names(files: DataFrame) -> DataFrame:
     """(zip): names of the archives that are there; no content is read."""
-    return archive_files(spark, path, "*.zip").select(F.regexp_extract("path", "[^/]*$", 0).alias("zip"))
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("zip"))
+
+
+def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return archive_names(archive_files(spark, path, "*.zip"))
+
+
+def archive_members(files: DataFrame) -> DataFrame:
+    """(zip, member, content) of book archives (path, content)."""
+    return members(files).select(F.regexp_extract("source", "[^/]*$", 0).alias("zip"), "member", "content")
 
 
 def read_archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(zip, member, content) of book archives."""
-    out = members(archive_files(spark, path, "*.zip"))
-    return out.select(F.regexp_extract("source", "[^/]*$", 0).alias("zip"), "member", "content")
+    return archive_members(archive_files(spark, path, "*.zip"))
 
 
 def book_members(books: DataFrame, held: DataFrame) -> DataFrame:

@@ -8,14 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliospark.operators.ingest import KEY
+from foliospark.operators.ingest import BOOK_COLUMNS, KEY, added_books
 
 
-def stream_lines(spark: SparkSession, path: str, pattern: str = "*.inp") -> DataFrame:
-    """(source, member, line_no, line) of text index files as they arrive; line_no is the number of the file's block, so of equal keys in one block either row may stay."""
-    text = spark.readStream.format("text").option("pathGlobFilter", pattern).load(path)
+def stream_lines(spark: SparkSession, path: str, pattern: str = "*.inp", files_per_batch: int = 1000) -> DataFrame:
+    """(source, member, line_no, line) of text index files as they arrive, each read by one task, so that lines have their numbers."""
+    text = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).load(path)
     source = F.col("_metadata.file_path")
-    return text.select(source.alias("source"), F.regexp_extract(source, "[^/]*$", 0).alias("member"), F.col("_metadata.file_block_start").alias("line_no"), F.col("value").alias("line"))
+    lines = text.select(source.alias("source"), F.regexp_extract(source, "[^/]*$", 0).alias("member"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    return lines.where("line <> ''")
+
+
+def merge_into(path: str, added_at) -> Callable[[DataFrame, int], None]:
+    """What a stream of resolved records runs for every micro-batch: the books that it adds to the catalog at `path` (folders batch=<number>, the first one -1) go to a folder of the batch's own.
+
+    Stored books are never rewritten. A batch that comes again sees the catalog without its own folder and replaces that, so it gives the same books and ids.
+    """
+
+    def merge(records: DataFrame, number: int) -> None:
+        spark = records.sparkSession
+        stored = spark.read.parquet(path).where(F.col("batch") < number).select(*BOOK_COLUMNS)
+        added_books(records, stored, added_at).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return merge
 
 
 def stream_ingest(lines: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
