@@ -12,7 +12,7 @@ has in common with the other prefix all that it has in common with the other set
 
 Pairs are not expanded within a group. First every prefix list links its members to the most central one (the one
 whose shared n-gram comes earliest in its own order); then only members of different components of these
-links are compared, with all filters, until no pair of a list is left unjudged; how many lists two members meet in is the overlap of their prefixes. Linked
+links are compared, with all filters, until no pair of a list is left unjudged. Linked
 groups so cost about one pair per member. Tasks hold one batch of rows and one text's n-grams at a time.
 
 N-grams and sets are compared as 64-bit hashes: two different ones among n agree with probability n*n / 2**65.
@@ -162,13 +162,6 @@ def _could_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, perc
     return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (100 * most >= percent * (size_a + size_b - most))
 
 
-def _enough_common(common: Column, percent: int) -> Column:
-    """Prefixes under one order that end at end_a and end_b have so many n-grams in common that the sets of size_a and size_b could link."""
-    beyond = lambda x: F.col(f"size_{x}") - F.col(f"taken_{x}")
-    most = common + F.when(F.col("end_a") <= F.col("end_b"), beyond("a")).otherwise(beyond("b"))
-    return 100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)
-
-
 def _meet(order: int, percent: int) -> Column:
     a, b = (F.col(f"prefix{order}_{x}") for x in ("a", "b"))
     most = F.size(F.array_intersect(a, b)) + F.when(F.element_at(a, -1) <= F.element_at(b, -1), F.col("size_a") - F.size(a)).otherwise(F.col("size_b") - F.size(b))
@@ -216,19 +209,18 @@ def _verified(pairs: DataFrame, orders: list[list[int]], prefixes: DataFrame, te
 
 
 def prefix_lists(rows: DataFrame) -> DataFrame:
-    """(gram, node, size, taken, end, at, hub, hub_size, hub_at): the members of the lists of the first order that have more than one, each with the most
-    central one. taken and end are the length of the member's prefix and its last key.
+    """(gram, node, size, at, hub, hub_size, hub_at): the members of the lists of the first order that have more than one, each with the most central one.
 
     One shuffle, by n-gram; a node that several splits gave stands next to itself in the order of its list. The windows go through a list once and hold a row of it at a time.
     """
     prefix = F.col("prefix0")
-    lists = rows.where(F.size(prefix) > 0).select("node", "size", F.size(prefix).alias("taken"), F.element_at(prefix, -1).alias("end"), F.posexplode(prefix).alias("at", "gram"))
+    lists = rows.where(F.size(prefix) > 0).select("node", "size", F.posexplode(prefix).alias("at", "gram"))
     order = Window.partitionBy("gram").orderBy(F.col("at") / F.col("size"), "node", "size", "at")
     once = lists.withColumn("last", F.lag("node").over(order)).where(F.col("last").isNull() | (F.col("last") != F.col("node")))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hub = {f"hub{x}": F.first(c).over(so_far) for x, c in (("", "node"), ("_size", "size"), ("_at", "at"))}
     placed = once.withColumns({**hub, "more": F.lead("node").over(order)})
-    return placed.where((F.col("node") != F.col("hub")) | F.col("more").isNotNull()).select("gram", "node", "size", "taken", "end", "at", *hub)
+    return placed.where((F.col("node") != F.col("hub")) | F.col("more").isNotNull()).select("gram", "node", "size", "at", *hub)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -247,17 +239,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(first)
 
     # what is left: pairs of a list whose ends are in different components
-    own = ("node", "size", "taken", "end")
+    own = ("node", "size", "at")
     labelled = members.select("gram", *own).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_lists = labelled.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("gram")
     step = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(percent / 100)))).cast("int")
     left = labelled.join(mixed_lists, "gram", "left_semi").withColumn("band", step)
     right = left.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_b") for c in (*own, "root")))
+    # a pair that links passes the filter by places at its first common n-gram, so each such pair comes out of one list at least
     apart = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))
-    fits = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
-    cross = left.join(right, ["gram", "band"]).where(apart & fits).withColumnsRenamed({c: f"{c}_a" for c in own})
-    met = cross.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("common"), *(F.max(f"{c}_{x}").alias(f"{c}_{x}") for c in own[1:] for x in ("a", "b")))
-    second = _verified(met.where(_enough_common(F.col("common"), percent)).select("a", "b"), [[1, 2]], prefixes, texts, nodes, n, percent)
+    cross = left.join(right, ["gram", "band"]).where(apart & _could_link(F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), percent))
+    pairs = written(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+    discard(members)
+    second = _verified(pairs, [[0], [1, 2]], prefixes, texts, nodes, n, percent)
+    discard(pairs)
     roots = components(first.unionByName(second))
 
     grouped = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
