@@ -9,7 +9,8 @@ from foliospark.llm.packing import op10_packing
 from foliospark.llm.recurrent_lm import op3_lm_scores
 from foliospark.llm.sampled_pieces import op4_sampled_pieces
 from foliospark.llm.secrets import op2_secret_scan
+from foliospark.llm.simhash_join import op13_simhash
 from foliospark.llm.url_filter import op7_url_filter
 
-QUERIES = {"op4_sampled_pieces": op4_sampled_pieces, "op3_lm_scores": op3_lm_scores, "op6_fingerprints": op6_fingerprints, "op8_ngram_join": op8_ngram_join, "op9_language_id": op9_language_id, "op10_packing": op10_packing, "op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op13_simhash": op13_simhash, "op4_sampled_pieces": op4_sampled_pieces, "op3_lm_scores": op3_lm_scores, "op6_fingerprints": op6_fingerprints, "op8_ngram_join": op8_ngram_join, "op9_language_id": op9_language_id, "op10_packing": op10_packing, "op7_url_filter": op7_url_filter, "op1_chat_format": op1_chat_format, "op2_secret_scan": op2_secret_scan, "op5_exact_dedup": op5_exact_dedup}
 ORACLES = {"op8_ngram_join": OP8_SQL, "op1_chat_format": OP1_SQL, "op5_exact_dedup": OP5_SQL}
