@@ -23,6 +23,7 @@ from foliospark.plans.queries import COLLECTION, LINES_SQL, TITLE, TITLE_KEY, _s
 from foliospark.plans.views import Catalog
 from foliospark.sources import archives as Z
 from foliospark.sources import metadata as M
+from foliospark.sources.zips import write_archives
 from foliospark.streaming import ingest as T
 
 BLOCK, INDEX = 20, 100
@@ -42,13 +43,6 @@ def zipped(names: pd.Series, contents: pd.Series) -> pd.Series:
     return pd.Series([one(n, c) for n, c in zip(names, contents)], dtype=object)
 
 
-def packed_files(each: DataFrame, path: Column) -> DataFrame:
-    """(path, modificationTime, content) of archives; each: (number, at, name, data, mtime), path: of `number`."""
-    held = each.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("at", "name", "data"))).alias("held"), F.max("mtime").alias("modificationTime"))
-    part = lambda f: F.transform("held", lambda m: m[f])
-    return held.select(path.alias("path"), "modificationTime", zipped(part("name"), part("data")).alias("content"))
-
-
 def div(column: str, by: int) -> Column:
     return F.floor(F.col(column) / by)
 
@@ -57,25 +51,31 @@ def text_of(number: Column) -> Column:
     return number.cast("string")
 
 
-def index_files(c: Catalog) -> DataFrame:
-    """Index archives of the composed lines; every other one names its collection, every third one its layout."""
+def index_rows(c: Catalog) -> DataFrame:
+    """(archive, member, content, mtime) of index archives of the composed lines; every other one names its collection, every third one its layout."""
     dated = lines(c).join(c.books().select(F.col("book_id").alias("line_no"), F.col("added_at").cast("timestamp").alias("mtime")), "line_no")
     blocks = dated.groupBy(div("line_no", BLOCK).alias("at")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"), F.max("mtime").alias("mtime"))
-    inp = blocks.select(div("at", INDEX // BLOCK).alias("number"), "at", F.concat(F.lit("lib/ARC-"), text_of(F.col("at")), F.lit(".inp")).alias("name"), F.array_join(F.transform("x", lambda r: r["line"]), "\r\n").cast("binary").alias("data"), "mtime")
+    inp = blocks.select(div("at", INDEX // BLOCK).alias("number"), F.concat(F.lit("lib/ARC-"), text_of(F.col("at")), F.lit(".inp")).alias("member"), F.array_join(F.transform("x", lambda r: r["line"]), "\r\n").cast("binary").alias("content"), "mtime")
     numbers = inp.select("number").distinct()
-    info = lambda of, name, text: numbers.where(of).select("number", F.lit(-1).cast("bigint").alias("at"), F.lit(name).alias("name"), text.cast("binary").alias("data"), F.lit(None).cast("timestamp").alias("mtime"))
+    info = lambda of, name, text: numbers.where(of).select("number", F.lit(name).alias("member"), text.cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("mtime"))
     collection = info(F.col("number") % 2 == 0, "collection.info", F.concat(F.lit("Collection "), text_of(F.col("number")), F.lit("\nsecond line")))
     layout = info(F.col("number") % 3 == 0, "structure.info", F.lit("AUTHOR;GENRE;TITLE"))
-    return packed_files(inp.unionByName(collection).unionByName(layout), F.concat(F.lit("mem:/in/lib-"), text_of(F.col("number")), F.lit(".inpx")))
+    return inp.unionByName(collection).unionByName(layout).withColumn("archive", F.concat(F.lit("lib-"), text_of(F.col("number")), F.lit(".inpx")))
 
 
-def book_files(c: Catalog) -> DataFrame:
-    """Book archives: members under the full name in capitals, the plain name, the full name in a folder, or a name that no book has."""
+def book_rows(c: Catalog) -> DataFrame:
+    """(archive, member, content) of book archives: members under the full name in capitals, the plain name, the full name in a folder, or a name that no book has."""
     full = F.concat_ws(".", "file_name", "full_format")
     kind = F.col("book_id") % 4
     name = F.when(kind == 0, F.upper(full)).when(kind == 1, F.col("file_name")).when(kind == 2, F.concat(F.lit("dir/"), full)).otherwise(F.concat(F.lit("x"), text_of(F.col("book_id"))))
-    each = wide(c).select(div("book_id", BLOCK).alias("number"), F.col("book_id").alias("at"), name.alias("name"), F.col("title").cast("binary").alias("data"), F.col("added_at").cast("timestamp").alias("mtime"))
-    return packed_files(each, F.concat(F.lit("mem:/books/bk-"), text_of(F.col("number")), F.lit(".zip")))
+    return wide(c).select(F.concat(F.lit("bk-"), text_of(div("book_id", BLOCK)), F.lit(".zip")).alias("archive"), name.alias("member"), F.col("title").cast("binary").alias("content"))
+
+
+def stored(c: Catalog, rows: DataFrame) -> str:
+    """The folder that holds the rows' archives as zip files."""
+    at = _scratch(c)
+    write_archives(rows, at)
+    return at
 
 
 def base_name(column: str) -> Column:
@@ -100,41 +100,43 @@ HELD_SQL = f""", named as (select *, {FULL_FORMAT} as full_format from wide), he
 
 @query("read_inpx", INDEX_SQL + " select source, member, line_no, line from indexed")
 def read_inpx(c: Catalog) -> DataFrame:
-    return Z.index_lines(index_files(c)).select(base_name("source").alias("source"), "member", "line_no", "line")
+    return Z.read_inpx(c.spark, stored(c, index_rows(c))).select(base_name("source").alias("source"), "member", "line_no", "line")
 
 
 @query("read_layout", INDEX_SQL + f" select source, case when k % 3 = 0 then 'author;genre;title' else {q(I.DEFAULT_LAYOUT)} end as layout, case when k % 2 = 0 then 'Collection ' || k end as collection from (select distinct source, book_id // 100 as k from indexed)")
 def read_layout(c: Catalog) -> DataFrame:
-    return Z.index_layout(index_files(c)).select(base_name("source").alias("source"), "layout", "collection")
+    return Z.read_layout(c.spark, stored(c, index_rows(c))).select(base_name("source").alias("source"), "layout", "collection")
 
 
 @query("latest_source", INDEX_SQL + ", dated as (select source, max(added_at) as mtime from indexed join books using (book_id) group by source) select source, mtime from dated where mtime is not null order by mtime desc, source desc limit 1")
 def latest_source(c: Catalog) -> DataFrame:
-    return Z.newest_file(index_files(c)).select(base_name("source").alias("source"), "mtime")
+    return Z.newest_file(index_rows(c).select(F.col("archive").alias("path"), F.col("mtime").alias("modificationTime"))).select(base_name("source").alias("source"), "mtime")
 
 
 @query("archive_manifest", HELD_SQL + " select distinct archive as zip from held")
 def archive_manifest(c: Catalog) -> DataFrame:
-    return Z.archive_names(book_files(c))
+    return Z.archive_manifest(c.spark, stored(c, book_rows(c)))
 
 
 @query("read_archive_members", HELD_SQL + " select archive as zip, member, title as content from held")
 def read_archive_members(c: Catalog) -> DataFrame:
-    return Z.archive_members(book_files(c)).withColumn("content", F.col("content").cast("string"))
+    return Z.read_archive_members(c.spark, stored(c, book_rows(c))).withColumn("content", F.col("content").cast("string"))
 
 
 @query("book_members", HELD_SQL + " select book_id, member, title as content from held where book_id % 4 <> 3")
 def book_members(c: Catalog) -> DataFrame:
     asked = wide(c).withColumn("zip", F.concat(F.lit("bk-"), text_of(div("book_id", BLOCK)), F.lit(".zip")))
-    return Z.book_members(asked, Z.archive_members(book_files(c))).withColumn("content", F.col("content").cast("string"))
+    return Z.book_members(asked, Z.read_archive_members(c.spark, stored(c, book_rows(c)))).withColumn("content", F.col("content").cast("string"))
 
 
 @query("broken_archives", HELD_SQL + " select distinct archive as source, true as told from held where book_id // 20 % 2 = 1")
 def broken_archives(c: Catalog) -> DataFrame:
     """Every second archive has lost its end."""
-    broken = F.regexp_extract("path", "([0-9]+)\\.zip$", 1).cast("long") % 2 == 1
-    files = book_files(c).withColumn("content", F.when(broken, F.substring("content", 1, 20)).otherwise(F.col("content")))
-    return Z.broken_archives(files).select(base_name("source").alias("source"), (F.col("error") != "").alias("told"))
+    held = book_rows(c).groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("member", "content"))).alias("held"))
+    whole = held.select("archive", zipped(F.transform("held", lambda m: m["member"]), F.transform("held", lambda m: m["content"])).alias("content"))
+    lost = F.regexp_extract("archive", "([0-9]+)\\.zip$", 1).cast("long") % 2 == 1
+    files = whole.select(F.col("archive").alias("path"), F.when(lost, F.substring("content", 1, 20)).otherwise(F.col("content")).alias("content"))
+    return Z.broken(Z.members(files)).select("source", (F.col("error") != "").alias("told"))
 
 
 @query("write_catalog", "select book_id, title, file_name, zip, coalesce(links, 0) as links from books left join (select book_id, count(*) as links from book_authors group by book_id) using (book_id)")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +15,7 @@ from foliospark.operators import shelves as H
 from foliospark.operators.ids import assign_ids
 from foliospark.plans.views import VIEWS, Catalog
 from foliospark.sources import metadata as M
+from foliospark.storage import new_folder
 from foliospark.streaming import ingest as T
 
 #: name -> (function of Catalog, SQL or None)
@@ -525,13 +522,7 @@ def fb2_covers(c: Catalog) -> DataFrame:
 
 # 2.11 streams over files that exist when they start; each ends when it has read them
 def _scratch(c: Catalog) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir; a temporary one in local mode alone."""
-    root = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^]]*\])?", c.spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="foliospark-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return new_folder(c.spark, "streams")
 
 
 @query("stream_ingest", LINES_SQL + " select distinct title, file_name, zip, array_to_string(authors, ';') as authors from records")

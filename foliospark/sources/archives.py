@@ -1,12 +1,9 @@
-"""Index archives, book archives and their members.
-
-One archive is one file and so one task's work; what comes out of it is dealt out again. The zip expander is the only Python that runs on rows here.
-"""
+"""Index archives, book archives and their members, read by `zips`."""
 
 from __future__ import annotations
 
 import io
-import zipfile
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,81 +11,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators.ingest import DEFAULT_LAYOUT
-
-#: Bytes of members that one batch of the expander may hold before it is handed on.
-BATCH_BYTES = 16 << 20
+from foliospark.sources import zips
 
 
 def archive_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+
+def read_members(spark: SparkSession, path: str, pattern: str = "*.zip", keep: str = ".*") -> DataFrame:
+    """(source, member, size, content, error); keep: a regular expression on the lower-cased member name."""
+    return zips.register(spark).read.format("zip_members").option("pattern", pattern).option("members", keep).load(path)
 
 
 def members(files: DataFrame, keep: str = ".*") -> DataFrame:
-    """(source, member, content) of zip files (path, content); keep: a regular expression on the lower-cased member name. A broken archive gives no rows here and one of `broken_archives`."""
+    """The rows of read_members for archives that a table holds whole (path, content): those of stores that only Spark reads, or inside other files."""
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["source", "member", "size", "content", "error"]).astype({"size": "Int64"})
 
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = re.compile(keep)
         for b in batches:
             rows, held = [], 0
             for path, content in zip(b["path"], b["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for info in archive.infolist():
-                    if info.is_dir() or not wanted.fullmatch(info.filename.lower()):
-                        continue
-                    rows.append((path, info.filename, archive.read(info)))
-                    held += info.file_size
-                    if held > BATCH_BYTES:
-                        yield pd.DataFrame(rows, columns=["source", "member", "content"])
+                for row in zips.member_rows(io.BytesIO(content), path, 0, None, wanted):
+                    if rows and held + len(row[3] or b"") > zips.BATCH_BYTES:
+                        yield frame(rows)
                         rows, held = [], 0
+                    rows.append(row)
+                    held += len(row[3] or b"")
             if rows:
-                yield pd.DataFrame(rows, columns=["source", "member", "content"])
-
-    return files.select("path", "content").mapInPandas(expand, "source string, member string, content binary")
-
+                yield frame(rows)
 
-def broken_archives(files: DataFrame) -> DataFrame:
-    """(source, error) of zip files (path, content) that cannot be opened: those that `members` gives no rows of."""
+    return files.select("path", "content").mapInPandas(expand, zips.MEMBER_ROW)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    zipfile.ZipFile(io.BytesIO(content)).close()
-                except zipfile.BadZipFile as e:
-                    rows.append((path, str(e)))
-            yield pd.DataFrame(rows, columns=["source", "error"])
 
-    return files.select("path", "content").mapInPandas(check, "source string, error string")
+def broken(rows: DataFrame) -> DataFrame:
+    """(source, member, error) of what could not be read; member is null where it is the archive itself. rows: of read_members, members or read_index."""
+    return rows.where(F.col("error").isNotNull()).select("source", "member", "error")
 
 
-def index_lines(files: DataFrame) -> DataFrame:
-    """(source, member, line_no, line): the lines of all `.inp` members of index archives (path, content), dealt out anew after expanding."""
-    inp = members(files, r".*\.inp")
-    text = F.decode("content", "utf-8")
-    lines = inp.select("source", "member", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
-    return lines.where(F.regexp_replace("line", "[\r\n]+$", "") != "").repartition("source", "member", "line_no")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(source, member, line_no, line, error): what all `.inp` members of index archives hold, lines numbered from 0 as they are read."""
+    return zips.register(spark).read.format("zip_lines").option("pattern", "*.inpx").option("members", r".*\.inp").load(path)
 
 
 def read_inpx(spark: SparkSession, path: str) -> DataFrame:
-    return index_lines(archive_files(spark, path, "*.inpx"))
+    """(source, member, line_no, line) of all lines that could be read, dealt out anew; `broken(read_index(..))` has the others' errors."""
+    return read_index(spark, path).where(F.col("error").isNull()).drop("error").repartition("source", "member", "line_no")
 
 
-def index_layout(files: DataFrame) -> DataFrame:
-    """(source, layout, collection) of each index (path, content): structure.info in lower case or the default layout; the first line of collection.info."""
-    infos = members(files, r"(.*/)?(structure|collection)\.info").withColumn("text", F.trim(F.decode("content", "utf-8")))
-    of = lambda name: F.max(F.when(F.endswith(F.lower("member"), F.lit(name)), F.col("text")))
-    read = infos.groupBy("source").agg(F.lower(of("structure.info")).alias("layout"), F.split_part(of("collection.info"), F.lit("\n"), F.lit(1)).alias("collection"))
+def index_layout(infos: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, layout, collection) of each index (path): structure.info in lower case or the default layout; the first line of collection.info. infos: members."""
+    texts = infos.where(F.col("content").isNotNull()).withColumn("text", F.trim(F.decode("content", "utf-8")))
+    of = lambda name: F.max(F.when(F.endswith(F.lower("member"), F.lit(name)), F.nullif(F.col("text"), F.lit(""))))
+    read = texts.groupBy("source").agg(F.lower(of("structure.info")).alias("layout"), F.split_part(of("collection.info"), F.lit("\n"), F.lit(1)).alias("collection"))
     return files.select(F.col("path").alias("source")).join(read, "source", "left").withColumn("layout", F.coalesce("layout", F.lit(DEFAULT_LAYOUT)))
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    return index_layout(archive_files(spark, path, "*.inpx"))
+    return index_layout(read_members(spark, path, "*.inpx", r"(.*/)?(structure|collection)\.info"), archive_files(spark, path, "*.inpx"))
 
 
 def newest_file(files: DataFrame) -> DataFrame:
@@ -109,13 +91,13 @@ def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
     return archive_names(archive_files(spark, path, "*.zip"))
 
 
-def archive_members(files: DataFrame) -> DataFrame:
-    """(zip, member, content) of book archives (path, content)."""
-    return members(files).select(F.regexp_extract("source", "[^/]*$", 0).alias("zip"), "member", "content")
+def archive_members(rows: DataFrame) -> DataFrame:
+    """(zip, member, content) of the members that could be read."""
+    return rows.where(F.col("error").isNull()).select(F.regexp_extract("source", "[^/]*$", 0).alias("zip"), "member", "content")
 
 
 def read_archive_members(spark: SparkSession, path: str) -> DataFrame:
-    return archive_members(archive_files(spark, path, "*.zip"))
+    return archive_members(read_members(spark, path))
 
 
 def book_members(books: DataFrame, held: DataFrame) -> DataFrame:
