@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
 from foliospark.operators.books import active_books, newest_first
+from foliospark.operators.ranks import range_neighbours, range_ranked
 from foliospark.operators.search import ESCAPE, book_tokens, match_queries
 
 # Lengths of lists.
@@ -67,8 +68,7 @@ def series_facets(books: DataFrame) -> DataFrame:
 
 def rank_series_facets(books: DataFrame, query: str) -> DataFrame:
     facets = series_facets(books.where(F.col("series").isNotNull()))
-    order = Window.orderBy(X.title_priority("series", F.lit(query)), F.lower("series"), F.col("series"))
-    return facets.withColumn("rank", F.row_number().over(order))
+    return range_ranked(facets, [X.title_priority("series", F.lit(query)), F.lower("series"), F.col("series")])
 
 
 def author_series_tree_counts(books: DataFrame) -> DataFrame:
@@ -87,8 +87,10 @@ def series_order(books: DataFrame, search_rank: str = "book_id") -> DataFrame:
     return rows.withColumns({"place": F.row_number().over(group), "author_first": F.min(search_rank).over(Window.partitionBy("author_key"))})
 
 
-def neighbours(books: DataFrame, order: list[str], by: list[str]) -> DataFrame:
-    """previous and next book_id in the order within `by`, wrapping at both ends."""
+def neighbours(books: DataFrame, order: list[str], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """previous and next book_id in the order within `by`, or over all books, wrapping at both ends. The order must tell books apart."""
+    if not by:
+        return range_neighbours(books, [F.col(c) for c in order], "book_id", "previous_id", "next_id")
     w = Window.partitionBy(*by).orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return books.withColumns({"previous_id": F.coalesce(F.lag("book_id").over(w), F.last("book_id").over(whole)), "next_id": F.coalesce(F.lead("book_id").over(w), F.first("book_id").over(whole))})

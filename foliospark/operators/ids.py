@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: First code points of a name that its group is told by.
-GROUP_CHARS = 3
+from foliospark.operators.ranks import range_ranked
 
 
 def assign_ids(names: DataFrame, known: DataFrame | None, key: str, id_col: str) -> DataFrame:
-    """(id_col, key): the known ids, and for each new distinct name the next id in order of name.
-
-    Names are ranked within groups of a common beginning, in parallel; the groups' offsets are a running sum over one row per group.
-    """
+    """(id_col, key): the known ids, and for each new distinct name the next id in order of name. Names are ranked by ranges, whatever they begin with."""
     new = names.where(F.col(key).isNotNull()).select(key).distinct()
     if known is not None:
         new = new.join(known.select(key), key, "left_anti")
-    grouped = new.withColumn("grp", F.substring(key, 1, GROUP_CHARS))
-    sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("grp")) - F.col("n")
-    offsets = sizes.select("grp", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("grp").orderBy(key))
-    ids = grouped.withColumn("rank", rank).join(offsets, "grp")
-    out = ids.select((F.col("rank") + F.col("before")).cast("long").alias(id_col), key)
+    out = range_ranked(new, [F.col(key)], id_col).select(F.col(id_col).cast("long").alias(id_col), key)
     if known is None:
         return out
     top = known.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))

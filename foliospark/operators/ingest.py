@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
-from foliospark.operators.ids import assign_ids
+from foliospark.operators.ranks import range_ranked
 
 # Fixed value: the default record layout.
 DEFAULT_LAYOUT = "author;genre;title;series;serno;file;size;libid;del;ext;date;insno;folder;lang;librate;keywords"
@@ -62,11 +62,9 @@ BOOK_COLUMNS = ["book_id", "title", "series", "series_no", "file_name", "zip", "
 
 def added_books(records: DataFrame, books: DataFrame, added_at) -> DataFrame:
     """The books that the records add to a catalog: ids follow the largest one in order of the key."""
-    fresh = new_books(first_record(records), books)
-    keyed = fresh.withColumn("natural_key", F.concat_ws("\x04", *KEY))
-    ids = assign_ids(keyed, None, "natural_key", "new_id")
+    ranked = range_ranked(new_books(first_record(records), books), [F.concat_ws("\x04", *KEY)], "new_id")
     top = books.agg(F.coalesce(F.max("book_id"), F.lit(0)).alias("top"))
-    made = keyed.join(ids, "natural_key").crossJoin(F.broadcast(top))
+    made = ranked.crossJoin(F.broadcast(top))
     return made.withColumns({"book_id": F.col("top") + F.col("new_id"), "added_at": F.lit(added_at).cast("timestamp")}).select(*BOOK_COLUMNS)
 
 

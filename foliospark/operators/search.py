@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
 from foliospark.operators.books import active_books, books_of, filter_genre, filter_language, newest_first
+from foliospark.operators.ranks import range_ranked
 
 # Caps of hits, and the least hits below which the token fallback is added.
 MOST_AUTHORS, MOST_SERIES, MOST_GENRES, MOST_TITLES = 500, 500, 100, 1000
@@ -131,33 +132,36 @@ def find_titles(wide: DataFrame, query: str) -> DataFrame:
     query = query.strip()
     active = active_books(wide)
     if not query:
-        return rank_by_title(active.limit(0), query)
+        return rank_by_title(active.limit(0), query, bounded=True)
     hits = active.withColumn("tier", match_tier(F.col("title"), [F.lit(query)])).where("tier is not null")
     primary = hits.orderBy("tier", "title", "book_id").limit(MOST_TITLES).drop("tier")
     fallback = active.where(prefixes_match("title", F.lit(query))).orderBy(*newest_first()).limit(MOST_TITLES)
     if not _tokens_of(query):
         fallback = fallback.limit(0)
-    return rank_by_title(append_missing(primary, fallback, "book_id", LEAST_TITLES).drop("part"), query)
+    return rank_by_title(append_missing(primary, fallback, "book_id", LEAST_TITLES).drop("part"), query, bounded=True)
 
 
-def _ranked(books: DataFrame, order: list[Column], by: list[str]) -> DataFrame:
-    return books.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def ranked(books: DataFrame, order: list[Column], by: tuple[str, ...] | list[str] = (), bounded: bool = False) -> DataFrame:
+    """rank within `by`. Without it all rows are in one order: by ranges, or in one window where the rows are a page or have a cap (bounded)."""
+    if by or bounded:
+        return books.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return range_ranked(books, order)
 
 
-def rank_by_title(books: DataFrame, query, by: tuple[str, ...] = ()) -> DataFrame:
+def rank_by_title(books: DataFrame, query, by: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
     """rank within `by` (one query where empty): title priority, title key, id. Keys are computed once per row."""
     q = F.lit(query) if isinstance(query, str) else query
-    return _ranked(books, [X.title_priority("title", q), X.title_key("language", "title"), F.col("book_id")], list(by))
+    return ranked(books, [X.title_priority("title", q), X.title_key("language", "title"), F.col("book_id")], by, bounded)
 
 
-def rank_by_author(books: DataFrame, query, by: tuple[str, ...] = ()) -> DataFrame:
+def rank_by_author(books: DataFrame, query, by: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
     q = F.lit(query) if isinstance(query, str) else query
-    return _ranked(books, [X.author_priority("authors", q), F.size("authors"), X.title_key("language", "title"), F.col("book_id")], list(by))
+    return ranked(books, [X.author_priority("authors", q), F.size("authors"), X.title_key("language", "title"), F.col("book_id")], by, bounded)
 
 
-def rank_by_title_author(books: DataFrame, title_query, author_query, by: tuple[str, ...] = ()) -> DataFrame:
+def rank_by_title_author(books: DataFrame, title_query, author_query, by: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
     t, a = (F.lit(x) if isinstance(x, str) else x for x in (title_query, author_query))
-    return _ranked(books, [X.title_priority("title", t), X.author_priority("authors", a), X.title_key("language", "title"), F.col("book_id")], list(by))
+    return ranked(books, [X.title_priority("title", t), X.author_priority("authors", a), X.title_key("language", "title"), F.col("book_id")], by, bounded)
 
 
 def page(books: DataFrame, order: list[Column], number: int, per_page: int) -> DataFrame:
@@ -167,7 +171,7 @@ def page(books: DataFrame, order: list[Column], number: int, per_page: int) -> D
 def page_of_each(books: DataFrame, by: list[str], order: list[Column], number: int, per_page: int) -> DataFrame:
     """One page of every query of a table of hits; `by` names the query. Rows past the page fall within the sort of a partition."""
     first = (number - 1) * per_page
-    return _ranked(books, order, by).where((F.col("rank") > first) & (F.col("rank") <= first + per_page))
+    return ranked(books, order, by).where((F.col("rank") > first) & (F.col("rank") <= first + per_page))
 
 
 def page_order(title: str = "", author: str = "", series: str = "", genre: str = "") -> list[Column]:
@@ -196,13 +200,13 @@ def advanced_search(wide: DataFrame, book_genres: DataFrame, genres: DataFrame,
     order = page_order(title, author, filters.get("series", ""), filters.get("genre", ""))
     rows = page(hits, order, number, per_page)
     if title and author:
-        rows = rank_by_title_author(rows, title, author)
+        rows = rank_by_title_author(rows, title, author, bounded=True)
     elif title:
-        rows = rank_by_title(rows, title)
+        rows = rank_by_title(rows, title, bounded=True)
     elif author:
-        rows = rank_by_author(rows, author)
+        rows = rank_by_author(rows, author, bounded=True)
     else:
-        rows = _ranked(rows, order, [])
+        rows = ranked(rows, order, bounded=True)
     return rows.crossJoin(F.broadcast(total))
 
 
@@ -225,6 +229,6 @@ def search_by_type(kind: str, query: str, wide: DataFrame, authors: DataFrame, s
         return rank_by_author(hits, query)
     if kind == "series":
         hits = active_books(wide).join(find_series(series, wide, query).select("series_id"), "series_id", "left_semi")
-        return _ranked(hits, [F.col("series_no"), F.col("title"), F.col("book_id")], [])
+        return ranked(hits, [F.col("series_no"), F.col("title"), F.col("book_id")])
     hits = books_of(wide, book_genres, find_genres(genres, query), "genre_id").orderBy("title", "book_id").limit(MOST_TITLES)
-    return _ranked(hits, [F.col("title"), F.col("book_id")], [])
+    return ranked(hits, [F.col("title"), F.col("book_id")], bounded=True)

@@ -15,7 +15,7 @@ from foliospark.operators import shelves as H
 from foliospark.operators.ids import assign_ids
 from foliospark.plans.views import VIEWS, Catalog
 from foliospark.sources import metadata as M
-from foliospark.storage import new_folder
+from foliospark.storage import new_folder, written
 from foliospark.streaming import ingest as T
 
 #: name -> (function of Catalog, SQL or None)
@@ -145,7 +145,8 @@ def valid_records(c: Catalog) -> DataFrame:
   select book_id, title, file_name, zip from stored union all select n + (select max(book_id) from stored), title, file_name, zip from ids""")
 def merge_records(c: Catalog) -> DataFrame:
     stored = B.active_books(wide(c)).where("book_id % 3 = 0")
-    twice = records(c).unionByName(records(c).withColumn("member", F.lit("b.inp")).withColumn("file_size", F.lit(0).cast("bigint")))
+    found = written(records(c))
+    twice = found.unionByName(found.withColumn("member", F.lit("b.inp")).withColumn("file_size", F.lit(0).cast("bigint")))
     return I.merge_records(twice, stored, "2024-01-01 00:00:00").select("book_id", "title", "file_name", "zip")
 
 
@@ -311,7 +312,7 @@ for _kind, _bridge, _id in (("authors", "book_authors", "author_id"), ("genres",
 @query("books_of_series", "select book_id, row_number() over (order by series_no, title, book_id) as place from books where del = 0 and series_id in (1, 3)")
 def books_of_series(c: Catalog) -> DataFrame:
     books = B.active_books(c.books()).where(F.col("series_id").isin(1, 3))
-    return S._ranked(books, [F.col("series_no"), F.col("title"), F.col("book_id")], []).select("book_id", F.col("rank").alias("place"))
+    return S.ranked(books, [F.col("series_no"), F.col("title"), F.col("book_id")]).select("book_id", F.col("rank").alias("place"))
 
 
 # 2.6 windows
@@ -343,6 +344,17 @@ def neighbours(c: Catalog) -> DataFrame:
     return R.neighbours(R.series_order(B.active_books(wide(c))), ["series_key", "place"], ["author_key"]).select("book_id", "previous_id", "next_id")
 
 
+@query("neighbours_of_all", ORDERED + ", w as (select book_id, lag(book_id) over x as p, lead(book_id) over x as n, first_value(book_id) over x as f, last_value(book_id) over (order by author_first, series_key, place rows between unbounded preceding and unbounded following) as l from placed window x as (order by author_first, series_key, place)) select book_id, coalesce(p, l) as previous_id, coalesce(n, f) as next_id from w")
+def neighbours_of_all(c: Catalog) -> DataFrame:
+    """The whole list: authors in order of their first book, their series, the books of each; it wraps at both ends."""
+    return R.neighbours(R.series_order(B.active_books(wide(c))), ["author_first", "series_key", "place"]).select("book_id", "previous_id", "next_id")
+
+
+@query("rank_of_all", f"select book_id, row_number() over (order by {title_priority('title', q('red ring'))}, {TITLE_KEY}, book_id) as rank from wide")
+def rank_of_all(c: Catalog) -> DataFrame:
+    return S.rank_by_title(wide(c), "red ring").select("book_id", "rank")
+
+
 # 2.5 and 2.7 browse
 @query("latest_books", "select book_id, title, added_at from books where del = 0 order by added_at desc nulls last, book_id limit 100")
 def latest_books(c: Catalog) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,16 @@ from foliospark.operators.ids import assign_ids
 
 
 class Catalog:
-    """Lazy views: each is built when asked for."""
+    """Lazy views: each is built when asked for; dimensions, whose ids are written, once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -23,7 +31,7 @@ class Catalog:
         return rows.select((F.col("s_suppkey") + 1).cast("long").alias("author_id"), F.concat_ws(" ", "n_name", "s_name").alias("name"))
 
     def series(self) -> DataFrame:
-        return assign_ids(self.table("part").select(F.col("p_brand").alias("name")), None, "name", "series_id")
+        return self.once("series", lambda: assign_ids(self.table("part").select(F.col("p_brand").alias("name")), None, "name", "series_id"))
 
     def _codes(self) -> DataFrame:
         part = self.table("part").select((F.col("p_partkey") + 1).cast("long").alias("book_id"), "p_type", "p_size")
@@ -31,7 +39,7 @@ class Catalog:
         return part.select("book_id", F.explode(F.array_distinct(codes)).alias("code"))
 
     def genres(self) -> DataFrame:
-        return assign_ids(self._codes().select("code"), None, "code", "genre_id")
+        return self.once("genres", lambda: assign_ids(self._codes().select("code"), None, "code", "genre_id"))
 
     def book_genres(self) -> DataFrame:
         return self._codes().join(self.genres(), "code").select("book_id", "genre_id")
