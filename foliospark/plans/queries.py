@@ -11,6 +11,7 @@ from foliospark.operators import browse as R
 from foliospark.operators import feeds as D
 from foliospark.operators import ingest as I
 from foliospark.operators import search as S
+from foliospark.operators import search_many as SM
 from foliospark.operators import shelves as H
 from foliospark.operators.ids import assign_ids
 from foliospark.plans.views import VIEWS, Catalog
@@ -246,6 +247,50 @@ def find_genres(c: Catalog) -> DataFrame:
     return S.find_genres(c.genres(), "size_1").select("genre_id", "code", "tier")
 
 
+# tables of queries
+MANY_AUTHORS = "case author_id % 4 when 0 then substring(name, 3, 9) when 1 then lower(name) when 2 then split_part(name, ' ', 2) || ' ' || substring(name, 1, 4) else right(name, 1) end"
+
+
+def many_tiers_sql(dim: str, id_col: str, column: str, exact: str, most: int) -> str:
+    return f"""hits as (select query_id, {id_col}, {column}, case when {exact} then 1 when lower({column}) like lower(text) || '%' then 2 when lower({column}) like '%' || lower(text) || '%' then 3 end as tier
+      from queries cross join {dim} where lower({column}) like '%' || lower(text) || '%' qualify row_number() over (partition by query_id order by tier, {column}, {id_col}) <= {most})"""
+
+
+def met_sql(field: str) -> str:
+    return f"""wanted as (select query_id, unnest(list_distinct({toks('text')})) as prefix from queries), live as (select tok.* from tok join books using (book_id) where del = 0 and field = '{field}'),
+      counted as (select query_id, book_id, count(distinct prefix) as met from wanted join live on starts_with(token, prefix) group by 1, 2),
+      found as (select query_id, book_id from counted join (select query_id, count(*) as needed from wanted group by 1) using (query_id) where met = needed)"""
+
+
+@query("find_authors_of", f", queries as (select author_id as query_id, {MANY_AUTHORS} as text from authors), {many_tiers_sql('authors', 'author_id', 'name', 'name = text', 500)}, {met_sql('author')}, more as (select query_id, author_id, name, 4 as tier from (select distinct query_id, author_id from found join book_authors using (book_id)) join authors using (author_id) qualify row_number() over (partition by query_id order by name, author_id) <= 500) select query_id, author_id, name, tier from hits union all select query_id, author_id, name, tier from more where query_id not in (select query_id from hits group by 1 having count(*) >= 20) and (query_id, author_id) not in (select query_id, author_id from hits)")
+def find_authors_of(c: Catalog) -> DataFrame:
+    """A query of each author: a piece of the name, the name in lower case, its words turned round, its last letter."""
+    texts = c.authors().select(F.col("author_id").alias("query_id"), F.expr(MANY_AUTHORS).alias("text"))
+    return SM.find_authors_of(texts, c.authors(), S.book_tokens(B.active_books(wide(c))), c.book_authors()).select("query_id", "author_id", "name", "tier")
+
+
+@query("find_series_of", f", queries as (select series_id as query_id, case when series_id % 2 = 0 then right(name, 2) else split_part(name, '#', 2) || ' ' || substring(name, 1, 3) end as text from series), {many_tiers_sql('series', 'series_id', 'name', 'lower(name) = lower(text)', 500)}, {met_sql('series')}, more as (select query_id, series_id, name, 4 as tier from (select distinct query_id, series_id from found join books using (book_id) where series_id is not null) join series using (series_id)) select query_id, series_id, name, tier from hits union all select query_id, series_id, name, tier from more where query_id not in (select query_id from hits group by 1 having count(*) >= 10) and (query_id, series_id) not in (select query_id, series_id from hits)")
+def find_series_of(c: Catalog) -> DataFrame:
+    text = F.expr("case when series_id % 2 = 0 then right(name, 2) else concat(split_part(name, '#', 2), ' ', substring(name, 1, 3)) end")
+    return SM.find_series_of(c.series().select(F.col("series_id").alias("query_id"), text.alias("text")), c.series(), S.book_tokens(B.active_books(wide(c))), c.books()).select("query_id", "series_id", "name", "tier")
+
+
+@query("find_genres_of", f", queries as (select genre_id as query_id, substring(code, 2, 5) as text from genres), {many_tiers_sql('genres', 'genre_id', 'code', 'code = text', 100)} select query_id, genre_id, code, tier from hits")
+def find_genres_of(c: Catalog) -> DataFrame:
+    return SM.find_genres_of(c.genres().select(F.col("genre_id").alias("query_id"), F.substring("code", 2, 5).alias("text")), c.genres()).select("query_id", "genre_id", "code", "tier")
+
+
+_TITLES_ASKED = "select series_id * 2 as query_id, substring(name, 2) as text from series union all select genre_id * 2 + 1, 'rin ' || substring(code, 1, 3) from genres"
+
+
+@query("find_titles_of", f", queries as ({_TITLES_ASKED}), live_books as (select * from wide where del = 0), {many_tiers_sql('live_books', 'book_id', 'title', 'lower(title) = lower(text)', 1000)}, {met_sql('title')}, more as (select query_id, book_id from found join books using (book_id) qualify row_number() over (partition by query_id order by added_at desc nulls last, book_id) <= 1000), ids as (select query_id, book_id from hits union all select query_id, book_id from more where query_id not in (select query_id from hits)) select query_id, book_id, row_number() over (partition by query_id order by {title_priority('title', 'text')}, {TITLE_KEY}, book_id) as rank from ids join queries using (query_id) join live_books using (book_id)")
+def find_titles_of(c: Catalog) -> DataFrame:
+    series = c.series().select((F.col("series_id") * 2).alias("query_id"), F.expr("substring(name, 2)").alias("text"))
+    types = c.genres().select((F.col("genre_id") * 2 + 1).alias("query_id"), F.concat(F.lit("rin "), F.substring("code", 1, 3)).alias("text"))
+    w = written(wide(c))
+    return SM.find_titles_of(series.unionByName(types), w, S.book_tokens(B.active_books(w))).select("query_id", "book_id", "rank")
+
+
 FOUND_TITLES = f", hits as (select *, case when lower(title) = 'hot ring' then 1 when lower(title) like 'hot ring%' then 2 else 3 end as tier from wide where del = 0 and lower(title) like '%hot ring%' order by tier, title, book_id limit 1000), ranked as (select *, row_number() over (order by {title_priority('title', q('hot ring'))}, {TITLE_KEY}, book_id) as rank from hits)"
 
 
