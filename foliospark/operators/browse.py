@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as X
 from foliospark.operators.books import active_books, newest_first
 from foliospark.operators.ranks import range_neighbours, range_ranked
-from foliospark.operators.search import ESCAPE, book_tokens, match_queries
+from foliospark.operators.search import ESCAPE
 
 # Lengths of lists.
 LIST_NAMES, LIST_SERIES, SUGGESTIONS = 100, 1000, 5
@@ -53,14 +53,6 @@ def languages_with_all(books: DataFrame) -> DataFrame:
     return first.unionByName(listed)
 
 
-def list_counts(names: DataFrame, column: str, field: str, wide: DataFrame) -> DataFrame:
-    """(name, books): the token matches of every listed name, answered in one job."""
-    queries = names.select(F.col(column).alias("text"), F.lit(field).alias("field"), F.xxhash64(column).alias("query_id"))
-    hits = match_queries(queries, book_tokens(active_books(wide)).where(F.col("field") == field))
-    counts = hits.groupBy("query_id").agg(F.count("*").alias("books"))
-    return queries.join(counts, "query_id", "left").select(F.col("text").alias("name"), F.coalesce("books", F.lit(0)).alias("books"))
-
-
 def series_facets(books: DataFrame) -> DataFrame:
     """(series, books): the null series is the bucket of books without one."""
     return books.groupBy("series").agg(F.count("*").alias("books"))

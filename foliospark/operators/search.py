@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as X
 from foliospark.operators.books import active_books, books_of, filter_genre, filter_language, newest_first
 from foliospark.operators.ranks import range_ranked
+from foliospark.storage import written
 
 # Caps of hits, and the least hits below which the token fallback is added.
 MOST_AUTHORS, MOST_SERIES, MOST_GENRES, MOST_TITLES = 500, 500, 100, 1000
@@ -48,18 +49,24 @@ def prefixes_match(value, query) -> Column:
     return F.forall(X.tokens(query), lambda t: F.exists(own, lambda w: F.startswith(w, t)))
 
 
+def tokens_of_prefixes(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
+    """(field, prefix, token, ..): the tokens that begin with each asked (field, prefix), distinct; vocabulary: (field, token, ..). An equi-join on the tokens cut to the lengths in use."""
+    lengths = asked.select("field", F.length("prefix").alias("k")).distinct()
+    cut = vocabulary.join(lengths, "field").where(F.length("token") >= F.col("k")).withColumn("prefix", F.substr("token", F.lit(1), F.col("k"))).drop("k")
+    return cut.join(asked, ["field", "prefix"])
+
+
 def match_queries(queries: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, book_id) of a table (query_id, field, text): books where every token of the text begins some token of the field.
 
     The distinct vocabulary is cut to the lengths that query tokens of its field have and meets them in an equi-join. A query then goes on with the postings of
     its rarest token alone, and its other tokens are held against the books found there: no nested loop, and no row per book of a frequent token.
+    Tokens are written once, as they are read three times. For counts alone see `bitmaps`.
     """
+    tokens = written(tokens.select("book_id", "field", "token"))
     wanted = queries.select("query_id", "field", F.explode(F.array_distinct(X.tokens("text"))).alias("prefix"))
     asked = wanted.select("field", "prefix").distinct()
-    lengths = asked.select("field", F.length("prefix").alias("k")).distinct()
-    vocabulary = tokens.groupBy("field", "token").agg(F.count("*").alias("n"))
-    cut = vocabulary.join(lengths, "field").where(F.length("token") >= F.col("k")).select("field", "token", "n", F.substr("token", F.lit(1), F.col("k")).alias("prefix"))
-    hits = cut.join(asked, ["field", "prefix"])
+    hits = tokens_of_prefixes(tokens.groupBy("field", "token").agg(F.count("*").alias("n")), asked)
     sizes = hits.groupBy("field", "prefix").agg(F.sum("n").alias("postings"))
     planned = wanted.join(sizes, ["field", "prefix"], "left").groupBy("query_id", "field").agg(
         F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "prefix")).alias("first"), F.collect_set("prefix").alias("prefixes")
@@ -67,9 +74,10 @@ def match_queries(queries: DataFrame, tokens: DataFrame) -> DataFrame:
     starts = planned.where(F.col("first.postings") > 0).select("query_id", "field", "prefixes", F.col("first.prefix").alias("prefix"))
     near = starts.join(hits.select("field", "prefix", "token"), ["field", "prefix"]).join(tokens, ["field", "token"]).select("query_id", "field", "book_id", "prefixes").distinct()
     alone = near.where(F.size("prefixes") == 1).select("query_id", "book_id")
-    own = tokens.groupBy("book_id", "field").agg(F.collect_set("token").alias("own"))
+    more = near.where(F.size("prefixes") > 1)
+    own = tokens.join(more.select("book_id", "field").distinct(), ["book_id", "field"], "left_semi").groupBy("book_id", "field").agg(F.collect_set("token").alias("own"))
     met = F.forall("prefixes", lambda p: F.exists("own", lambda t: F.startswith(t, p)))
-    return alone.unionByName(near.where(F.size("prefixes") > 1).join(own, ["book_id", "field"]).where(met).select("query_id", "book_id"))
+    return alone.unionByName(more.join(own, ["book_id", "field"]).where(met).select("query_id", "book_id"))
 
 
 def append_missing(primary: DataFrame, fallback: DataFrame, id_col: str, least: int) -> DataFrame:
@@ -210,16 +218,6 @@ def advanced_search(wide: DataFrame, book_genres: DataFrame, genres: DataFrame,
     return rows.crossJoin(F.broadcast(total))
 
 
-def search_totals(tokens: DataFrame, books: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, field, total): distinct active books that a term meets as author, title and series; terms: (term)."""
-    fields = F.explode(F.array(*map(F.lit, ("title", "author", "series"))))
-    queries = terms.select("term", fields.alias("field")).withColumn("query_id", F.concat_ws("|", "field", "term"))
-    active = tokens.join(active_books(books).select("book_id"), "book_id", "left_semi")
-    hits = match_queries(queries.withColumn("text", F.col("term")), active)
-    counts = hits.groupBy("query_id").agg(F.countDistinct("book_id").alias("total"))
-    return queries.join(counts, "query_id", "left").select("term", "field", F.coalesce("total", F.lit(0)).alias("total"))
-
-
 def search_by_type(kind: str, query: str, wide: DataFrame, authors: DataFrame, series: DataFrame, genres: DataFrame, book_authors: DataFrame, book_genres: DataFrame) -> DataFrame:
     """Wide rows ranked by title or author, or in the order of the kind: series number and title, or title."""
     if kind == "title":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
+from foliospark.operators import bitmaps as BM
 from foliospark.operators import books as B
 from foliospark.operators import browse as R
 from foliospark.operators import feeds as D
@@ -330,10 +331,18 @@ def advanced_search_all_filters(c: Catalog) -> DataFrame:
     return out.select("book_id", "title", "rank", "total")
 
 
+@query("bitmap_matches", ", queries as (select series_id as query_id, 'series' as field, name as text from series union all select genre_id + 100, 'title', substring(code, 1, 4) || ' re' from genres), wanted as (select query_id, field, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'))) as prefix from queries), met as (select query_id, book_id, count(distinct prefix) as met from wanted join tok on tok.field = wanted.field and starts_with(token, prefix) group by 1, 2) select query_id, book_id from met join (select query_id, count(*) as needed from wanted group by 1) using (query_id) where met = needed")
+def bitmap_matches(c: Catalog) -> DataFrame:
+    """The books of a query of each series and genre, read off the bitmaps."""
+    series = c.series().select(F.col("series_id").alias("query_id"), F.lit("series").alias("field"), F.col("name").alias("text"))
+    types = c.genres().select((F.col("genre_id") + 100).alias("query_id"), F.lit("title").alias("field"), F.concat(F.substring("code", 1, 4), F.lit(" re")).alias("text"))
+    return BM.query_books(series.unionByName(types), written(BM.token_index(S.book_tokens(wide(c)))))
+
+
 @query("search_totals", ", terms as (select unnest(['ring', 'nation', 'brand', 'zzz']) as term), f as (select unnest(['title', 'author', 'series']) as field) select term, f.field, count(distinct b.book_id) as total from terms cross join f left join tok on tok.field = f.field and starts_with(token, term) left join books b on b.book_id = tok.book_id and del = 0 group by 1, 2")
 def search_totals(c: Catalog) -> DataFrame:
     terms = c.spark.createDataFrame([("ring",), ("nation",), ("brand",), ("zzz",)], "term string")
-    return S.search_totals(S.book_tokens(wide(c)), c.books(), terms)
+    return BM.search_totals(S.book_tokens(wide(c)), c.books(), terms)
 
 
 @query("authors_of_matching_books", f"select author_id, name from authors where author_id in (select author_id from book_authors where book_id in (select book_id from wide where del = 0 and {prefixes('author', 'nation_12')})) order by name limit 500")
@@ -408,17 +417,17 @@ def latest_books(c: Catalog) -> DataFrame:
 
 @query("author_list_counts", f", names as (select distinct name from authors where lower(name) like 'nation_1%' order by name limit 100), w as (select name, unnest(list_distinct({toks('name')})) as p from names), m as (select name, tok.book_id, count(distinct p) as met from w join tok on tok.field = 'author' and starts_with(token, p) join books b on b.book_id = tok.book_id and del = 0 group by 1, 2), k as (select name, count(*) as needed from w group by 1), h as (select name, count(*) as books from m join k using (name) where met = needed group by 1) select names.name, coalesce(books, 0) as books from names left join h using (name)")
 def author_list_counts(c: Catalog) -> DataFrame:
-    return R.list_counts(R.authors_with_prefix(c.authors(), "NATION_1"), "name", "author", wide(c))
+    return BM.list_counts(R.authors_with_prefix(c.authors(), "NATION_1"), "name", "author", wide(c))
 
 
 @query("title_list_counts", f", names as (select distinct title as name from books where del = 0 and lower(title) like 're%' order by 1 limit 100), w as (select name, unnest(list_distinct({toks('name')})) as p from names), m as (select name, tok.book_id, count(distinct p) as met from w join tok on tok.field = 'title' and starts_with(token, p) join books b on b.book_id = tok.book_id and del = 0 group by 1, 2), k as (select name, count(*) as needed from w group by 1), h as (select name, count(*) as books from m join k using (name) where met = needed group by 1) select names.name, coalesce(books, 0) as books from names left join h using (name)")
 def title_list_counts(c: Catalog) -> DataFrame:
-    return R.list_counts(R.titles_with_prefix(c.books(), "re"), "title", "title", wide(c))
+    return BM.list_counts(R.titles_with_prefix(c.books(), "re"), "title", "title", wide(c))
 
 
 @query("series_list_counts", f", names as (select distinct name from series order by name limit 1000), w as (select name, unnest(list_distinct({toks('name')})) as p from names), m as (select name, tok.book_id, count(distinct p) as met from w join tok on tok.field = 'series' and starts_with(token, p) join books b on b.book_id = tok.book_id and del = 0 group by 1, 2), k as (select name, count(*) as needed from w group by 1), h as (select name, count(*) as books from m join k using (name) where met = needed group by 1) select names.name, coalesce(books, 0) as books from names left join h using (name)")
 def series_list_counts(c: Catalog) -> DataFrame:
-    return R.list_counts(R.series_names(c.series()), "name", "series", wide(c))
+    return BM.list_counts(R.series_names(c.series()), "name", "series", wide(c))
 
 
 @query("series_facets", "select series, count(*) as books from wide where del = 0 group by series")
