@@ -24,6 +24,7 @@ from foliospark.plans.views import Catalog
 from foliospark.sources import archives as Z
 from foliospark.sources import metadata as M
 from foliospark.sources.zips import write_archives
+from foliospark.streaming import commits as C
 from foliospark.streaming import ingest as T
 
 BLOCK, INDEX = 20, 100
@@ -278,3 +279,29 @@ def stream_merge(c: Catalog) -> DataFrame:
 
     T.stream_ingest(T.stream_lines(c.spark, f"{at}/in", "*.txt", 4), arrive, f"{at}/checkpoint").awaitTermination()
     return c.spark.read.parquet(f"{at}/books").select("title", "file_name", "zip")
+
+
+@query("stream_merge_all", LINES_SQL + """, stored as (select * from wide where del = 0 and book_id % 3 = 0), each as (
+    select title, file_name, zip, authors, genre from stored union all select title, file_name, zip, authors, genre from records)
+  select distinct 'book' as kind, title, file_name, zip, '' as name from each union all select distinct 'author', title, file_name, zip, unnest(authors) from each
+  union all select distinct 'genre', title, file_name, zip, unnest(string_split(genre, ', ')) from each where genre <> ''""")
+def stream_merge_all(c: Catalog) -> DataFrame:
+    """Index files that arrive are merged into all tables of a catalog of a third of the books; a batch comes twice, and the catalog is compacted."""
+    at, manifest, when = _scratch(c), archives(c), "2024-01-01 00:00:00"
+    first = B.active_books(wide(c)).where("book_id % 3 = 0").withColumn("source", F.lit("first"))
+    C.commit(c.spark, f"{at}/catalog", -1, C.additions(first.withColumns({"member": F.lit(""), "line_no": F.col("book_id")}), C.read_catalog(c.spark, f"{at}/catalog"), when))
+    lines(c).select("line").repartition(4, F.xxhash64("line")).write.text(f"{at}/in")
+    merge = C.merge_all(f"{at}/catalog", when)
+
+    def arrive(batch: DataFrame, number: int) -> None:
+        found = I.resolve_archive(I.valid_records(I.parse_records(batch.withColumn("collection", F.lit(COLLECTION)))), manifest)
+        merge(found, number)
+        if number == 0:
+            merge(found, number)
+
+    T.stream_ingest(T.stream_lines(c.spark, f"{at}/in", "*.txt", 2), arrive, f"{at}/checkpoint").awaitTermination()
+    C.compact(c.spark, f"{at}/catalog")
+    t = C.read_catalog(c.spark, f"{at}/catalog")
+    keys = t["books"].select("book_id", "title", "file_name", "zip")
+    named = lambda kind, bridge, dim, id_col, name: t[bridge].join(t[dim], id_col).join(keys, "book_id").select(F.lit(kind).alias("kind"), *I.KEY, F.col(name).alias("name"))
+    return keys.select(F.lit("book").alias("kind"), *I.KEY, F.lit("").alias("name")).unionByName(named("author", "book_authors", "authors", "author_id", "name")).unionByName(named("genre", "book_genres", "genres", "genre_id", "code"))
