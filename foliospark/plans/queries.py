@@ -19,6 +19,7 @@ from foliospark.plans.views import VIEWS, Catalog
 from foliospark.sources import metadata as M
 from foliospark.storage import new_folder, written
 from foliospark.streaming import ingest as T
+from foliospark.streaming import shelves as HS
 
 #: name -> (function of Catalog, SQL or None)
 _ALL: dict = {}
@@ -623,14 +624,20 @@ def stream_dedup(c: Catalog) -> DataFrame:
 
 @query("stream_shelf", "select user_id, book_id from (select user_id, book_id, arg_max(action, (ts, event_id)) as action from shelf_events group by 1, 2) where action = 'add'")
 def stream_shelf(c: Catalog) -> DataFrame:
+    """Actions that arrive in four files are upserted batch by batch; the first batch comes twice."""
     at = _scratch(c)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.where("action = 'add'").select("user_id", "book_id").write.mode("overwrite").parquet(f"{at}/out")
-
-    state = T.stream_shelf(c.shelf_events(_streamed(c, "events")))
-    state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return c.spark.read.parquet(f"{at}/out")
+    c.shelf_events().repartition(4, "event_id").write.parquet(f"{at}/in")
+    upsert = HS.upsert_shelves(f"{at}/shelves", 8)
+
+    def arrive(batch: DataFrame, number: int) -> None:
+        upsert(batch, number)
+        if number == 0:
+            upsert(batch, number)
+
+    schema = c.spark.read.parquet(f"{at}/in").schema
+    actions = c.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    actions.writeStream.foreachBatch(arrive).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return HS.read_shelves(c.spark, f"{at}/shelves")
 
 
 from foliospark.plans import file_queries  # noqa: E402,F401  registers its queries; it needs the names above

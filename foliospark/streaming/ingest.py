@@ -1,4 +1,4 @@
-"""Streams of index files and of shelf actions."""
+"""Streams of index files."""
 
 from __future__ import annotations
 
@@ -38,11 +38,10 @@ def stream_ingest(lines: DataFrame, merge: Callable[[DataFrame, int], None], che
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_dedup(records: DataFrame) -> DataFrame:
-    """The first record of each natural key over the stream; the state is the set of keys."""
-    return records.dropDuplicates(KEY)
-
-
-def stream_shelf(events: DataFrame) -> DataFrame:
-    """Last action per (user, book), for the update output mode."""
-    return events.groupBy("user_id", "book_id").agg(F.max_by("action", F.struct("ts", "event_id")).alias("action"))
+def stream_dedup(records: DataFrame, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """The first record of each natural key. With an event time the state holds the keys of the last `delay` of it only, and a key that comes back later passes again;
+    without one it holds all keys, in whatever state store the session names. Once over the whole catalog with no state at all: `commits.merge_all`, which asks the stored books.
+    """
+    if event_time is None:
+        return records.dropDuplicates(KEY)
+    return records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(KEY)
