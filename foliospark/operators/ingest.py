@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
@@ -14,37 +14,64 @@ KEY = ["title", "file_name", "zip"]
 
 
 def parse_records(lines: DataFrame, layout: str = DEFAULT_LAYOUT) -> DataFrame:
-    """lines: (source, member, line_no, line) and, if known, collection. Fields are separated by \\x04 or |; bad integers are 0.
+    """lines: (source, member, line_no, line) and, if known, collection and layout. Fields are separated by \\x04 or |; bad integers are 0.
 
-    A line without a folder is in the archive that its collection's name gives.
+    A line without a folder is in the archive that its collection's name gives. A line's layout (of its source, as `read_layout` gives it) says which field stands where;
+    lines without one have the layout of the call. Of a field that a layout names twice the first place counts.
     """
-    places = {f.strip().lower(): i for i, f in reversed(list(enumerate(layout.split(";"))))}
+    own = F.coalesce(F.nullif(F.trim("layout"), F.lit("")), F.lit(layout)) if "layout" in lines.columns else F.lit(layout)
+    names = F.transform(F.split(own, ";"), lambda x: F.lower(X.trimmed(x)))
     parts = F.split(F.translate("line", "\x04", "|"), "\\|")
+    place = lambda name: F.array_position("names", name).cast("int") - 1
 
     def field(name: str) -> Column:
-        return X.trimmed(F.coalesce(F.get("parts", F.lit(places[name])), F.lit(""))) if name in places else F.lit("")
+        return X.trimmed(F.coalesce(F.get("parts", place(name)), F.lit("")))
 
     number = lambda name: F.coalesce(field(name).try_cast("bigint"), F.lit(0).cast("bigint"))
-    authors = X.parse_authors(field("author")) if "author" in places else F.array().cast("array<string>")
+    authors = F.when(place("author") >= 0, X.parse_authors(field("author"))).otherwise(F.array().cast("array<string>"))
     collection = F.coalesce(F.col("collection"), F.lit("")) if "collection" in lines.columns else F.lit("")
     base = F.regexp_replace(F.regexp_extract(F.regexp_replace(collection, "/+$", ""), "[^/]*$", 0), "\\.inp$", "")
-    return lines.withColumn("parts", parts).select(
+    return lines.withColumns({"parts": parts, "names": names}).select(
         "source", "member", "line_no", field("title").alias("title"), F.nullif(field("series"), F.lit("")).alias("series"), number("serno").alias("series_no"), field("file").alias("file_name"),
         F.coalesce(F.nullif(field("folder"), F.lit("")), F.concat(F.lower(base), F.lit(".zip"))).alias("folder"), F.lower(field("ext")).alias("format"), number("size").alias("file_size"),
         F.coalesce(F.nullif(field("lang"), F.lit("")), F.lit("unknown")).alias("language"), number("del").cast("int").alias("del"), authors.alias("authors"), X.split_genres(field("genre")).alias("genres"),
     )
 
 
-def resolve_archive(records: DataFrame, archives: DataFrame) -> DataFrame:
-    """records with zip: the archive of that exact name, else the smallest one equal but for case; others go. archives: (zip), one row per file."""
+def with_layouts(lines: DataFrame, layouts: DataFrame) -> DataFrame:
+    """lines with the layout and collection of their source; layouts: (source, layout, collection), one row per source."""
+    return lines.join(layouts.select("source", "layout", "collection"), "source", "left")
+
+
+def located(records: DataFrame, archives: DataFrame) -> DataFrame:
+    """records with zip: the archive of that exact name, else the smallest one equal but for case, else null. archives: (zip), one row per file."""
     exact = archives.select(F.col("zip").alias("folder"), F.col("zip").alias("exact")).distinct()
     loose = archives.groupBy(F.lower("zip").alias("folded")).agg(F.min("zip").alias("loose"))
     found = records.join(exact, "folder", "left").withColumn("folded", F.lower("folder")).join(loose, "folded", "left")
-    return found.withColumn("zip", F.coalesce("exact", "loose")).where(F.col("zip").isNotNull()).drop("exact", "loose", "folded", "folder")
+    return found.withColumn("zip", F.coalesce("exact", "loose")).drop("exact", "loose", "folded", "folder")
+
+
+def resolve_archive(records: DataFrame, archives: DataFrame) -> DataFrame:
+    """The located records whose archive is there."""
+    return located(records, archives).where(F.col("zip").isNotNull())
+
+
+def is_valid() -> Column:
+    return (F.col("del") != 1) & (F.col("title") != "") & (F.col("file_name") != "") & (F.size("authors") > 0)
 
 
 def valid_records(records: DataFrame) -> DataFrame:
-    return records.where((F.col("del") != 1) & (F.col("title") != "") & (F.col("file_name") != "") & (F.size("authors") > 0))
+    return records.where(is_valid())
+
+
+def checked_records(lines: DataFrame, archives: DataFrame) -> DataFrame:
+    """All parsed lines with zip and sent: whether they go into the catalog."""
+    return located(parse_records(lines), archives).withColumn("sent", is_valid() & F.col("zip").isNotNull())
+
+
+def observed_records(checked: DataFrame, counts: Observation) -> DataFrame:
+    """The records that go into the catalog; `counts` has parsed and sent once an action has run over them: no read of their own."""
+    return checked.observe(counts, F.count(F.lit(1)).alias("parsed"), F.count_if("sent").alias("sent")).where("sent").drop("sent")
 
 
 def first_record(records: DataFrame) -> DataFrame:
@@ -80,10 +107,9 @@ def attach_links(records: DataFrame, books: DataFrame, dim: DataFrame, bridge: D
     return bridge.select("book_id", id_col).unionByName(linked).distinct()
 
 
-def ingest_counts(lines: DataFrame, valid: DataFrame) -> DataFrame:
-    """(source, parsed, sent)."""
-    sent = valid.groupBy("source").agg(F.count("*").alias("sent"))
-    return lines.groupBy("source").agg(F.count("*").alias("parsed")).join(sent, "source", "left").select("source", "parsed", F.coalesce("sent", F.lit(0)).alias("sent"))
+def ingest_counts(checked: DataFrame) -> DataFrame:
+    """(source, parsed, sent) of checked records, in one pass."""
+    return checked.groupBy("source").agg(F.count("*").alias("parsed"), F.count_if("sent").alias("sent"))
 
 
 def pending_sources(files: DataFrame, log: DataFrame) -> DataFrame:

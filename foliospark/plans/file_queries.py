@@ -171,14 +171,31 @@ def feed_categories(c: Catalog) -> DataFrame:
     return D.feed_entries(wide(c), "http://library", True).select("book_id", "author", "language", "identifier", terms.alias("terms"))
 
 
-@query("export_feed", LINKS_SQL + ", counted as (select book_id, count(*) as links, min(href) as href from feed_links group by book_id) select 'urn:uuid:book-' || book_id as id, title, author, 'BookID:' || book_id as identifier, links, href from wide join counted using (book_id)")
+@query("export_feed", LINKS_SQL + """, placed as (select *, row_number() over (partition by zip order by title, book_id) - 1 as spot from addressed), paged as (select *, zip || '-' || (spot // 100 + 1) as feed from placed),
+  heads as (select feed, max(added_at) as newest from paged group by feed)
+  select feed, spot % 100 + 1 as place, 'Books of ' || feed as feed_title, 'urn:uuid:acquisition-feed-Books_of_' || feed || '-' || cast(epoch(newest) as bigint) as feed_id, strftime(newest, '%Y-%m-%dT%H:%M:%SZ') as feed_updated, 4 as feed_links,
+    'http://library/feeds/' || feed as own, 'urn:uuid:book-' || book_id as id, title, coalesce(strftime(added_at, '%Y-%m-%dT%H:%M:%SZ'), '0001-01-01T00:00:00Z') as updated, author, language, 'BookID:' || book_id as identifier, 'text' as text_type,
+    3 as links, download, mime, 'Скачать ' || title || ' (' || upper(full_format) || ')' as label, cover, genre as terms
+  from paged join heads using (feed)""")
 def export_feed(c: Catalog) -> DataFrame:
-    """The entries of a feed that is written as XML and read again."""
+    """Atom files of pages of each archive's books, read again as XML with their attributes."""
     at = _scratch(c)
-    D.export_feed(D.feed_entries(wide(c), "http://library"), at)
-    schema = "id string, title string, author string, identifier string, links array<struct<href:string>>"
-    read = c.spark.read.format("xml").option("rowTag", "entry").schema(schema).load(at)
-    return read.select("id", "title", F.coalesce("author", F.lit("")).alias("author"), "identifier", F.size("links").cast("long").alias("links"), F.array_min(F.transform("links", lambda x: x["href"])).alias("href"))
+    entries = D.feed_entries(wide(c), "http://library").join(c.books().select("book_id", "zip", "added_at"), "book_id")
+    paged = D.feed_pages(entries, ["zip"], [F.col("title"), F.col("book_id")], 100).withColumn("feed", F.concat_ws("-", "zip", F.col("page").cast("string")))
+    D.export_feed(D.atom_feeds(paged, "http://library", F.concat(F.lit("Books of "), F.col("feed")), F.concat(F.lit("http://library/feeds/"), F.col("feed")), F.col("added_at")), at)
+    link = "array<struct<_rel:string,_href:string,_type:string,_title:string>>"
+    entry = f"id string, title string, updated string, content struct<_type:string,_VALUE:string>, link {link}, author struct<name:string>, `dc:language` string, `dc:identifier` string, category array<struct<_term:string,_label:string>>"
+    schema = f"id string, title string, updated string, link {link}, entry array<struct<{entry}>>"
+    read = c.spark.read.format("xml").option("rowTag", "feed").option("ignoreNamespace", False).schema(schema).load(at)
+    own = F.filter("link", lambda x: x["_rel"] == "self")
+    each = read.select(F.col("title").alias("feed_title"), F.col("id").alias("feed_id"), F.col("updated").alias("feed_updated"), F.size("link").alias("feed_links"), F.get(own, 0)["_href"].alias("own"), F.posexplode("entry").alias("at", "e"))
+    acquire = F.get(F.filter("e.link", lambda x: x["_rel"] == D.ACQUISITION), 0)
+    image = F.get(F.filter("e.link", lambda x: x["_rel"] == D.IMAGE), 0)
+    return each.select(
+        F.regexp_extract("own", "[^/]*$", 0).alias("feed"), (F.col("at") + 1).alias("place"), "feed_title", "feed_id", "feed_updated", "feed_links", "own", "e.id", "e.title", "e.updated", F.coalesce("e.author.name", F.lit("")).alias("author"), F.col("e.dc:language").alias("language"),
+        F.col("e.dc:identifier").alias("identifier"), F.col("e.content._type").alias("text_type"), F.size("e.link").alias("links"), acquire["_href"].alias("download"), acquire["_type"].alias("mime"), acquire["_title"].alias("label"), image["_href"].alias("cover"),
+        F.array_join(F.transform("e.category", lambda x: x["_term"]), ", ").alias("terms"),
+    )
 
 
 @query("search_json", f", hits as (select * from wide where del = 0 and language = 'en' and {prefixes('title', TITLE)}), pg as (select * from hits order by title, book_id limit 50), ranked as (select *, row_number() over (order by {title_priority('title', q(TITLE))}, {TITLE_KEY}, book_id) as place from pg) select place, book_id, title, author, series, (select count(*) from hits) as total, 1 as page, 50 as per_page, (select 'Все языки' || coalesce(string_agg('|' || language, '' order by language), '') from (select distinct language from books where del = 0)) as languages from ranked")

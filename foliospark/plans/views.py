@@ -45,8 +45,7 @@ class Catalog:
         return self._codes().join(self.genres(), "code").select("book_id", "genre_id")
 
     def book_authors(self) -> DataFrame:
-        rows = self.table("lineitem").where("l_linenumber = 1")
-        return rows.select((F.col("l_partkey") + 1).cast("long").alias("book_id"), (F.col("l_suppkey") + 1).cast("long").alias("author_id")).distinct()
+        return self.table("lineitem").select((F.col("l_partkey") + 1).cast("long").alias("book_id"), (F.col("l_suppkey") + 1).cast("long").alias("author_id")).distinct()
 
     def books(self) -> DataFrame:
         added = self.table("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_shipdate").alias("added_at"))
@@ -82,7 +81,7 @@ VIEWS = """with authors as (
 ), book_genres as (
   select book_id, genre_id from book_genre_codes join genres using (code)
 ), book_authors as (
-  select distinct l_partkey + 1 as book_id, l_suppkey + 1 as author_id from lineitem where l_linenumber = 1
+  select distinct l_partkey + 1 as book_id, l_suppkey + 1 as author_id from lineitem
 ), books as (
   select p_partkey + 1 as book_id,
     p_name || case p_partkey % 4 when 1 then ' ' || cast(p_size as varchar) when 2 then ': ' || lower(p_type) when 3 then ' (' || p_brand || ')' else '' end as title,

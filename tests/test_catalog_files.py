@@ -1,10 +1,11 @@
 import base64
 import io
 import zipfile
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import feeds, ingest
+from foliospark.operators import feeds, ids, ingest
 from foliospark.operators.books import name_list
 from foliospark.sources import archives, metadata
 from foliospark.streaming import ingest as streams
@@ -48,7 +49,7 @@ def test_index_to_catalog(spark, tmp_path):
     once = ingest.merge_records(records, none, "2024-01-01 00:00:00").cache()
     again = ingest.merge_records(records, once, "2025-01-01 00:00:00")
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect())) and once.where("title = 'Title'").first().file_size == 10
-    dim = ingest.assign_ids(records.select(F.explode("authors").alias("name")), None, "name", "author_id")
+    dim = ids.assign_ids(records.select(F.explode("authors").alias("name")), None, "name", "author_id")
     bridge = ingest.attach_links(records, once, dim, spark.createDataFrame([], "book_id long, author_id long"), "authors", "author_id", "name")
     names = {r.book_id: r.names for r in name_list(bridge, dim, "author_id", "name", "names").collect()}
     assert names[once.where("title = 'Title'").first().book_id] == ["B C", "Doe Jane Q", "Roe Sam"]
@@ -94,5 +95,25 @@ def test_feed_as_xml(spark, tmp_path):
     r = e.first()
     assert (r.title, r.updated, r.links[0].href) == ("— A/b  c", "2024-01-02T03:04:05Z", "http://h/download/1/Ab%20c%20-%20X%20Y.fb2")
     assert r.links[1].href == "http://h/api/cover?file=f+1&format=fb2&zip=a.zip" and [c.term for c in r.categories] == ["g1", "g2"]
-    feeds.export_feed(e, str(tmp_path / "feed"))
-    assert spark.read.format("xml").option("rowTag", "entry").load(str(tmp_path / "feed")).count() == 1
+    more = book.withColumns({"book_id": F.lit(2).cast("long"), "title": F.lit("<&> \"q\""), "language": F.lit(""), "genre": F.lit(""), "author": F.lit(""), "added_at": F.lit(None).cast("timestamp")})
+    entries = feeds.feed_entries(book.unionByName(more), "http://h").withColumns({"feed": F.lit("k 1"), "place": F.col("book_id")})
+    feeds.export_feed(feeds.atom_feeds(entries, "http://h", F.lit("My list"), F.lit("http://h/list"), F.lit("2024-05-06 07:08:09")), str(tmp_path / "feed"))
+    (file,) = (p for p in (tmp_path / "feed").rglob("*.txt"))
+    root = ElementTree.fromstring(file.read_text("utf-8"))
+    a, dc = "{http://www.w3.org/2005/Atom}", "{http://purl.org/dc/terms/}"
+    assert root.tag == f"{a}feed" and file.parent.name == "feed=k 1"
+    assert [root.findtext(a + x) for x in ("id", "title", "updated")] == ["urn:uuid:acquisition-feed-My_list-1714979289", "My list", "2024-05-06T07:08:09Z"] and root.findtext(f"{a}author/{a}name") == "Web Books Server"
+    assert [(x.get("rel"), x.get("href")) for x in root.findall(f"{a}link")] == [("start", "http://h/opds/"), ("self", "http://h/list"), ("search", "http://h/opds/opensearch"), ("search", "http://h/opds/search?term={searchTerms}")]
+    one, two = root.findall(f"{a}entry")
+    assert (one.findtext(f"{a}id"), one.findtext(f"{a}title"), one.findtext(f"{a}updated"), one.findtext(f"{dc}language"), one.findtext(f"{dc}identifier")) == ("urn:uuid:book-1", "A/b  c", "2024-01-02T03:04:05Z", "en", "BookID:1")
+    assert one.find(f"{a}content").get("type") == "text" and one.find(f"{a}content").text.startswith("Автор: X Y")
+    assert [(x.get("term"), x.get("label")) for x in one.findall(f"{a}category")] == [("g1", "g1"), ("g2", "g2")]
+    assert [x.get("type") for x in one.findall(f"{a}link")] == ["application/fb2", "image/jpeg", "image/jpeg"] and one.find(f"{a}link").get("title") == "Скачать A/b  c (FB2)" and "title" not in one.findall(f"{a}link")[1].attrib
+    assert two.findtext(f"{a}title") == '<&> "q"' and two.findtext(f"{a}updated") == "0001-01-01T00:00:00Z" and two.find(f"{dc}language") is None and two.findall(f"{a}category") == [] and two.find(f"{a}author/{a}name") is not None
+
+
+def test_two_layouts_in_one_job(spark):
+    lines = spark.createDataFrame([("a", "m", 0, "A,B:|g:|T|||f"), ("b", "m", 0, "T2|f2|X:|arc.zip|T3"), ("c", "m", 0, "T4|f4")], "source string, member string, line_no long, line string")
+    layouts = spark.createDataFrame([("a", " ", "x/C1.inp"), ("b", "TITLE; file;author;Folder;title", None), ("c", "title;file", None)], "source string, layout string, collection string")
+    got = {r.source: (r.title, r.file_name, r.authors, r.folder, r.genres) for r in ingest.parse_records(ingest.with_layouts(lines, layouts)).collect()}
+    assert got == {"a": ("T", "f", ["A B"], "c1.zip", ["g"]), "b": ("T2", "f2", ["X"], "arc.zip", []), "c": ("T4", "f4", [], ".zip", [])}
