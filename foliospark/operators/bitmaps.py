@@ -21,10 +21,12 @@ FEW = 256
 
 def token_index(tokens: DataFrame, few: int = FEW) -> DataFrame:
     """(field, token, bucket, n, places, bitmap) of tokens (book_id, field, token), each distinct; either places or bitmap is null. A group has one bucket's books at most."""
-    spots = tokens.select("field", "token", F.bitmap_bucket_number("book_id").alias("bucket"), F.bitmap_bit_position("book_id").alias("place"))
-    held = spots.groupBy("field", "token", "bucket").agg(F.count("*").alias("n"), F.collect_list(F.col("place").cast("int")).alias("places"), F.bitmap_construct_agg("place").alias("bitmap"))
-    dense = F.col("n") > few
-    return held.withColumns({"places": F.when(~dense, F.col("places")), "bitmap": F.when(dense, F.col("bitmap"))})
+    keys = ["field", "token", "bucket"]
+    spots = tokens.select("field", "token", F.bitmap_bucket_number("book_id").alias("bucket"), F.bitmap_bit_position("book_id").cast("int").alias("place"))
+    held = spots.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_list("place").alias("places"))
+    sparse = held.where(F.col("n") <= few).withColumn("bitmap", F.lit(None).cast("binary"))
+    dense = held.where(F.col("n") > few).select(*keys, "n", F.explode("places").alias("place")).groupBy(*keys, "n").agg(F.bitmap_construct_agg(F.col("place").cast("long")).alias("bitmap"))
+    return sparse.unionByName(dense.withColumn("places", F.lit(None).cast("array<int>")))
 
 
 def prefix_bitmaps(asked: DataFrame, index: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
-from foliospark.operators.books import active_books, books_of, filter_genre, filter_language, newest_first
+from foliospark.operators.books import active_books, books_of, filter_genre, filter_language, name_list, newest_first, wide_books
 from foliospark.operators.ranks import range_ranked
 from foliospark.storage import written
 
@@ -190,23 +190,29 @@ def page_order(title: str = "", author: str = "", series: str = "", genre: str =
     return [F.col("title"), F.col("book_id")] if author or genre else newest_first()
 
 
-def advanced_filter(wide: DataFrame, book_genres: DataFrame, genres: DataFrame, title: str = "", author: str = "", series: str = "", language: str = "", genre: str = "") -> DataFrame:
-    """Active books that meet all filters; a filter without tokens filters nothing."""
-    out = filter_language(active_books(wide), language)
-    for field, text in (("title", title), ("author", author), ("series", series)):
-        if _tokens_of(text):
-            query = X.normalize_author(F.lit(text)) if field == "author" else F.lit(text)
-            out = out.where(prefixes_match(field, query))
-    return filter_genre(out, book_genres, genres, genre)
+def matching_books(books: DataFrame, series: DataFrame, authors: DataFrame, genres: DataFrame, book_authors: DataFrame, book_genres: DataFrame, title: str = "", author: str = "", series_text: str = "", language: str = "", genre: str = "") -> DataFrame:
+    """Active books that meet all filters; a filter without tokens filters nothing. Names are joined for the filters that ask for them only, authors last and for the books left by then."""
+    out = filter_genre(filter_language(active_books(books), language), book_genres, genres, genre)
+    if _tokens_of(title):
+        out = out.where(prefixes_match("title", F.lit(title)))
+    if _tokens_of(series_text):
+        named = series.select("series_id", F.col("name").alias("_series")).where(prefixes_match("_series", F.lit(series_text)))
+        out = out.join(named, "series_id", "left_semi")
+    if _tokens_of(author):
+        links = book_authors.join(out.select("book_id"), "book_id", "left_semi")
+        lists = name_list(links, authors, "author_id", "name", "_authors").where(prefixes_match(F.array_join("_authors", ", "), X.normalize_author(F.lit(author))))
+        out = out.join(lists.select("book_id"), "book_id", "left_semi")
+    return out
 
 
-def advanced_search(wide: DataFrame, book_genres: DataFrame, genres: DataFrame, number: int = 1, per_page: int = 5000, **filters: str) -> DataFrame:
-    """One page of the filtered books, ranked inside the page, with the total of all hits."""
-    hits = advanced_filter(wide, book_genres, genres, **filters)
-    total = hits.agg(F.count("*").alias("total"))
-    title, author = filters.get("title", ""), filters.get("author", "")
-    order = page_order(title, author, filters.get("series", ""), filters.get("genre", ""))
-    rows = page(hits, order, number, per_page)
+def advanced_search(books: DataFrame, series: DataFrame, authors: DataFrame, genres: DataFrame, book_authors: DataFrame, book_genres: DataFrame, number: int = 1, per_page: int = 5000, title: str = "", author: str = "", series_text: str = "", language: str = "", genre: str = "") -> DataFrame:
+    """One page of the filtered books as wide rows, ranked inside the page, with the total of all hits. The hits' sort keys are written once; wide rows are made for the page alone."""
+    found = matching_books(books, series, authors, genres, book_authors, book_genres, title, author, series_text, language, genre)
+    hits = written(found.select("book_id", "title", "series_no", "added_at"))
+    order = page_order(title, author, series_text, genre)
+    ids = F.broadcast(page(hits, order, number, per_page).select("book_id"))
+    own = lambda df: df.join(ids, "book_id", "left_semi")
+    rows = wide_books(own(books), series, authors, genres, own(book_authors), own(book_genres))
     if title and author:
         rows = rank_by_title_author(rows, title, author, bounded=True)
     elif title:
@@ -215,7 +221,7 @@ def advanced_search(wide: DataFrame, book_genres: DataFrame, genres: DataFrame,
         rows = rank_by_author(rows, author, bounded=True)
     else:
         rows = ranked(rows, order, bounded=True)
-    return rows.crossJoin(F.broadcast(total))
+    return rows.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total"))))
 
 
 def search_by_type(kind: str, query: str, wide: DataFrame, authors: DataFrame, series: DataFrame, genres: DataFrame, book_authors: DataFrame, book_genres: DataFrame) -> DataFrame:

@@ -46,7 +46,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def wide(c: Catalog) -> DataFrame:
-    return B.wide_books(c.books(), c.series(), c.authors(), c.genres(), c.book_authors(), c.book_genres())
+    return B.wide_books(*tables(c))
+
+
+def tables(c: Catalog) -> tuple[DataFrame, ...]:
+    return c.books(), c.series(), c.authors(), c.genres(), c.book_authors(), c.book_genres()
 
 
 def named(c: Catalog, rows) -> DataFrame:
@@ -348,12 +352,12 @@ def search_by_series(c: Catalog) -> DataFrame:
 
 @query("advanced_search", f", hits as (select * from wide where del = 0 and language = 'en' and {prefixes('title', 'ring')}), pg as (select * from hits order by title, book_id limit 50) select book_id, title, author, series, row_number() over (order by {title_priority('title', q('ring'))}, {TITLE_KEY}, book_id) as rank, (select count(*) from hits) as total from pg")
 def advanced_search(c: Catalog) -> DataFrame:
-    return S.advanced_search(wide(c), c.book_genres(), c.genres(), 1, 50, title=TITLE, language="en").select("book_id", "title", "author", "series", "rank", "total")
+    return S.advanced_search(*tables(c), 1, 50, title=TITLE, language="en").select("book_id", "title", "author", "series", "rank", "total")
 
 
 @query("advanced_search_all_filters", f", hits as (select * from wide where del = 0 and {prefixes('title', 're')} and {prefixes('author', 'Supplier NATION')} and {prefixes('series', 'brand')} and book_id in (select book_id from book_genres join genres using (genre_id) where code in ('size_1', 'size_2'))), pg as (select * from hits order by title, book_id limit 20 offset 20) select book_id, title, row_number() over (order by {title_priority('title', q('re'))}, {author_priority('Supplier, NATION').replace('supplier,', 'supplier,')}, {TITLE_KEY}, book_id) as rank, (select count(*) from hits) as total from pg")
 def advanced_search_all_filters(c: Catalog) -> DataFrame:
-    out = S.advanced_search(wide(c), c.book_genres(), c.genres(), 2, 20, title="re", author="Supplier, NATION", series="brand", genre=GENRE)
+    out = S.advanced_search(*tables(c), 2, 20, title="re", author="Supplier, NATION", series_text="brand", genre=GENRE)
     return out.select("book_id", "title", "rank", "total")
 
 
@@ -554,7 +558,7 @@ def feed_entries(c: Catalog) -> DataFrame:
 
 @query("export_search_json")
 def export_search_json(c: Catalog) -> DataFrame:
-    rows = S.advanced_search(wide(c), c.book_genres(), c.genres(), 1, 50, title=TITLE, language="en").select("book_id", "title", "author", "series", "rank", "total")
+    rows = S.advanced_search(*tables(c), 1, 50, title=TITLE, language="en").select("book_id", "title", "author", "series", "rank", "total")
     return D.search_json(rows, R.languages_with_all(c.books()), 1, 50)
 
 
