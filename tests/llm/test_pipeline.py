@@ -75,3 +75,19 @@ def test_language_stage_keeps_documents_without_labels(spark, data):
     for _, stage in cp.STAGES:
         spark_docs = cp.written(stage(spark, spark_docs, data))
     assert {r.doc_id for r in spark_docs.collect()} == set(range(10))
+
+
+def test_stages_with_clashing_columns_and_maps(spark, data):
+    extra = "score double, lang_pred string, masked_text string, _spans int, row int, found int, kinds string, key long, copy int, kept_key long, component long, node long, size int, m map<string,int>, start long, sequence_id long"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    tail = (0.5, "zz", "masked", 7, 1, 2, "k", 3, 4, 5, 6, 7, 8, {"a": 1}, 9, 10)
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([long, long, long + " x", "other text", "token=abcdefgh rest", "12"])]
+    docs = spark.createDataFrame([(*r, *tail) for r in [*rows, rows[3]]], schema)
+    for name, stage in cp.STAGES[:4]:
+        docs = cp.written(stage(spark, docs, data))
+        assert docs.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString(), name
+        assert all(tuple(r)[5:] == tail for r in docs.collect()), name
+    assert {r.doc_id: r.text for r in docs.collect()} == {1: long, 3: "other text", 4: f"{cp.MASK} rest"}
+    assert docs.count() == 3 and docs.where("doc_id = 4").first().n_chars == len(f"{cp.MASK} rest")
+    assert {r.doc_id for r in cp.STAGES[-1][1](spark, docs, data).collect()} == {1, 3, 4}
