@@ -4,7 +4,7 @@ A document is the set of its distinct word n-grams; two link when their Jaccard
 become one node. Under any global order of n-grams, linked sets share one of their first n - ceil(t*n) + 1 n-grams, so
 candidates must share such prefix n-grams under each of three orders. Candidates come from the lists of the first order; the other orders' prefixes are
 intersected before any text is fetched for the exact check.
-All orders put n-grams of rare buckets first (bucket counts of a count sketch of fixed size over the whole corpus, so that common
+All orders put n-grams of rare buckets first (bucket counts of a count sketch of bounded size over the whole corpus, so that common
 lines and passages come last); within a bucket class they differ by their hash.
 
 Each filter also bounds the overlap by the n-grams that two prefixes have in common: of two prefixes under one order, the one that ends first
@@ -12,8 +12,10 @@ has in common with the other prefix all that it has in common with the other set
 
 Pairs are not expanded within a group. First every prefix list links its members to the most central one (the one
 whose shared n-gram comes earliest in its own order); then only members of different components of these
-links are compared, with all filters, until no pair of a list is left unjudged. Linked
-groups so cost about one pair per member. Tasks hold one batch of rows and one text's n-grams at a time.
+links are compared, with all filters, in lists of bounded length. A long list of different components means that its n-gram is more frequent
+than the sketch could tell: its members meet again in a round of their own, where the sketch counts them alone and puts that n-gram last, until
+no pair of a list is left unjudged. Linked groups so cost about one pair per member, and groups that share a passage without linking
+do not meet in it. Tasks hold one batch of rows and one text's n-grams at a time.
 
 N-grams and sets are compared as 64-bit hashes: two different ones among n agree with probability n*n / 2**65.
 
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import discard, table, text_batches, words, written
 from foliospark.llm.components import components
 
-#: Buckets of the count sketch: its size does not depend on the corpus; each bucket has one byte in the broadcast.
-SKETCH_BITS = 18
+#: Buckets of the count sketch over the whole corpus, and at most in later rounds, over what is left; each bucket has one byte in the broadcast.
+SKETCH_BITS, MOST_SKETCH_BITS = 18, 22
+#: Members of a list up to which its pairs are compared; longer lists go to another round as long as a round keeps at most this share of the one before.
+LONG, SHRINK = 64, 0.9
 #: Buckets of keys that may be broadcast, whatever the size of the corpus; with most of them taken the filter lets rows through to the join.
 BUCKETS = 1 << 20
 #: Rows that a task of the features gives back at once.
@@ -75,7 +79,7 @@ def _hashes(text: str) -> Column:
     return F.transform(F.filter(words(F.col(text)), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def sketch_classes(hashed: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch_classes(hashed: DataFrame, n: int, bits: int) -> np.ndarray:
     """Class of each bucket by the n-grams counted in it over all documents: 0 up to chance, then by doubling."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,36 +227,65 @@ def prefix_lists(rows: DataFrame) -> DataFrame:
     return placed.where((F.col("node") != F.col("hub")) | F.col("more").isNotNull()).select("gram", "node", "size", "at", *hub)
 
 
+def _cross(left: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different components that share a list and could link by sizes and places; left: (gram, node, size, at, root)."""
+    own = ("node", "size", "at", "root")
+    # sizes of sets that link differ by one band at most; at 100 percent they are equal
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(percent / 100)))).cast("int") if percent < 100 else F.col("size")
+    left = left.select("gram", *own).withColumn("band", band)
+    right = left.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_b") for c in own))
+    # a pair that links passes the filter by places at its first common n-gram, so each such pair comes out of one list at least
+    apart = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))
+    pairs = left.join(right, ["gram", "band"]).where(apart & _could_link(F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), percent))
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _linked_sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links that leave no two linked sets in different components.
+
+    A round links the members of each list to the hub, then compares what lists of at most LONG members still hold of different components.
+    Members of longer such lists go to the next round, in which n-grams are counted, and so ordered, over these members alone: two sets that
+    link and met in long lists only are both among them. A round that leaves over SHRINK of its members to the next compares all its lists.
+    """
+    prefixes, links, before, bits = rows.where(F.size("prefix0") > 0), None, None, SKETCH_BITS
+    label = lambda df, roots, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    while True:
+        prefixes = prefixes.select("node", "size", *(f"prefix{i}" for i in range(len(ORDERS))))
+        members = written(prefix_lists(prefixes))
+        near = members.where((F.col("node") != F.col("hub")) & _could_link(F.col("size"), F.col("at"), F.col("hub_size"), F.col("hub_at"), percent))
+        near = near.select("node", "hub").distinct()
+        if links is not None:
+            roots = written(components(links))
+            near = label(label(near, roots, "node"), roots, "hub").where(F.col("node_root") != F.col("hub_root"))
+        found = _verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")), [[0], [1, 2]], prefixes, texts, nodes, n, percent)
+        links = found if links is None else links.unionByName(found)
+
+        labelled = label(members, components(links), "node").withColumnRenamed("node_root", "root")
+        mixed_lists = labelled.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high")).select("gram", "n")
+        left = written(labelled.select("gram", "node", "size", "at", "root").join(mixed_lists, "gram"))
+        again = written(left.where(F.col("n") > LONG).select("node").distinct())
+        count = again.count()
+        last = count == 0 or (before is not None and count > SHRINK * before)
+        pairs = written(_cross(left if last else left.where(F.col("n") <= LONG), percent))
+        links = links.unionByName(_verified(pairs, [[0], [1, 2]], prefixes, texts, nodes, n, percent))
+        discard(members, left, pairs)
+        if last:
+            return links
+        before, bits = count, min(bits + 2, MOST_SKETCH_BITS)
+        wanted = written(nodes.join(again, "node", "left_semi").select("row_key"))
+        some = _only(texts.select("row_key", F.lit(None).cast("long").alias("doc_id"), "text"), wanted, "row_key")
+        hashed = written(_word_hashes(some))
+        prefixes = written(features(hashed, sketch_classes(hashed, n, bits), n, percent)).where(F.size("prefix0") > 0)
+        discard(again, wanted, hashed)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach), row_key (hash of id and text), component (null for empty sets)."""
     text_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    classes = sketch_classes(_word_hashes(texts), n)
-    rows = written(features(_word_hashes(texts), classes, n, percent))
-    members = written(prefix_lists(rows))
-
+    rows = written(features(_word_hashes(texts), sketch_classes(_word_hashes(texts), n, SKETCH_BITS), n, percent))
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"))
-    prefixes = rows.where(F.size("prefix0") > 0).select("node", "size", *(f"prefix{i}" for i in range(len(ORDERS))))
-
-    near = members.where((F.col("node") != F.col("hub")) & _could_link(F.col("size"), F.col("at"), F.col("hub_size"), F.col("hub_at"), percent))
-    first = _verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), [[0], [1, 2]], prefixes, texts, nodes, n, percent)
-    roots = components(first)
-
-    # what is left: pairs of a list whose ends are in different components
-    own = ("node", "size", "at")
-    labelled = members.select("gram", *own).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_lists = labelled.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("gram")
-    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(percent / 100)))).cast("int")
-    left = labelled.join(mixed_lists, "gram", "left_semi").withColumn("band", step)
-    right = left.select("gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"{c}_b") for c in (*own, "root")))
-    # a pair that links passes the filter by places at its first common n-gram, so each such pair comes out of one list at least
-    apart = (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))
-    cross = left.join(right, ["gram", "band"]).where(apart & _could_link(F.col("size"), F.col("at"), F.col("size_b"), F.col("at_b"), percent))
-    pairs = written(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
-    discard(members)
-    second = _verified(pairs, [[0], [1, 2]], prefixes, texts, nodes, n, percent)
-    discard(pairs)
-    roots = components(first.unionByName(second))
+    roots = components(_linked_sets(texts, rows, nodes, n, percent))
 
     grouped = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from foliospark.llm import ngram_join
 from foliospark.llm.components import components
 from foliospark.llm.ngram_join import op8_ngram_join, shingles, similar_groups
 
@@ -57,6 +58,37 @@ def test_components_equal_brute_force(spark):
         assert out == brute(texts, n, percent)
 
 
+def test_rounds_equal_brute_force(spark, monkeypatch):
+    """Lists of over two members go to rounds of their own, under a sketch that tells little or nothing; all sets are equal at 100 percent."""
+    monkeypatch.setattr(ngram_join, "LONG", 2)
+    for seed, n, percent, bits, shrink in ((4, 4, 85, 2, 0.99), (5, 5, 80, 6, 0.0), (6, 2, 100, 4, 0.9)):
+        monkeypatch.setattr(ngram_join, "SKETCH_BITS", bits)
+        monkeypatch.setattr(ngram_join, "SHRINK", shrink)
+        texts = made_texts(seed)
+        out = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(spark.createDataFrame(texts, "doc_id long, text string"), n=n, percent=percent).collect()}
+        assert out == brute(texts, n, percent)
+
+
+def test_groups_that_share_a_passage_do_not_meet_in_it(spark, monkeypatch):
+    """Candidate pairs do not grow with the square of a group, even where the corpus is far larger than its sketch."""
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 9)
+    compared = []
+    real = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (compared.append(pairs.count()), real(pairs, *rest))[1])
+    rng = random.Random(7)
+    fill = [[f"f{rng.randrange(10**6)}" for _ in range(130)] for _ in range(900)]
+    passage = [f"p{i}" for i in range(90)]
+    pairs = {}
+    for size in (100, 200):
+        group = [passage + [f"g{rng.randrange(10**6)}" for _ in range(40)] for _ in range(size)]
+        texts = list(enumerate([" ".join(x) for x in fill + group + [group[3][:-1] + ["odd"]]]))
+        compared.clear()
+        out = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(texts, "doc_id long, text string"), n=4, percent=85).collect()}
+        assert {i: c for i, c in out.items() if i != c} == {900 + size: 903}
+        pairs[size] = sum(compared)
+    assert pairs[200] < 3 * pairs[100] and pairs[200] < 20 * 200, pairs
+
+
 def test_repeated_rows_nulls_and_long_texts(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     df = spark.createDataFrame([(2, "a b c d e f")] * 30 + [(None, "a b c d e f"), (9, long), (8, long + " x"), (None, "q r s t u v")], "doc_id long, text string")
