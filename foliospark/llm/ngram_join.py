@@ -38,9 +38,10 @@ from foliospark.llm.common import discard, table, text_batches, words, written
 from foliospark.llm.components import components
 
 #: Buckets of the count sketch over the whole corpus, and at most in later rounds, over what is left; each bucket has one byte in the broadcast.
-SKETCH_BITS, MOST_SKETCH_BITS = 18, 22
-#: Members of a list up to which its pairs are compared; longer lists go to another round as long as a round keeps at most this share of the one before.
-LONG, SHRINK = 64, 0.9
+SKETCH_BITS, MOST_SKETCH_BITS = 18, 20
+#: Members of a list up to which its pairs are compared; members of longer lists go to another round, with a larger sketch where more than half
+#: of a round are left, until the largest one leaves over SHRINK of a round, or all lists have at most PAIRS pairs for each row of the corpus.
+LONG, SHRINK, PAIRS = 64, 0.9, 16
 #: Buckets of keys that may be broadcast, whatever the size of the corpus; with most of them taken the filter lets rows through to the join.
 BUCKETS = 1 << 20
 #: Rows that a task of the features gives back at once.
@@ -91,9 +92,10 @@ def sketch_classes(hashed: DataFrame, n: int, bits: int) -> np.ndarray:
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
     rows = hashed.select("hashes").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << bits)
+    total = np.zeros(1 << bits, dtype=np.float32)
     total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    load = total.mean()  # a bucket's count where it holds rare n-grams only, give or take its root
+    del rows
+    load = total.mean(dtype=np.float64)  # a bucket's count where it holds rare n-grams only, give or take its root
     over = (total - load) / (4 * max(load, 1) ** 0.5)
     return np.where(over <= 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.uint8)
 
@@ -245,9 +247,11 @@ def _linked_sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, pe
 
     A round links the members of each list to the hub, then compares what lists of at most LONG members still hold of different components.
     Members of longer such lists go to the next round, in which n-grams are counted, and so ordered, over these members alone: two sets that
-    link and met in long lists only are both among them. A round that leaves over SHRINK of its members to the next compares all its lists.
+    link and met in long lists only are both among them. All lists are compared where their pairs are few for the rows of the corpus, or where the
+    largest sketch leaves over SHRINK of a round's members.
     """
-    prefixes, links, before, bits = rows.where(F.size("prefix0") > 0), None, None, SKETCH_BITS
+    prefixes, links, bits = rows.where(F.size("prefix0") > 0), None, SKETCH_BITS
+    before = most = rows.count()
     label = lambda df, roots, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     while True:
         prefixes = prefixes.select("node", "size", *(f"prefix{i}" for i in range(len(ORDERS))))
@@ -256,6 +260,7 @@ def _linked_sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, pe
         near = near.select("node", "hub").distinct()
         if links is not None:
             roots = written(components(links))
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")  # stars in place of all links
             near = label(label(near, roots, "node"), roots, "hub").where(F.col("node_root") != F.col("hub_root"))
         found = _verified(near.select(F.col("hub").alias("a"), F.col("node").alias("b")), [[0], [1, 2]], prefixes, texts, nodes, n, percent)
         links = found if links is None else links.unionByName(found)
@@ -264,14 +269,15 @@ def _linked_sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, pe
         mixed_lists = labelled.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high")).select("gram", "n")
         left = written(labelled.select("gram", "node", "size", "at", "root").join(mixed_lists, "gram"))
         again = written(left.where(F.col("n") > LONG).select("node").distinct())
-        count = again.count()
-        last = count == 0 or (before is not None and count > SHRINK * before)
+        count, squares = again.count(), left.where(F.col("n") > LONG).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        last = count == 0 or squares <= 2 * PAIRS * most or (count > SHRINK * before and bits >= MOST_SKETCH_BITS)
         pairs = written(_cross(left if last else left.where(F.col("n") <= LONG), percent))
         links = links.unionByName(_verified(pairs, [[0], [1, 2]], prefixes, texts, nodes, n, percent))
         discard(members, left, pairs)
         if last:
+            discard(again)
             return links
-        before, bits = count, min(bits + 2, MOST_SKETCH_BITS)
+        before, bits = count, min(bits + 2, MOST_SKETCH_BITS) if 2 * count > before else bits
         wanted = written(nodes.join(again, "node", "left_semi").select("row_key"))
         some = _only(texts.select("row_key", F.lit(None).cast("long").alias("doc_id"), "text"), wanted, "row_key")
         hashed = written(_word_hashes(some))

@@ -51,7 +51,7 @@ def made_texts(seed):
 
 
 def test_components_equal_brute_force(spark):
-    for seed, n, percent in ((1, 4, 85), (2, 5, 80), (3, 1, 60)):
+    for seed, n, percent in ((1, 4, 85), (2, 5, 80), (3, 1, 60), (6, 2, 100)):
         texts = made_texts(seed)
         df = spark.createDataFrame([(i, t, 3) for i, t in texts], "doc_id long, text string, size int")
         out = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df, n=n, percent=percent).collect()}
@@ -59,10 +59,12 @@ def test_components_equal_brute_force(spark):
 
 
 def test_rounds_equal_brute_force(spark, monkeypatch):
-    """Lists of over two members go to rounds of their own, under a sketch that tells little or nothing; all sets are equal at 100 percent."""
+    """Lists of over two members go to rounds of their own, under a sketch that tells little."""
     monkeypatch.setattr(ngram_join, "LONG", 2)
-    for seed, n, percent, bits, shrink in ((4, 4, 85, 2, 0.99), (5, 5, 80, 6, 0.0), (6, 2, 100, 4, 0.9)):
+    monkeypatch.setattr(ngram_join, "PAIRS", 0)
+    for seed, n, percent, bits, most, shrink in ((4, 4, 85, 2, 4, 0.99), (5, 5, 80, 6, 6, 0.0)):
         monkeypatch.setattr(ngram_join, "SKETCH_BITS", bits)
+        monkeypatch.setattr(ngram_join, "MOST_SKETCH_BITS", most)
         monkeypatch.setattr(ngram_join, "SHRINK", shrink)
         texts = made_texts(seed)
         out = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(spark.createDataFrame(texts, "doc_id long, text string"), n=n, percent=percent).collect()}
@@ -72,6 +74,7 @@ def test_rounds_equal_brute_force(spark, monkeypatch):
 def test_groups_that_share_a_passage_do_not_meet_in_it(spark, monkeypatch):
     """Candidate pairs do not grow with the square of a group, even where the corpus is far larger than its sketch."""
     monkeypatch.setattr(ngram_join, "SKETCH_BITS", 9)
+    monkeypatch.setattr(ngram_join, "PAIRS", 0)
     compared = []
     real = ngram_join._verified
     monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (compared.append(pairs.count()), real(pairs, *rest))[1])
@@ -79,14 +82,14 @@ def test_groups_that_share_a_passage_do_not_meet_in_it(spark, monkeypatch):
     fill = [[f"f{rng.randrange(10**6)}" for _ in range(130)] for _ in range(900)]
     passage = [f"p{i}" for i in range(90)]
     pairs = {}
-    for size in (100, 200):
+    for size in (60, 120):
         group = [passage + [f"g{rng.randrange(10**6)}" for _ in range(40)] for _ in range(size)]
         texts = list(enumerate([" ".join(x) for x in fill + group + [group[3][:-1] + ["odd"]]]))
         compared.clear()
         out = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(texts, "doc_id long, text string"), n=4, percent=85).collect()}
         assert {i: c for i, c in out.items() if i != c} == {900 + size: 903}
         pairs[size] = sum(compared)
-    assert pairs[200] < 3 * pairs[100] and pairs[200] < 20 * 200, pairs
+    assert pairs[120] < 3 * pairs[60] and pairs[120] < 20 * 120, pairs
 
 
 def test_repeated_rows_nulls_and_long_texts(spark):
