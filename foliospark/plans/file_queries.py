@@ -6,6 +6,7 @@ Archives hold at most BLOCK books and indexes five blocks, so their number grows
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -19,7 +20,8 @@ from foliospark.operators import browse as R
 from foliospark.operators import feeds as D
 from foliospark.operators import ingest as I
 from foliospark.operators import search as S
-from foliospark.plans.queries import COLLECTION, LINES_SQL, TITLE, TITLE_KEY, _scratch, archives, export_search_json, lines, prefixes, q, query, title_priority, wide
+from foliospark.operators import storage as ST
+from foliospark.plans.queries import COLLECTION, LINES_SQL, TITLE, TITLE_KEY, _scratch, archives, export_search_json, lines, prefixes, q, query, records, title_priority, wide
 from foliospark.plans.views import Catalog
 from foliospark.sources import archives as Z
 from foliospark.sources import metadata as M
@@ -148,6 +150,45 @@ def write_catalog(c: Catalog) -> DataFrame:
     return c.spark.read.parquet(f"{at}/books").join(links, "book_id", "left").select("book_id", "title", "file_name", "zip", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+# a catalog stored in buckets
+def _stored(c: Catalog, bridge: DataFrame | None = None) -> tuple[str, str]:
+    """Prefix and path of the tables."""
+    prefix, at = f"catalog_{uuid.uuid4().hex}", _scratch(c)
+    authors = ST.named_links(c.book_authors() if bridge is None else bridge, c.authors(), "author_id", "name")
+    genres = ST.named_links(c.book_genres(), c.genres(), "genre_id", "code")
+    ST.store_catalog(c.books(), {"book_authors": authors, "author_books": authors, "book_genres": genres}, prefix, at, 8, "year", {"author_books": "author_id"})
+    return prefix, at
+
+
+@query("stored_lists", "select book_id, title, author, genre from wide")
+def stored_lists(c: Catalog) -> DataFrame:
+    prefix, _ = _stored(c)
+    read = lambda name: c.spark.table(f"{prefix}_{name}")
+    rows = read("books").join(ST.names_of_books(read("book_authors"), "author_id", "name", "author"), "book_id", "left").join(ST.names_of_books(read("book_genres"), "genre_id", "code", "genre"), "book_id", "left")
+    return rows.select("book_id", "title", F.coalesce("author", F.lit("")).alias("author"), F.coalesce("genre", F.lit("")).alias("genre"))
+
+
+@query("stored_books_of", "select book_id, title from books where del = 0 and added_at >= timestamp '1996-01-01' and book_id in (select book_id from book_authors join authors using (author_id) where starts_with(name, 'GERMANY '))")
+def stored_books_of(c: Catalog) -> DataFrame:
+    """Books of some authors since a date: folders before it are not read."""
+    prefix, _ = _stored(c)
+    recent = c.spark.table(f"{prefix}_books").where(F.col("added") >= F.lit("1996-01-01").cast("date"))
+    ids = c.authors().where(F.startswith("name", F.lit("GERMANY "))).select("author_id")
+    return B.books_of(recent, c.spark.table(f"{prefix}_author_books"), ids, "author_id").select("book_id", "title")
+
+
+@query("stored_links", LINES_SQL + ", un as (select title, file_name, zip, unnest(authors) as name from records) select distinct book_id, author_id, name from un join books using (title, file_name, zip) join authors using (name) union select book_id, author_id, name from book_authors join authors using (author_id) where book_id in (select book_id from books where added_at < timestamp '1997-06-01')")
+def stored_links(c: Catalog) -> DataFrame:
+    """Links of older books are stored; the records' links are added, twice."""
+    old = c.books().where(F.col("added_at") < F.lit("1997-06-01").cast("timestamp"))
+    prefix, at = _stored(c, c.book_authors().join(old, "book_id", "left_semi"))
+    each = records(c).select(*I.KEY, F.explode("authors").alias("name")).distinct()
+    fresh = each.join(c.books().select("book_id", *I.KEY), I.KEY).join(c.authors(), "name").select("book_id", "author_id", "name")
+    for _ in range(2):
+        ST.append_links(fresh, "book_authors", "author_id", prefix, at, 8)
+    return c.spark.table(f"{prefix}_book_authors")
+
+
 # outputs
 LINKS_SQL = f""", named as (select *, {FULL_FORMAT} as full_format, coalesce(nullif(trim(regexp_replace(title, '[/\\\\:*?"<>|]', '', 'g')), ''), 'book') as safe from wide), addressed as (
   select *, 'http://library/download/' || book_id || '/' || url_encode(replace(safe || ' - ' || trim(author) || '.' || full_format, '  ', ' ')) as download,
