@@ -168,12 +168,12 @@ def stored_lists(c: Catalog) -> DataFrame:
     return rows.select("book_id", "title", F.coalesce("author", F.lit("")).alias("author"), F.coalesce("genre", F.lit("")).alias("genre"))
 
 
-@query("stored_books_of", "select book_id, title from books where del = 0 and added_at >= timestamp '1996-01-01' and book_id in (select book_id from book_authors join authors using (author_id) where starts_with(name, 'GERMANY '))")
+@query("stored_books_of", "select book_id, title from books where del = 0 and added_at >= timestamp '1996-01-01' and book_id in (select book_id from book_authors join authors using (author_id) where starts_with(name, 'NATION_1'))")
 def stored_books_of(c: Catalog) -> DataFrame:
     """Books of some authors since a date: folders before it are not read."""
     prefix, _ = _stored(c)
     recent = c.spark.table(f"{prefix}_books").where(F.col("added") >= F.lit("1996-01-01").cast("date"))
-    ids = c.authors().where(F.startswith("name", F.lit("GERMANY "))).select("author_id")
+    ids = c.authors().where(F.startswith("name", F.lit("NATION_1"))).select("author_id")
     return B.books_of(recent, c.spark.table(f"{prefix}_author_books"), ids, "author_id").select("book_id", "title")
 
 
