@@ -1,4 +1,11 @@
-from foliospark.llm.url_filter import RULES, judge_urls, op7_url_filter, segment
+import math
+import re
+from collections import Counter
+
+import regex
+from pyspark.sql import functions as F
+
+from foliospark.llm.url_filter import LABEL, MARGIN, RULES, SEED_SHARE, SEED_WORDS, SMOOTH, judge_urls, op7_url_filter, segment
 
 
 def brute_rule(url):
@@ -46,3 +53,65 @@ def test_query_equals_brute_force_rules(spark, data):
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
     spam = [r for r in out if r.rule is None and "spam" in r.host]
     assert all(r.verdict == "block" for r in spam)
+
+
+def brute_verdicts(pages, rules=RULES):
+    """[(verdict, score, seeded)] of (url, html) rows, all counts in dictionaries."""
+    counts = Counter(w for _, html in pages for w in regex.findall(r"[\p{L}\p{N}]+", re.sub("<[^<>]*>", " ", html or "").lower()) if len(w) <= LABEL)
+    total = sum(counts.values())
+    for w in SEED_WORDS:
+        counts[w] = max(counts[w], 1, int(total * SEED_SHARE))
+    tested = {w for _, h, p in rules for w in re.split("[./]", h + p) if w}
+    urls, rows = {}, []
+    for url, _ in pages:
+        host, path, (_, verdict) = brute_rule(url)
+        labels, words = [[x for x in regex.split(r"[^\p{L}\p{N}]+", part.lower()) if x and x not in tested] for part in (host, path)]
+        names = [w for x in labels for i in range(0, len(x), LABEL) for w in segment(x[i : i + LABEL], counts, max(total, 1) + 1)]
+        tokens = [f"host:{w}" for w in names] + [f"path:{w}" for w in words if regex.search(r"\p{L}", w)]
+        urls[host, path] = (verdict, tokens, any(w in SEED_WORDS for w in names))
+        rows.append((host, path))
+    seen = {"block": Counter(), "allow": Counter()}
+    for key in rows:
+        verdict, tokens, seeded = urls[key]
+        seen[verdict or ("block" if seeded else "allow")].update(tokens)
+    sums = {k: sum(c.values()) for k, c in seen.items()}
+    part = lambda k, t: math.log((seen[k][t] + SMOOTH * sums[k] / sum(sums.values())) / sums[k])
+    out = []
+    for key in rows:
+        verdict, tokens, seeded = urls[key]
+        score = sum(part("block", t) - part("allow", t) for t in tokens) if all(sums.values()) else 0.0
+        out.append((verdict or ("block" if score > MARGIN else "allow"), None if verdict else score, seeded))
+    return out
+
+
+def assert_equals_brute_force(out, pages):
+    for r, (verdict, score, seeded) in zip(out, brute_verdicts(pages), strict=True):
+        assert (r.verdict, r.seeded) == (verdict, seeded)
+        assert (r.score is None) == (score is None) and (score is None or abs(r.score - score) < 1e-6)
+
+
+def test_verdicts_equal_brute_force(spark, data):
+    rows = sorted(spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect())
+    assert_equals_brute_force(sorted(op7_url_filter(spark, data).collect()), [(r.url, r.html) for r in rows])
+
+
+def test_words_beside_seeds_are_learned_and_rules_teach_nothing_of_their_own_labels(spark):
+    """Half of all rows have one url; names hold digits and other alphabets; bigwin has no seed word, but stands beside casino elsewhere."""
+    urls = ["http://m.example.org/en/"] * 200 + [f"http://casino-bigwin.x{i}.info/p/{i}" for i in range(300)] + [f"http://site{i}.com/de/news" for i in range(60)]
+    urls += [f"http://net{i}.net/fr/" for i in range(40)] + ["http://bigwin.com/es/", "http://\u0441\u0430\u0439\u0442.com/\u043f\u0443\u0442\u044c", "http://site3.org/de/", "http://plain.com/es/"]
+    html = "<p>casino bigwin site net plain words \u0441\u0430\u0439\u0442 news</p>"
+    out = sorted(judge_urls(spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")).collect())
+    assert_equals_brute_force(out, [(u, html) for u in urls])
+    by_url = {u: r.verdict for u, r in zip(urls, out)}
+    assert by_url["http://bigwin.com/es/"] == "block" and by_url["http://plain.com/es/"] == by_url["http://site3.org/de/"] == by_url["http://m.example.org/en/"] == "allow"
+
+
+def test_held_out_urls(spark):
+    """Urls kept out of the training are judged as their host words say; verdicts differ within one top-level domain."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    held = F.pmod(F.crc32(F.concat_ws(" ", "host", "path").cast("binary")), F.lit(3)) == 1
+    unruled = judge_urls(pages, held_out=held).withColumn("held", held).where("rule is null").collect()
+    for part in (True, False):
+        right = [(r.verdict == "block") == r.seeded for r in unruled if r.held is part]
+        assert len(right) > 20 and sum(right) >= 0.95 * len(right)
+    assert {r.verdict for r in unruled if r.host.endswith(".com")} == {"allow", "block"}
