@@ -44,11 +44,21 @@ SPACE = "▁"
 _MODELS: dict[str, PieceLattice] = {}
 
 
+def log_sum(logs: list[float]) -> float:
+    top = max(logs, default=-math.inf)
+    return top if top == -math.inf else top + math.log(math.fsum(math.exp(x - top) for x in logs))
+
+
+def _pick(logs: list[float], rng: np.random.Generator) -> int:
+    """A place, with a probability in proportion to exp of what stands there."""
+    return int(np.argmax(np.array(logs) - np.log(-np.log(rng.random(len(logs))))))
+
+
 class Word:
     """The lattice of one word. A number u in [0, 1) stands for the segmentation in whose interval it lies, intervals in the order of the lattice;
     those met before are remembered, so that what u stands for does not depend on what came before."""
 
-    __slots__ = ("beta", "edges", "found", "highs", "log_mass", "lows", "met", "open_mass", "probs")
+    __slots__ = ("beta", "edges", "found", "highs", "log_mass", "log_open", "lows", "met", "probs")
 
     def __init__(self, edges: list[list[tuple[int, tuple[int, ...], float]]]):
         """edges[i]: (end, ids, log weight) of the pieces that start at i."""
@@ -64,15 +74,58 @@ class Word:
             total = sum(shares)
             beta[i], probs[i] = top + math.log(total), [x / total for x in shares]
         self.edges, self.beta, self.probs, self.log_mass = edges, beta, probs, beta[0]
-        self.found, self.open_mass, self.lows, self.highs, self.met = [], 1.0, [], [], []
+        self.found, self.log_open, self.lows, self.highs, self.met = [], 0.0, [], [], []
 
     def listed(self) -> list[tuple[tuple[int, ...], float]]:
-        """The LISTED most probable segmentations; open_mass is what they leave."""
+        """The LISTED most probable segmentations; log_open is the log of the mass that they leave."""
         if not self.found:
             self.found = self.best(LISTED)
-            self.open_mass = max(0.0, 1 - math.fsum(math.exp(p) for _, p in self.found)) if len(self.found) == LISTED else 0.0
+            self.log_open = log_sum([x[-1] for x in self.departures({ids for ids, _ in self.found})]) if len(self.found) == LISTED else -math.inf
         return self.found
 
+    def departures(self, known: set[tuple[int, ...]]) -> list[tuple[tuple[int, ...], float, int, int, float]]:
+        """All segmentations but the known ones, as disjoint sets: (ids before, their log weight, place, edge, log-probability of the set) of the edges that leave
+        a prefix of a known one where no known one goes. Nothing is subtracted, so sets of the smallest mass are there too."""
+        nodes: dict[tuple[int, ...], tuple[int, float, set[int]]] = {(): (0, 0.0, set())}
+        for ids in known:
+            at, k, done = 0, 0, 0.0
+            while at < len(self.edges):
+                e = next(e for e, (_, piece, _) in enumerate(self.edges[at]) if ids[k : k + len(piece)] == piece)
+                nodes[ids[:k]][2].add(e)
+                end, piece, w = self.edges[at][e]
+                at, k, done = end, k + len(piece), done + w
+                if at < len(self.edges):
+                    nodes.setdefault(ids[:k], (at, done, set()))
+        return [(ids, done, at, e, done + w + self.beta[end] - self.log_mass) for ids, (at, done, used) in nodes.items() for e, (end, _, w) in enumerate(self.edges[at]) if e not in used]
+
+    def others(self, taken: set[tuple[int, ...]]) -> tuple[list[tuple[tuple[int, ...], float]], bool]:
+        """The listed segmentations that are not taken, and whether all that are taken are listed."""
+        found = self.listed()
+        rest = [(ids, p) for ids, p in found if ids not in taken]
+        return rest, len(found) - len(rest) == len(taken)
+
+    def log_left(self, taken: set[tuple[int, ...]]) -> float:
+        """Log of the mass of all segmentations that are not taken."""
+        rest, inside = self.others(taken)
+        open_sets = [self.log_open] if inside else [x[-1] for x in self.departures(taken | {ids for ids, _ in self.found})]
+        return log_sum([p for _, p in rest] + open_sets)
+
+    def draw_other(self, taken: set[tuple[int, ...]], rng: np.random.Generator) -> tuple[tuple[int, ...], float]:
+        """(ids, log-probability) of a draw among all segmentations that are not taken, without a rejection."""
+        rest, inside = self.others(taken)
+        open_sets = [] if inside and self.log_open == -math.inf else self.departures(taken | {ids for ids, _ in self.found})
+        masses = [p for _, p in rest] + [x[-1] for x in open_sets]
+        i = _pick(masses, rng)
+        if i < len(rest):
+            return rest[i]
+        ids, done, at, e, _ = open_sets[i - len(rest)]
+        while True:
+            at, piece, w = self.edges[at][e]
+            ids, done = ids + piece, done + w
+            if at == len(self.edges):
+                return ids, done - self.log_mass
+            e = _pick([w + self.beta[end] for end, _, w in self.edges[at]], rng)
+
     def choose(self, u: float) -> tuple[tuple[int, ...], float]:
         i = bisect.bisect_right(self.lows, u) - 1
         if i >= 0 and u < self.highs[i]:
@@ -187,16 +240,13 @@ class PieceLattice:
             if len(out) > k or not n:
                 continue
             before = np.concatenate([[0.0], np.cumsum(logs)])
-            left = np.array([-math.expm1(p) if p < 0 else 0.0 for p in logs])
+            left = np.array([math.log(-math.expm1(p)) if p < 0 else -math.inf for p in logs])
             places = np.arange(at, n)
-            for i in places[(left[at:] < 1e-9) | ((places == at) & bool(barred))].tolist():  # masses too small for a difference from 1
-                taken = {ids for ids, _ in barred if i == at} | {path[i]}
-                left[i] = math.fsum(math.exp(p) for ids, p in words[i].listed() if ids not in taken) + words[i].open_mass
-                if words[i].open_mass and left[i] <= 1e-15:
-                    left[i] = 0.0
-            places = places[left[at:] > 0]
+            for i in places[(left[at:] < -20) | ((places == at) & bool(barred))].tolist():  # masses too small for a difference from 1
+                left[i] = words[i].log_left({ids for ids, _ in barred if i == at} | {path[i]})
+            places = places[left[at:] > -math.inf]
             if len(places):
-                free = before[places] + np.log(left[places]) - np.log(-np.log(rng.random(len(places))))
+                free = before[places] + left[places] - np.log(-np.log(rng.random(len(places))))
                 cut = -np.logaddexp(bound, -free)  # Gumbels cut off at the parent's bound
                 if len(cut) > k + 1:  # as many better nodes, each with a sample of its own, leave no place for the others
                     top = np.argpartition(-cut, k + 1)[: k + 1]
@@ -213,21 +263,7 @@ class PieceLattice:
         """Completes a path: at its first word among what is not barred there, then freely."""
         first = at
         if barred:
-            taken = {ids for ids, _ in barred}
-            word = words[at]
-            rest = [(ids, p) for ids, p in word.listed() if ids not in taken]
-            u = rng.random() * (math.fsum(math.exp(p) for _, p in rest) + word.open_mass)
-            choice = None
-            for ids, p in rest:
-                u -= math.exp(p)
-                if u <= 0:
-                    choice = (ids, p)
-                    break
-            if choice is None and word.open_mass:
-                known = {ids for ids, _ in word.found} | taken
-                while (choice := word.draw(rng.random())[0])[0] in known:
-                    pass
-            choice = choice or rest[-1]
+            choice = words[at].draw_other({ids for ids, _ in barred}, rng)
             path.append(choice[0])
             logs.append(choice[1])
             first = at + 1

@@ -118,3 +118,41 @@ def test_query_decodes(spark, tmp_path):
     assert {r.doc_id for r in rows} == set(texts)
     for r in rows:
         assert r.text_sha256 == hashlib.sha256(LATTICE.model.decode(LATTICE.model.encode(texts[r.doc_id] or "")).encode()).hexdigest()
+
+
+def small_lattice(weights):
+    lattice = PieceLattice.__new__(PieceLattice)
+    lattice.weight = {piece: ((i,), w) for i, (piece, w) in enumerate(weights.items())}
+    lattice.joined, lattice.longest, lattice.words, lattice.edges = set(), 8, {}, 0
+    lattice.split = lambda text: text.split()
+    return lattice
+
+
+def test_segmentations_of_the_smallest_mass_are_drawn_too():
+    """2**6 segmentations, of which one has all mass but e**-300: more than are listed, and none is dropped or waited for."""
+    lattice = small_lattice({"a" * k: (0.0 if k == 7 else -300.0 * (k + 1)) for k in range(1, 8)})
+    for k in (40, 63, 64, 80):
+        out = lattice.sample("a" * 7, k, 5)
+        assert len(out) == len({tuple(ids) for ids, *_ in out}) == min(k, 64)
+        assert all(sum(len("a") * (i + 1) for i in ids) == 7 for ids, *_ in out)
+        assert k < 64 or all(x[3] == 1.0 for x in out)
+
+
+def test_departures_are_what_the_known_ones_leave():
+    lattice = small_lattice({"a" * k: -1.0 - 0.37 * k for k in range(1, 6)})
+    word = lattice.word("a" * 8)
+    every = word.best(10_000)
+    assert abs(math.fsum(math.exp(p) for _, p in every) - 1) < 1e-9
+    for size in (1, 5, 24, 60):
+        known = {ids for ids, _ in every[::2][:size]}
+        left = math.fsum(math.exp(p) for ids, p in every if ids not in known)
+        assert abs(math.fsum(math.exp(x[-1]) for x in word.departures(known)) - left) < 1e-9
+        assert abs(math.exp(word.log_left(known)) - left) < 1e-9
+        rng, drawn, by_ids = np.random.default_rng(1), [], dict(every)
+        for _ in range(2000):
+            ids, p = word.draw_other(known, rng)
+            assert ids not in known and abs(by_ids[ids] - p) < 1e-9
+            drawn.append(ids)
+        top = max((p, ids) for ids, p in every if ids not in known)
+        share = math.exp(top[0]) / left
+        assert abs(drawn.count(top[1]) / 2000 - share) < 5 * math.sqrt(share / 2000)
