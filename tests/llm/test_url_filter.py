@@ -98,17 +98,17 @@ def test_verdicts_equal_brute_force(spark, data):
 def test_words_beside_seeds_are_learned_and_rules_teach_nothing_of_their_own_labels(spark):
     """Half of all rows have one url; names hold digits and other alphabets; bigwin has no seed word, but stands beside casino elsewhere."""
     urls = ["http://m.example.org/en/"] * 200 + [f"http://casino-bigwin.x{i}.info/p/{i}" for i in range(300)] + [f"http://site{i}.com/de/news" for i in range(60)]
-    urls += [f"http://net{i}.net/fr/" for i in range(40)] + ["http://bigwin.com/es/", "http://\u0441\u0430\u0439\u0442.com/\u043f\u0443\u0442\u044c", "http://site3.org/de/", "http://plain.com/es/"]
+    urls += [f"http://net{i}.net/fr/" for i in range(40)] + ["http://bigwin.com/", "http://\u0441\u0430\u0439\u0442.com/\u043f\u0443\u0442\u044c", "http://site3.org/de/", "http://plain.com/"]
     html = "<p>casino bigwin site net plain words \u0441\u0430\u0439\u0442 news</p>"
     out = sorted(judge_urls(spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")).collect())
     assert_equals_brute_force(out, [(u, html) for u in urls])
     by_url = {u: r.verdict for u, r in zip(urls, out)}
-    assert by_url["http://bigwin.com/es/"] == "block" and by_url["http://plain.com/es/"] == by_url["http://site3.org/de/"] == by_url["http://m.example.org/en/"] == "allow"
+    assert by_url["http://bigwin.com/"] == "block" and by_url["http://plain.com/"] == by_url["http://site3.org/de/"] == by_url["http://m.example.org/en/"] == "allow"
 
 
 def test_held_out_urls(spark):
     """Urls kept out of the training are judged as their host words say; verdicts differ within one top-level domain."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     held = F.pmod(F.crc32(F.concat_ws(" ", "host", "path").cast("binary")), F.lit(3)) == 1
     unruled = judge_urls(pages, held_out=held).withColumn("held", held).where("rule is null").collect()
     for part in (True, False):
