@@ -49,7 +49,7 @@ def open_catalog(spark: SparkSession, names: list[str], prefix: str, path: str,
 
 def names_of_books(links: DataFrame, id_col: str, name_col: str, out: str) -> DataFrame:
     """(book_id, out): the names of each book in order of their id, joined by a comma; no exchange on stored links."""
-    names = F.transform(F.array_sort(F.collect_list(F.struct(id_col, name_col))), lambda x: x[name_col])
+    names = F.sort_array(F.collect_list(F.struct(id_col, name_col)))[name_col]
     return links.groupBy("book_id").agg(F.array_join(names, ", ").alias(out))
 
 
