@@ -26,6 +26,7 @@ from foliospark.plans.views import Catalog
 from foliospark.sources import archives as Z
 from foliospark.sources import metadata as M
 from foliospark.sources.zips import write_archives
+from foliospark.storage import small_batches
 from foliospark.streaming import commits as C
 from foliospark.streaming import ingest as T
 
@@ -307,6 +308,7 @@ def epub_files(c: Catalog) -> DataFrame:
     )
     container = F.lit('<?xml version="1.0"?><container><rootfiles><rootfile full-path="OPS/p.opf"/></rootfiles></container>')
     names = F.array(F.lit("META-INF/container.xml"), F.lit("OPS/p.opf"), F.when(kind == 2, "other/c.png").otherwise("OPS/img/c.jpg"))
+    small_batches(c.spark)
     content = zipped(names, F.array(container.cast("binary"), package.cast("binary"), F.col("title").cast("binary")))
     return wide(c).select("zip", F.concat(F.lit("b"), text_of(F.col("book_id")), F.lit(".epub")).alias("member"), content.alias("content"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators.ingest import DEFAULT_LAYOUT
 from foliospark.sources import zips
+from foliospark.storage import small_batches
 
 
 def archive_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -43,6 +44,7 @@ def members(files: DataFrame, keep: str = ".*") -> DataFrame:
             if rows:
                 yield frame(rows)
 
+    small_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(expand, zips.MEMBER_ROW)
 
 
