@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Buckets at least, and rows of a bucket.
+BUCKETS, BUCKET_ROWS = 64, 500_000
 
 
 def _save(df: DataFrame, table: str, path: str, buckets: int, mode: str, key: str = "book_id", *folders: str) -> None:
@@ -23,6 +24,14 @@ def _save(df: DataFrame, table: str, path: str, buckets: int, mode: str, key: st
     (out.partitionBy(*folders) if folders else out).saveAsTable(table)
 
 
+def buckets_for(links: DataFrame, least: int = BUCKETS) -> int:
+    """A number of buckets, a power of two times `least`, in which a bucket has BUCKET_ROWS of these links on average at most: what the task that sorts or reads a bucket holds does not grow with the catalog."""
+    n, buckets = links.count(), least
+    while n > buckets * BUCKET_ROWS:
+        buckets *= 2
+    return buckets
+
+
 def named_links(bridge: DataFrame, dim: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """(book_id, id_col, name_col), each once."""
     return bridge.join(dim.select(id_col, name_col), id_col).where(F.col("book_id").isNotNull()).select("book_id", id_col, name_col).distinct()

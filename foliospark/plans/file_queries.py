@@ -26,7 +26,7 @@ from foliospark.plans.views import Catalog
 from foliospark.sources import archives as Z
 from foliospark.sources import metadata as M
 from foliospark.sources.zips import write_archives
-from foliospark.storage import small_batches
+from foliospark.storage import small_batches, written
 from foliospark.streaming import commits as C
 from foliospark.streaming import ingest as T
 
@@ -152,18 +152,20 @@ def write_catalog(c: Catalog) -> DataFrame:
 
 
 # a catalog stored in buckets
-def _stored(c: Catalog, bridge: DataFrame | None = None) -> tuple[str, str]:
-    """Prefix and path of the tables."""
+def _stored(c: Catalog, bridge: DataFrame | None = None) -> tuple[str, str, int]:
+    """Prefix, path and number of buckets of the tables; buckets follow the links of all books."""
     prefix, at = f"catalog_{uuid.uuid4().hex}", _scratch(c)
-    authors = ST.named_links(c.book_authors() if bridge is None else bridge, c.authors(), "author_id", "name")
+    links = written(c.book_authors())
+    buckets = ST.buckets_for(links, 8)
+    authors = written(ST.named_links(links if bridge is None else bridge, c.authors(), "author_id", "name"))
     genres = ST.named_links(c.book_genres(), c.genres(), "genre_id", "code")
-    ST.store_catalog(c.books(), {"book_authors": authors, "author_books": authors, "book_genres": genres}, prefix, at, 8, "year", {"author_books": "author_id"})
-    return prefix, at
+    ST.store_catalog(c.books(), {"book_authors": authors, "author_books": authors, "book_genres": genres}, prefix, at, buckets, "year", {"author_books": "author_id"})
+    return prefix, at, buckets
 
 
 @query("stored_lists", "select book_id, title, author, genre from wide")
 def stored_lists(c: Catalog) -> DataFrame:
-    prefix, _ = _stored(c)
+    prefix, _, _ = _stored(c)
     read = lambda name: c.spark.table(f"{prefix}_{name}")
     rows = read("books").join(ST.names_of_books(read("book_authors"), "author_id", "name", "author"), "book_id", "left").join(ST.names_of_books(read("book_genres"), "genre_id", "code", "genre"), "book_id", "left")
     return rows.select("book_id", "title", F.coalesce("author", F.lit("")).alias("author"), F.coalesce("genre", F.lit("")).alias("genre"))
@@ -172,7 +174,7 @@ def stored_lists(c: Catalog) -> DataFrame:
 @query("stored_books_of", "select book_id, title from books where del = 0 and added_at >= timestamp '1996-01-01' and book_id in (select book_id from book_authors join authors using (author_id) where starts_with(name, 'NATION_1'))")
 def stored_books_of(c: Catalog) -> DataFrame:
     """Books of some authors since a date: folders before it are not read."""
-    prefix, _ = _stored(c)
+    prefix, _, _ = _stored(c)
     recent = c.spark.table(f"{prefix}_books").where(F.col("added") >= F.lit("1996-01-01").cast("date"))
     ids = c.authors().where(F.startswith("name", F.lit("NATION_1"))).select("author_id")
     return B.books_of(recent, c.spark.table(f"{prefix}_author_books"), ids, "author_id").select("book_id", "title")
@@ -182,11 +184,12 @@ def stored_books_of(c: Catalog) -> DataFrame:
 def stored_links(c: Catalog) -> DataFrame:
     """Links of older books are stored; the records' links are added, twice."""
     old = c.books().where(F.col("added_at") < F.lit("1997-06-01").cast("timestamp"))
-    prefix, at = _stored(c, c.book_authors().join(old, "book_id", "left_semi"))
+    prefix, at, buckets = _stored(c, c.book_authors().join(old, "book_id", "left_semi"))
     each = records(c).select(*I.KEY, F.explode("authors").alias("name")).distinct()
-    fresh = each.join(c.books().select("book_id", *I.KEY), I.KEY).join(c.authors(), "name").select("book_id", "author_id", "name")
+    # written, as both rounds read them
+    fresh = written(each.join(c.books().select("book_id", *I.KEY), I.KEY).join(c.authors(), "name").select("book_id", "author_id", "name"))
     for _ in range(2):
-        ST.append_links(fresh, "book_authors", "author_id", prefix, at, 8)
+        ST.append_links(fresh, "book_authors", "author_id", prefix, at, buckets)
     return c.spark.table(f"{prefix}_book_authors")
 
 

@@ -51,3 +51,8 @@ def test_append_is_idempotent_and_files_open_again(spark, tmp_path):
     assert "Exchange" not in plan(ST.names_of_books(spark.table("s3_l"), "author_id", "name", "author"))
     ST.store_catalog(books.limit(0), {"l": links.limit(0)}, "s4", str(tmp_path / "e"), 2)
     assert spark.table("s4_books").count() == 0 and ST.names_of_books(spark.table("s4_l"), "author_id", "name", "a").count() == 0
+
+
+def test_buckets_follow_the_links(spark, monkeypatch):
+    monkeypatch.setattr(ST, "BUCKET_ROWS", 10)
+    assert [ST.buckets_for(spark.range(n), 8) for n in (0, 80, 81, 1000)] == [8, 8, 16, 128]
