@@ -13,6 +13,8 @@ from foliospark.storage import written
 # Caps of hits, and the least hits below which the token fallback is added.
 MOST_AUTHORS, MOST_SERIES, MOST_GENRES, MOST_TITLES = 500, 500, 100, 1000
 LEAST_AUTHORS, LEAST_SERIES, LEAST_TITLES = 20, 10, 1
+#: Rows that a task sorts or tells apart at once, on average, where tables of queries meet postings.
+TASK_ROWS = 500_000
 #: Absent from any pattern, so that % and _ of a query stay wildcards and a backslash is itself.
 ESCAPE = "\u0001"
 
@@ -56,28 +58,38 @@ def tokens_of_prefixes(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
     return cut.join(asked, ["field", "prefix"])
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of about `rows` rows, dealt by the keys to so many tasks that each has TASK_ROWS at most on average; as it is where the session's number of partitions does for that."""
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def match_queries(queries: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, book_id) of a table (query_id, field, text): books where every token of the text begins some token of the field.
 
     The distinct vocabulary is cut to the lengths that query tokens of its field have and meets them in an equi-join. A query then goes on with the postings of
     its rarest token alone, and its other tokens are held against the books found there: no nested loop, and no row per book of a frequent token.
-    Tokens are written once, as they are read three times. For counts alone see `bitmaps`.
+    Tokens are written once, as they are read three times. Tokens and books found are dealt to tasks by their number, so that what a task holds does not grow with it.
+    For counts alone see `bitmaps`.
     """
     tokens = written(tokens.select("book_id", "field", "token"))
+    held = tokens.count()
     wanted = queries.select("query_id", "field", F.explode(F.array_distinct(X.tokens("text"))).alias("prefix"))
     asked = wanted.select("field", "prefix").distinct()
-    hits = tokens_of_prefixes(tokens.groupBy("field", "token").agg(F.count("*").alias("n")), asked)
+    hits = written(tokens_of_prefixes(tokens.groupBy("field", "token").agg(F.count("*").alias("n")), asked))
     sizes = hits.groupBy("field", "prefix").agg(F.sum("n").alias("postings"))
     planned = wanted.join(sizes, ["field", "prefix"], "left").groupBy("query_id", "field").agg(
         F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "prefix")).alias("first"), F.collect_set("prefix").alias("prefixes")
     )
-    starts = planned.where(F.col("first.postings") > 0).select("query_id", "field", "prefixes", F.col("first.prefix").alias("prefix"))
-    near = starts.join(hits.select("field", "prefix", "token"), ["field", "prefix"]).join(tokens, ["field", "token"]).select("query_id", "field", "book_id", "prefixes").distinct()
+    starts = written(planned.where(F.col("first.postings") > 0).select("query_id", "field", "prefixes", F.col("first.prefix").alias("prefix"), "first.postings"))
+    found = starts.agg(F.coalesce(F.sum("postings"), F.lit(0))).first()[0]
+    met = starts.join(hits.select("field", "prefix", "token"), ["field", "prefix"]).join(spread(tokens, held, "field", "token"), ["field", "token"])
+    near = spread(met.select("query_id", "field", "book_id", "prefixes"), found, "book_id", "field").distinct()
     alone = near.where(F.size("prefixes") == 1).select("query_id", "book_id")
     more = near.where(F.size("prefixes") > 1)
-    own = tokens.join(more.select("book_id", "field").distinct(), ["book_id", "field"], "left_semi").groupBy("book_id", "field").agg(F.collect_set("token").alias("own"))
-    met = F.forall("prefixes", lambda p: F.exists("own", lambda t: F.startswith(t, p)))
-    return alone.unionByName(more.join(own, ["book_id", "field"]).where(met).select("query_id", "book_id"))
+    own = spread(tokens, held, "book_id", "field").join(more.select("book_id", "field").distinct(), ["book_id", "field"], "left_semi").groupBy("book_id", "field").agg(F.collect_set("token").alias("own"))
+    holds = F.forall("prefixes", lambda p: F.exists("own", lambda t: F.startswith(t, p)))
+    return alone.unionByName(more.join(own, ["book_id", "field"]).where(holds).select("query_id", "book_id"))
 
 
 def append_missing(primary: DataFrame, fallback: DataFrame, id_col: str, least: int) -> DataFrame:
