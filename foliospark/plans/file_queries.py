@@ -31,6 +31,8 @@ from foliospark.streaming import commits as C
 from foliospark.streaming import ingest as T
 
 BLOCK, INDEX = 20, 100
+#: Books of an index file that streams read, on average.
+FILE_BOOKS = 50_000
 
 
 @F.pandas_udf(BinaryType())
@@ -329,18 +331,28 @@ def epub_covers(c: Catalog) -> DataFrame:
 
 
 # streams
+def _active(c: Catalog) -> DataFrame:
+    """Active wide books, written once for the stored part and the lines."""
+    return written(B.active_books(wide(c)).drop("author", "genre", "full_format"))
+
+
+def _index_files(c: Catalog, least: int) -> int:
+    """How many index files the books fill: FILE_BOOKS each on average, so that files, each read by one task, do not grow."""
+    return max(least, -(-c.table("part").count() // FILE_BOOKS))
+
+
 @query("stream_merge", LINES_SQL + ", stored as (select title, file_name, zip from wide where del = 0 and book_id % 3 = 0) select title, file_name, zip from stored union select title, file_name, zip from records")
 def stream_merge(c: Catalog) -> DataFrame:
     """Index files that arrive, batch by batch, are merged into a catalog that holds a third of the books."""
-    at, manifest = _scratch(c), archives(c)
-    B.active_books(wide(c)).where("book_id % 3 = 0").select(*I.BOOK_COLUMNS).write.parquet(f"{at}/books/batch=-1")
-    lines(c).select("line").repartition(8, F.xxhash64("line")).write.text(f"{at}/in")
+    at, manifest, active, files = _scratch(c), archives(c), _active(c), _index_files(c, 8)
+    active.where("book_id % 3 = 0").select(*I.BOOK_COLUMNS).write.parquet(f"{at}/books/batch=-1")
+    lines(c, active).select("line").repartition(files, F.xxhash64("line")).write.text(f"{at}/in")
     merge = T.merge_into(f"{at}/books", "2024-01-01 00:00:00")
 
     def arrive(batch: DataFrame, number: int) -> None:
         merge(I.resolve_archive(I.valid_records(I.parse_records(batch.withColumn("collection", F.lit(COLLECTION)))), manifest), number)
 
-    T.stream_ingest(T.stream_lines(c.spark, f"{at}/in", "*.txt", 4), arrive, f"{at}/checkpoint").awaitTermination()
+    T.stream_ingest(T.stream_lines(c.spark, f"{at}/in", "*.txt", -(-files // 2)), arrive, f"{at}/checkpoint").awaitTermination()
     return c.spark.read.parquet(f"{at}/books").select("title", "file_name", "zip")
 
 
@@ -350,10 +362,10 @@ def stream_merge(c: Catalog) -> DataFrame:
   union all select distinct 'genre', title, file_name, zip, unnest(string_split(genre, ', ')) from each where genre <> ''""")
 def stream_merge_all(c: Catalog) -> DataFrame:
     """Index files that arrive are merged into all tables of a catalog of a third of the books; a batch comes twice, and the catalog is compacted."""
-    at, manifest, when = _scratch(c), archives(c), "2024-01-01 00:00:00"
-    first = B.active_books(wide(c)).where("book_id % 3 = 0").withColumn("source", F.lit("first"))
+    at, manifest, when, active, files = _scratch(c), archives(c), "2024-01-01 00:00:00", _active(c), _index_files(c, 4)
+    first = active.where("book_id % 3 = 0").withColumn("source", F.lit("first"))
     C.commit(c.spark, f"{at}/catalog", -1, C.additions(first.withColumns({"member": F.lit(""), "line_no": F.col("book_id")}), C.read_catalog(c.spark, f"{at}/catalog"), when))
-    lines(c).select("line").repartition(4, F.xxhash64("line")).write.text(f"{at}/in")
+    lines(c, active).select("line").repartition(files, F.xxhash64("line")).write.text(f"{at}/in")
     merge = C.merge_all(f"{at}/catalog", when)
 
     def arrive(batch: DataFrame, number: int) -> None:
@@ -362,7 +374,7 @@ def stream_merge_all(c: Catalog) -> DataFrame:
         if number == 0:
             merge(found, number)
 
-    T.stream_ingest(T.stream_lines(c.spark, f"{at}/in", "*.txt", 2), arrive, f"{at}/checkpoint").awaitTermination()
+    T.stream_ingest(T.stream_lines(c.spark, f"{at}/in", "*.txt", -(-files // 2)), arrive, f"{at}/checkpoint").awaitTermination()
     C.compact(c.spark, f"{at}/catalog")
     t = C.read_catalog(c.spark, f"{at}/catalog")
     keys = t["books"].select("book_id", "title", "file_name", "zip")

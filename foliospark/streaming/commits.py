@@ -67,12 +67,15 @@ def additions(records: DataFrame, stored: dict[str, DataFrame], added_at) -> dic
     records = written(records)
     out = {"books": written(added_books(records, stored["books"], added_at))}
     books = stored["books"].select("book_id", *KEY).unionByName(out["books"].select("book_id", *KEY))
+    # names meet books by their id alone: keys are long, and a record has many names
+    linked = written(records.select(*KEY, *(DIMENSIONS[name][0] for name in BRIDGES.values())).join(books, KEY).drop(*KEY))
     links: dict[str, DataFrame] = {}
     for name, (column, many, id_col, name_col) in DIMENSIONS.items():
-        each = records.select(*KEY, (F.explode(column) if many else F.col(column)).alias(name_col)).where(F.col(name_col).isNotNull()).distinct()
-        known = assign_ids(each.select(name_col), stored[name], name_col, id_col)
+        each = lambda rows, *keys: rows.select(*keys, (F.explode(F.array_distinct(column)) if many else F.col(column)).alias(name_col)).where(F.col(name_col).isNotNull())  # noqa: B023, E731
+        known = assign_ids(each(records), stored[name], name_col, id_col)
         out[name] = written(known.join(stored[name].select(name_col), name_col, "left_anti").select(id_col, name_col))
-        links[name] = each.join(stored[name].unionByName(out[name]), name_col).join(books, KEY).select("book_id", id_col).distinct()
+        if name in BRIDGES.values():
+            links[name] = each(linked, "book_id").join(stored[name].unionByName(out[name]), name_col).select("book_id", id_col).distinct()
     for bridge, name in BRIDGES.items():
         out[bridge] = links[name].join(stored[bridge], links[name].columns, "left_anti")
     sources = records.groupBy("source").agg(F.count("*").alias("records"))
