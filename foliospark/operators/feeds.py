@@ -28,8 +28,8 @@ def download_name(title, author, language, fmt) -> Column:
     return F.concat(safe, F.lit(" - "), X.safe_filename(author), F.lit(" ("), X.col(language), F.lit(")."), X.col(fmt))
 
 
-def feed_entries(wide: DataFrame, base_url: str = "", in_series: bool = False) -> DataFrame:
-    """id, title, updated, author, text, language, identifier, links and categories of each book."""
+def feed_entries(wide: DataFrame, base_url: str = "", in_series: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, title, updated, author, text, language, identifier, links and categories of each book, and the columns of wide to keep."""
     fmt = X.ensure_format("format", "file_name")
     safe = F.coalesce(F.nullif(X.safe_filename("title"), F.lit("")), F.lit("book"))
     file = X.path_escape(F.replace(F.concat(safe, F.lit(" - "), X.safe_filename("author"), F.lit("."), fmt), F.lit("  "), F.lit(" ")))
@@ -44,7 +44,7 @@ def feed_entries(wide: DataFrame, base_url: str = "", in_series: bool = False) -
     return wide.select(
         "book_id", F.concat(F.lit("urn:uuid:book-"), F.col("book_id").cast("string")).alias("id"), X.display_title("title", "series", "series_no", in_series).alias("title"),
         F.date_format("added_at", TIME_FORMAT).alias("updated"), "author", X.feed_text("author", "genre", "series", "series_no", fmt).alias("text"), "language",
-        F.concat(F.lit("BookID:"), F.col("book_id").cast("string")).alias("identifier"), links.alias("links"), F.transform(terms, lambda g: F.struct(g.alias("term"), g.alias("label"))).alias("categories"),
+        F.concat(F.lit("BookID:"), F.col("book_id").cast("string")).alias("identifier"), links.alias("links"), F.transform(terms, lambda g: F.struct(g.alias("term"), g.alias("label"))).alias("categories"), *keep,
     )
 
 

@@ -227,7 +227,7 @@ def feed_categories(c: Catalog) -> DataFrame:
 def export_feed(c: Catalog) -> DataFrame:
     """Atom files of pages of each archive's books, read again as XML with their attributes."""
     at = _scratch(c)
-    entries = D.feed_entries(wide(c), "http://library").join(c.books().select("book_id", "zip", "added_at"), "book_id")
+    entries = D.feed_entries(wide(c), "http://library", keep=("zip", "added_at"))
     paged = D.feed_pages(entries, ["zip"], [F.col("title"), F.col("book_id")], 100).withColumn("feed", F.concat_ws("-", "zip", F.col("page").cast("string")))
     D.export_feed(D.atom_feeds(paged, "http://library", F.concat(F.lit("Books of "), F.col("feed")), F.concat(F.lit("http://library/feeds/"), F.col("feed")), F.col("added_at")), at)
     link = "array<struct<_rel:string,_href:string,_type:string,_title:string>>"
