@@ -27,6 +27,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +38,18 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import discard, table, text_batches, words, written
 from foliospark.llm.components import components
 
-#: Buckets of the count sketch over the whole corpus, and at most in later rounds, over what is left; each bucket has one byte in the broadcast.
-SKETCH_BITS, MOST_SKETCH_BITS = 18, 20
+#: Buckets of the count sketch: at least, at most, and such that a bucket holds about LOAD n-grams of a corpus with one n-gram in CHARS bytes. A fixed
+#: number would tell less of a larger corpus. Each bucket has one byte in a task, far less in the broadcast, as most bytes are 0.
+SKETCH_BITS, MOST_SKETCH_BITS, LOAD, CHARS = 18, 24, 32, 6
+#: Buckets that tasks exchange, and the driver receives, as one compressed row.
+RANGE_BITS = 12
 #: Members of a list up to which its pairs are compared; members of longer lists go to another round, with a larger sketch where more than half
-#: of a round are left, until the largest one leaves over SHRINK of a round, or all lists have at most PAIRS pairs for each row of the corpus.
+#: of a round are left, until one that a larger one could not better leaves over SHRINK of a round, or all lists have at most PAIRS pairs for each row of the corpus.
 LONG, SHRINK, PAIRS = 64, 0.9, 16
 #: Buckets of keys that may be broadcast, whatever the size of the corpus; with most of them taken the filter lets rows through to the join.
 BUCKETS = 1 << 20
-#: Rows that a task of the features gives back at once.
-SLICE = 1000
+#: Rows that a task of the features, and ranges that one of the sketch, gives back at once; rows that a task receives at once, as pairs of the longest texts are long.
+SLICE, SENT, RECEIVED = 1000, 256, 200
 #: Sets that a task remembers as met; one that it has forgotten gives its prefixes once more.
 MOST_SEEN = 1 << 16
 #: Seeds of the orders within a class.
@@ -80,24 +84,69 @@ def _hashes(text: str) -> Column:
     return F.transform(F.filter(words(F.col(text)), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of a corpus of so many bytes."""
+    return max(min(max(SKETCH_BITS, (size // (LOAD * CHARS)).bit_length()), MOST_SKETCH_BITS), 1)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes, wider where one of them needs it; most are small, so they compress well."""
+    kind = np.uint8 if counts.max(initial=0) < 256 else np.int64
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), dtype=np.uint8 if data[0] == 1 else np.int64)
+
+
 def sketch_classes(hashed: DataFrame, n: int, bits: int) -> np.ndarray:
-    """Class of each bucket by the n-grams counted in it over all documents: 0 up to chance, then by doubling."""
+    """Class of each bucket by the n-grams counted in it over all documents: 0 up to chance, then by doubling.
+
+    Tasks exchange their counts, and the driver gets the classes, as compressed ranges of buckets: about a byte for each n-gram at most.
+    """
+    width = 1 << min(bits, RANGE_BITS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.uint16)
+
+        def so_far() -> Iterator[pd.DataFrame]:
+            parts = total.reshape(-1, width)
+            used = np.flatnonzero(parts.any(axis=1))
+            for at in range(0, len(used), SENT):
+                some = used[at : at + SENT]
+                yield pd.DataFrame({"part": some.astype(np.int32), "counts": [_packed(parts[i]) for i in some]})
+            total[:] = 0
+
         for b in batches:
             for h in b["hashes"]:
-                np.add.at(total, (shingles(h, n) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
-
-    rows = hashed.select("hashes").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << bits, dtype=np.float32)
-    total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    del rows
-    load = total.mean(dtype=np.float64)  # a bucket's count where it holds rare n-grams only, give or take its root
-    over = (total - load) / (4 * max(load, 1) ** 0.5)
-    return np.where(over <= 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.uint8)
+                at = (shingles(h, n) >> np.uint64(64 - bits)).astype(np.int64)
+                np.add.at(total, at, np.uint16(1))
+                if total[at].max(initial=0) >= 1 << 15:
+                    yield from so_far()
+        yield from so_far()
+
+    def classes_of(total: np.ndarray) -> bytes:
+        load = max(float(np.median(total)), 1.0)  # a bucket's count where it holds rare n-grams only, give or take its root
+        over = (total - load) / (4 * load**0.5)
+        return zlib.compress(np.where(over <= 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.uint8).tobytes(), 1)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, np.zeros(width, dtype=np.int64)
+        for b in batches:
+            for part, counts in zip(b["part"], b["counts"]):
+                if now is not None and part != now:
+                    yield pd.DataFrame({"part": [now], "classes": [classes_of(total)]})
+                    total[:] = 0
+                now = part
+                total += _unpacked(counts)
+        if now is not None:
+            yield pd.DataFrame({"part": [now], "classes": [classes_of(total)]})
+
+    counts = hashed.select("hashes").mapInPandas(count, "part int, counts binary")
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for part, classes in counts.repartition("part").sortWithinPartitions("part").mapInPandas(judge, "part int, classes binary").collect():
+        out[part * width : (part + 1) * width] = np.frombuffer(zlib.decompress(classes), dtype=np.uint8)
+    return out
 
 
 def ordered(grams: np.ndarray, classes: np.ndarray, seed: int) -> np.ndarray:
@@ -124,8 +173,10 @@ def prefix_length(size: int, percent: int) -> int:
 def features(hashed: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
     """(row_key, doc_id, size, node, prefix0, ..): node is the hash of the set; its prefixes, one per order, stand at a split's first row of a node."""
     names = [f"prefix{i}" for i in range(len(ORDERS))]
+    sent = zlib.compress(classes.tobytes(), 1)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = np.frombuffer(zlib.decompress(sent), dtype=np.uint8)
         seen: set[int | None] = set()
         for b in batches:
             for at in range(0, len(b), SLICE):
@@ -242,16 +293,17 @@ def _cross(left: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _linked_sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def _linked_sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, bits: int, n: int, percent: int) -> DataFrame:
     """(a, b): links that leave no two linked sets in different components.
 
     A round links the members of each list to the hub, then compares what lists of at most LONG members still hold of different components.
     Members of longer such lists go to the next round, in which n-grams are counted, and so ordered, over these members alone: two sets that
     link and met in long lists only are both among them. All lists are compared where their pairs are few for the rows of the corpus, or where the
-    largest sketch leaves over SHRINK of a round's members.
+    sketch leaves over SHRINK of a round's members and is the largest, or has room for all n-grams of the round.
     """
-    prefixes, links, bits = rows.where(F.size("prefix0") > 0), None, SKETCH_BITS
+    prefixes, links = rows.where(F.size("prefix0") > 0), None
     before = most = rows.count()
+    counted = None  # n-grams in the sketch of the round, once they are few
     label = lambda df, roots, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     while True:
         prefixes = prefixes.select("node", "size", *(f"prefix{i}" for i in range(len(ORDERS))))
@@ -270,7 +322,7 @@ def _linked_sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, pe
         left = written(labelled.select("gram", "node", "size", "at", "root").join(mixed_lists, "gram"))
         again = written(left.where(F.col("n") > LONG).select("node").distinct())
         count, squares = again.count(), left.where(F.col("n") > LONG).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        last = count == 0 or squares <= 2 * PAIRS * most or (count > SHRINK * before and bits >= MOST_SKETCH_BITS)
+        last = count == 0 or squares <= 2 * PAIRS * most or (count > SHRINK * before and (bits >= MOST_SKETCH_BITS or (counted is not None and counted <= 1 << bits)))
         pairs = written(_cross(left if last else left.where(F.col("n") <= LONG), percent))
         links = links.unionByName(_verified(pairs, [[0], [1, 2]], prefixes, texts, nodes, n, percent))
         discard(members, left, pairs)
@@ -281,17 +333,19 @@ def _linked_sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, pe
         wanted = written(nodes.join(again, "node", "left_semi").select("row_key"))
         some = _only(texts.select("row_key", F.lit(None).cast("long").alias("doc_id"), "text"), wanted, "row_key")
         hashed = written(_word_hashes(some))
+        counted = hashed.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
         prefixes = written(features(hashed, sketch_classes(hashed, n, bits), n, percent)).where(F.size("prefix0") > 0)
         discard(again, wanted, hashed)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id that links reach), row_key (hash of id and text), component (null for empty sets)."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, RECEIVED)
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(features(_word_hashes(texts), sketch_classes(_word_hashes(texts), n, SKETCH_BITS), n, percent))
+    bits = sketch_bits(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    rows = written(features(_word_hashes(texts), sketch_classes(_word_hashes(texts), n, bits), n, percent))
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"))
-    roots = components(_linked_sets(texts, rows, nodes, n, percent))
+    roots = components(_linked_sets(texts, rows, nodes, bits, n, percent))
 
     grouped = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))

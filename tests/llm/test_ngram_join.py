@@ -92,6 +92,39 @@ def test_groups_that_share_a_passage_do_not_meet_in_it(spark, monkeypatch):
     assert pairs[120] < 3 * pairs[60] and pairs[120] < 20 * 120, pairs
 
 
+def test_the_sketch_grows_with_the_corpus(spark, monkeypatch):
+    """A passage in one of 16 documents is told in the first round, whatever the least size of a sketch."""
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 6)
+    monkeypatch.setattr(ngram_join, "PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "LONG", 8)
+    rounds = []
+    real = ngram_join.sketch_classes
+    monkeypatch.setattr(ngram_join, "sketch_classes", lambda hashed, n, bits: (rounds.append(bits), real(hashed, n, bits))[1])
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(90)]
+    group = [passage + [f"g{rng.randrange(10**6)}" for _ in range(40)] for _ in range(60)]
+    fill = [[f"f{rng.randrange(10**6)}" for _ in range(130)] for _ in range(900)]
+    texts = list(enumerate([" ".join(x) for x in fill + group + [group[3][:-1] + ["odd"]]]))
+    out = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(texts, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert {i: c for i, c in out.items() if i != c} == {960: 903} and len(rounds) == 1, rounds
+
+
+def test_sketch_classes_count_all_tasks(spark):
+    """Against counts in one piece: ranges of buckets, counts beyond one byte, an empty range."""
+    docs = [[1, 2, 3, 4, 5]] * 700 + [[7 * i, 7 * i + 1, 7 * i + 2, 7 * i + 3] for i in range(3000)] + [[]]
+    hashed = spark.createDataFrame([(d,) for d in docs], "hashes array<long>").repartition(5)
+    for bits in (3, 13):
+        total = np.zeros(1 << bits, dtype=np.int64)
+        for d in docs:
+            np.add.at(total, (shingles(np.array(d, dtype=np.int64), 4) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        width = 1 << min(bits, ngram_join.RANGE_BITS)
+        load = np.repeat(np.maximum(np.median(total.reshape(-1, width), axis=1), 1.0), width)
+        over = (total - load) / (4 * load**0.5)
+        want = np.where(over <= 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.uint8)
+        assert (ngram_join.sketch_classes(hashed, 4, bits) == want).all() and want.max() > 0
+    assert not ngram_join.sketch_classes(hashed.limit(0), 4, 13).any()
+
+
 def test_repeated_rows_nulls_and_long_texts(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     df = spark.createDataFrame([(2, "a b c d e f")] * 30 + [(None, "a b c d e f"), (9, long), (8, long + " x"), (None, "q r s t u v")], "doc_id long, text string")
