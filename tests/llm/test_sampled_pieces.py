@@ -156,3 +156,25 @@ def test_departures_are_what_the_known_ones_leave():
         top = max((p, ids) for ids, p in every if ids not in known)
         share = math.exp(top[0]) / left
         assert abs(drawn.count(top[1]) / 2000 - share) < 5 * math.sqrt(share / 2000)
+
+
+def test_texts_searched_together_get_what_they_get_alone(monkeypatch):
+    """Long words, spelled characters, runs of spaces and barred first words among others; no word of a usual text gets a lattice of its own."""
+    texts = ["The house of the rising sun, été 漢字🙂\n", "", "x" * 700 + " and on", "a", "a  b   c", *(f"nation {i} station" for i in range(40))]
+    seeds = list(range(len(texts)))
+    together = PieceLattice(public_model()).samples(texts, 4, seeds)
+    for i in (0, 1, 2, 3, 4, 17):
+        alone = LATTICE.samples([texts[i]], 4, [seeds[i]])[0]
+        assert [(ids.tolist(), *x) for ids, *x in together[i]] == [(ids.tolist(), *x) for ids, *x in alone]
+        for ids, p, *_ in alone:
+            assert p < 1e-12 and LATTICE.decode(ids.tolist()) == LATTICE.model.decode(LATTICE.model.encode(texts[i]))
+    asked = []
+    monkeypatch.setattr(PieceLattice, "word", lambda self, text, word=PieceLattice.word: asked.append(text) or word(self, text))
+    LATTICE.samples([" ".join(f"ing{i}er" for i in range(1000))], 4, [1])
+    assert len(asked) < 10
+
+
+def test_texts_decoded_in_the_same_pass(spark):
+    df = spark.createDataFrame([(1, "a  b\tc"), (2, None), (3, "été 漢字🙂\nx"), (4, "    if x:")], "doc_id long, text string")
+    one = sampled_segmentations(df, public_model(), texts=True)
+    assert sorted(map(str, one.collect())) == sorted(map(str, decoded(sampled_segmentations(df, public_model()), public_model()).collect()))
