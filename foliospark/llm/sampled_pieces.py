@@ -42,10 +42,12 @@ SAMPLES, ZIPF, BYTE_COST, LONGEST = 4, 2.7, -14.0, 16
 #: Edges of the lattices that a worker remembers (about 200 bytes each with all that hangs on them), and the segmentations of a word that are listed or remembered.
 MOST_EDGES, LISTED = 400_000, 24
 #: Rows, and code points of their texts, that a task searches and gives back at once.
-SLICE, SLICE_CHARS = 1000, 1_000_000
+SLICE, SLICE_CHARS = 1000, 2_000_000
 #: Words of more code points are drawn one at a time. Where less of a word's mass is free, draws are made among what is left in place of being repeated;
 #: where less than TINY is left, it is summed up in place of being subtracted from 1.
 LONG, SCARCE, TINY = 512, 0.02, 1e-6
+#: Log of the factor that each code point brings to the weights of pieces, about what takes it away again.
+SCALE = 4.0
 #: Of splitmix64, which turns a word's 64 random bits into those of each step; flips them for those of the place where a path is left.
 STEP, MIX_1, MIX_2, FLIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1B54A32D192ED03))
 #: Rows that are decoded at once.
@@ -223,6 +225,12 @@ class PieceTable:
                 if x in weight:
                     (symbol,), w = weight[x]
                     self.symbols[nodes[x]], self.weights[symbol] = symbol, w
+        factors = {c: SCALE if c in weight else -BYTE_COST * len(c.encode()) for c in set("".join(weight))}
+        #: Weights with a factor for each code point; that of a spelled character is 1.
+        self.scaled = np.zeros(len(self.weights))
+        with np.errstate(over="ignore", under="ignore"):
+            for piece, ((symbol,), w) in weight.items():
+                self.scaled[symbol] = np.exp(w + sum(factors[c] for c in piece))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * STEP) >> self.shift).view(np.int64)
@@ -232,7 +240,7 @@ class PieceTable:
         keys = nodes << 21
         keys |= points
         at = self.slots(keys)
-        got = self.keys[at]
+        got = self.keys.take(at, mode="clip")
         same = got == keys
         rest = np.flatnonzero(~same & (got >= 0))
         out = np.where(same, at, -1)
@@ -263,7 +271,7 @@ class Lattices:
         live, node = np.arange(size, total), np.full(total - size, table.root)
         at = live
         while len(live):
-            node, at = table.step(node, points[at]), following[at]
+            node, at = table.step(node, points.take(at, mode="clip")), following.take(at, mode="clip")
             symbols = table.symbols[node]
             if found:
                 some = np.flatnonzero(symbols >= 0)
@@ -278,7 +286,7 @@ class Lattices:
                 found.append((live, symbols, at))
             degree[found[-1][0]] += 1
             go = np.flatnonzero((node >= 0) & (at >= size))
-            live, node, at = live[go], node[go], at[go]
+            live, node, at = (x.take(go, mode="clip") for x in (live, node, at))
         first = np.concatenate([[0], degree.cumsum()])
         edges = int(first[-1])
         self.symbols, self.ends = np.empty(edges, np.int32), np.empty(edges, np.int64)
@@ -287,22 +295,14 @@ class Lattices:
             edge = filled[hit]
             filled[hit] = edge + 1
             self.symbols[edge], self.ends[edge] = symbols, ends
-        weights = table.weights[self.symbols]  # of spelled characters any, until
-        if size < total:
+        shares = self._shares(table, spelled_at, first, degree, offsets) if edges else np.empty(0)
+        if shares is None:
+            weights = table.weights[np.maximum(self.symbols, 0)]
             weights[first[spelled_at + 1] - 1] = spelled_weights
-        beta, shares, self.logs = np.zeros(total), np.empty(edges), np.empty(edges)
-        for t in range(1, len(reaching)):
-            a, b = offsets[t], offsets[t + 1]
-            x = weights[first[a] : first[b]] + beta[self.ends[first[a] : first[b]]]
-            starts, n = first[a:b] - first[a], degree[a:b]
-            top = np.maximum.reduceat(x, starts)
-            x -= np.repeat(top, n)
-            share = np.exp(x)
-            mass = np.add.reduceat(share, starts)
-            log_mass = np.log(mass)
-            beta[a:b] = top + log_mass
-            shares[first[a] : first[b]] = share / np.repeat(mass, n)
-            self.logs[first[a] : first[b]] = x - np.repeat(log_mass, n)
+            shares, self.logs = self._log_shares(weights, first, degree, offsets)
+        else:
+            with np.errstate(divide="ignore"):
+                self.logs = np.log(shares)
         #: Of each edge, the share of the edges of its place up to it.
         self.upto = shares
         at, left = first[:-1][degree > 1], degree[degree > 1] - 1
@@ -317,6 +317,40 @@ class Lattices:
         self.single = np.ones(size, bool)
         self.single[owner[degree > 1]] = False
 
+    def _shares(self, table: PieceTable, spelled_at: np.ndarray, first: np.ndarray, degree: np.ndarray, offsets: np.ndarray) -> np.ndarray | None:
+        """Of each edge, its share of the mass of its place; None where a mass goes beyond what a double holds. Weights have the factors of their code points,
+        which all segmentations of a word have in common and which keep most masses far from there."""
+        size = int(offsets[1])
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            shares, mass = table.scaled[np.maximum(self.symbols, 0)], np.ones(len(degree))
+            shares[first[spelled_at + 1] - 1] = 1.0
+            for t in range(1, len(offsets) - 1):
+                a, b = offsets[t], offsets[t + 1]
+                x = shares[first[a] : first[b]]
+                x *= mass[self.ends[first[a] : first[b]]]
+                mass[a:b] = np.add.reduceat(x, first[a:b] - first[a])
+            if not (mass[size:].min() > 1e-280 and mass.max() < 1e280):
+                return None
+            shares /= np.repeat(mass, degree)
+        return shares
+
+    def _log_shares(self, weights: np.ndarray, first: np.ndarray, degree: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares and their logs, for masses of any size."""
+        beta, shares, out = np.zeros(len(degree)), np.empty(len(weights)), np.empty(len(weights))
+        for t in range(1, len(offsets) - 1):
+            a, b = offsets[t], offsets[t + 1]
+            x = weights[first[a] : first[b]] + beta[self.ends[first[a] : first[b]]]
+            starts, n = first[a:b] - first[a], degree[a:b]
+            top = np.maximum.reduceat(x, starts)
+            x -= np.repeat(top, n)
+            share = np.exp(x)
+            mass = np.add.reduceat(share, starts)
+            log_mass = np.log(mass)
+            beta[a:b] = top + log_mass
+            shares[first[a] : first[b]] = share / np.repeat(mass, n)
+            out[first[a] : first[b]] = x - np.repeat(log_mass, n)
+        return shares, out
+
     def draw(self, words: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, where each word's begin, and end at last, log-probabilities) of a segmentation of each word, by its 64 random bits."""
         logs, counts, steps = np.zeros(len(words)), np.zeros(len(words), np.int64), []
@@ -324,22 +358,22 @@ class Lattices:
         while len(who):
             bits += STEP
             u = _uniform(bits)
-            edge = self.first[at]
-            over = np.flatnonzero(u >= self.upto[edge])
+            edge = self.first.take(at, mode="clip")  # in bounds, and clip is the fastest mode
+            over = np.flatnonzero(u >= self.upto.take(edge, mode="clip"))
             while len(over):
                 next_edge = edge[over] + 1
                 edge[over] = next_edge
                 over = over[u[over] >= self.upto[next_edge]]
             if steps:
-                logs[who] += self.logs[edge]
+                logs[who] += self.logs.take(edge, mode="clip")
             else:
-                logs = self.logs[edge]
-            steps.append((who, self.symbols[edge]))
-            at = self.ends[edge]
+                logs = self.logs.take(edge, mode="clip")
+            steps.append((who, self.symbols.take(edge, mode="clip")))
+            at = self.ends.take(edge, mode="clip")
             ended = at < self.size
             counts[who[ended]] = len(steps)
             live = np.flatnonzero(~ended)
-            who, at, bits = who[live], at[live], bits[live]
+            who, at, bits = (x.take(live, mode="clip") for x in (who, at, bits))
         starts = np.concatenate([[0], counts.cumsum()])
         out = np.empty(int(starts[-1]), np.int32)
         for i, (who, symbols) in enumerate(steps):
@@ -530,7 +564,7 @@ class PieceLattice:
                 again = [s for s in again if s.first[0] in s.barred]
             # of each word, the log of the mass of what leaves the path there, and a Gumbel number
             with np.errstate(divide="ignore"):
-                left = np.log(-np.expm1(np.minimum(logs, 0.0)))
+                left = np.log(1 - np.exp(np.minimum(logs, 0.0)))
                 free = -np.log(-np.log(_uniform(bits ^ FLIP)))
             for x in np.flatnonzero((left < -20) & ~single[drawn]).tolist():  # masses too small for a difference from 1
                 case = int(drawn[x]), tuple(symbols[starts[x] : starts[x + 1]].tolist())

@@ -160,7 +160,7 @@ def test_departures_are_what_the_known_ones_leave():
 
 def test_texts_searched_together_get_what_they_get_alone(monkeypatch):
     """Long words, spelled characters, runs of spaces and barred first words among others; no word of a usual text gets a lattice of its own."""
-    texts = ["The house of the rising sun, été 漢字🙂\n", "", "x" * 700 + " and on", "a", "a  b   c", *(f"nation {i} station" for i in range(40))]
+    texts = ["The house of the rising sun, été 漢字🙂🧿\n", "", "x" * 700 + " and on", "a", "a  b   c", *(f"nation {i} station" for i in range(40))]
     seeds = list(range(len(texts)))
     together = PieceLattice(public_model()).samples(texts, 4, seeds)
     for i in (0, 1, 2, 3, 4, 17):
